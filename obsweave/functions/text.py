@@ -15,6 +15,7 @@ from obsweave.functions.timegeo import hour_bucket
 # Token and number patterns and the stop-word list of the similarity.
 TOKEN_PATTERN = "[A-Za-zА-Яа-яЇїІіЄєҐґ]{3,}"
 NUMBER_PATTERN = r"\d+"
+BLANK_PATTERN = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+"
 STOPWORDS = [
     "the", "a", "an", "and", "of", "in", "on", "at", "to", "by", "near", "this", "that",
     "with", "for", "from", "into", "over", "was", "were", "is", "are", "be", "been",
@@ -23,7 +24,7 @@ STOPWORDS = [
 
 
 def normalize_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK_PATTERN, " "))
 
 
 def uuid_form(hex_: Column) -> Column:
@@ -58,10 +59,13 @@ def token_set(word_array: Column) -> Column:
 
 
 def trigram_set(word_array: Column) -> Column:
+    """Shingles as integers: a shingle of the token alphabet has at most six UTF-8 bytes, so its
+    bytes read as a number identify it, and pairs compare longs instead of strings."""
     s = F.array_join(word_array, " ")
     n = F.length(s)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(s, i, F.lit(3))))
-                  ).otherwise(F.array().cast("array<string>"))
+    gram = lambda i: F.conv(F.hex(F.substring(s, i, F.lit(3))), 16, 10).cast("long")
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), gram))
+                  ).otherwise(F.array().cast("array<bigint>"))
 
 
 def number_set(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +29,24 @@ def build_session(master: str | None = None, app: str = "obsweave", **extra: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only where none is set (tests)."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="obsweave-ckpt-")
-    sc.setCheckpointDir(named)
+        spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a plan reliably, so that a lost executor re-reads files and not the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a plan as a table in the shared folder and continue from its files.
+
+    A lost executor then re-reads files instead of the lineage, the plan is computed once (an RDD
+    checkpoint runs its last stage twice), and later joins know the true size of their input.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/obsweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tune_local(spark: SparkSession) -> None:
