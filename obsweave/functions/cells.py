@@ -73,8 +73,9 @@ def with_cell(df: DataFrame, lon: str, lat: str, out: str = "cell_id") -> DataFr
         F.substring(F.lit(ROW_LETTERS), row_no + 1, F.lit(1)),
         F.lpad((F.col("_ek") % 100).cast("string"), 2, "0"),
         F.lpad((F.col("_nk") % 100).cast("string"), 2, "0"))
-    d = d.withColumn(out, code)
-    return d.select(*[c for c in keep if c != out], out)
+    # A one-element explode keeps filters on the cell above the codec: pushed through the projections
+    # they would copy the whole expression at every step.
+    return d.select(*[c for c in keep if c != out], F.explode(F.array(code)).alias(out))
 
 
 def is_valid_cell(cell: Column) -> Column:
@@ -119,7 +120,8 @@ def with_centroid(df: DataFrame, cell: str = "cell_id", prefix: str = "") -> Dat
     d = (d.withColumn(prefix + "lon", F.col(prefix + "sw_lon") + F.col(prefix + "step_lon") / 2)
          .withColumn(prefix + "lat", F.col(prefix + "sw_lat") + F.col(prefix + "step_lat") / 2))
     new = [prefix + k for k in ("sw_lon", "sw_lat", "step_lon", "step_lat", "lon", "lat")]
-    return d.select(*[k for k in keep if k not in new], *new)
+    box = F.struct(*[F.col(k).alias(k) for k in new])
+    return d.select(*[k for k in keep if k not in new], F.inline(F.array(box)))  # keeps filters above, as in with_cell
 
 
 def _meridian_arc(phi: Column) -> Column:

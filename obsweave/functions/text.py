@@ -62,10 +62,10 @@ def trigram_set(word_array: Column) -> Column:
     """Shingles as integers: a shingle of the token alphabet has at most six UTF-8 bytes, so its
     bytes read as a number identify it, and pairs compare longs instead of strings."""
     s = F.array_join(word_array, " ")
-    n = F.length(s)
-    gram = lambda i: F.conv(F.hex(F.substring(s, i, F.lit(3))), 16, 10).cast("long")
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), gram))
-                  ).otherwise(F.array().cast("array<bigint>"))
+    # a look-ahead finds overlapping windows in one pass; substring(s, i, 3) would walk the text from
+    # its start for every i
+    grams = F.array_distinct(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), F.lit(1)))
+    return F.transform(grams, lambda g: F.conv(F.hex(g), 16, 10).cast("long"))
 
 
 def number_set(text: Column) -> Column:

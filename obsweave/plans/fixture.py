@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from obsweave.functions.cells import with_cell
 from obsweave.operators import ingest as I
+from obsweave.session import cut
 
 THEATER = "ua_donbas"
 BBOX = (36.0, 46.8, 39.5, 49.5)
@@ -70,6 +71,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(spark, sf_dir)[0]
 
 
+def stored_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations as a table, as fusion finds them in the log."""
+    return cut(observations(spark, sf_dir))
+
+
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by plain rule (one per cell, type and UTC date), for the operators that read events.
 

@@ -197,7 +197,7 @@ class Run:
 
     def __init__(self, spark, sf):
         from obsweave.session import cut
-        obs = X.observations(spark, sf)
+        obs = X.stored_observations(spark, sf)
         self.grouped = FU.group(obs)
         self.scored = cut(S.scored_pairs(self.grouped).where("band <> 'different'"))
         self.verdicts = cut(fixture_verdicts(self.scored, self.grouped))
@@ -220,7 +220,7 @@ class Run:
 @query("block_groups", with_("centroids", *FUSE, "SELECT obs_id, min(obs_id) OVER (PARTITION BY g) AS group_first, count(*) OVER (PARTITION BY g) AS group_rows FROM grp", recursive=True))
 def _(spark, sf):
     from obsweave.session import cut
-    g = cut(B.block(X.observations(spark, sf)).select("obs_id", "group_id", "group_rows"))
+    g = cut(B.block(X.stored_observations(spark, sf)).select("obs_id", "group_id", "group_rows"))
     first = g.groupBy("group_id").agg(F.min("obs_id").alias("group_first"))
     return g.join(first, "group_id").select("obs_id", "group_first", "group_rows")
 
@@ -228,7 +228,7 @@ def _(spark, sf):
 @query("scored_pairs", with_("centroids", *FUSE, *SCORE_SQL, """SELECT obs_a, obs_b, round(s_geo, 4) AS s_geo, round(s_time, 4) AS s_time, round(s_text, 4) AS s_text,
  s_type, p, band, coloc AS colocated FROM scored WHERE band <> 'different'""", recursive=True))
 def _(spark, sf):
-    g = FU.group(X.observations(spark, sf))
+    g = FU.group(X.stored_observations(spark, sf))
     return S.scored_pairs(g).where("band <> 'different'").select("obs_a", "obs_b", "s_geo", "s_time", "s_text", "s_type", "p", "band", "colocated")
 
 
@@ -237,7 +237,7 @@ def _(spark, sf):
  AND a.source_family_id <> b.source_family_id AND a.win >= 172800 AND b.win >= 172800 GROUP BY a.g, a.cell_id)""", recursive=True))
 def _(spark, sf):
     from obsweave.session import cut
-    grouped = cut(B.block(X.observations(spark, sf)))
+    grouped = cut(B.block(X.stored_observations(spark, sf)))
     first = grouped.groupBy("group_id").agg(F.min("obs_id").alias("g"))
     return FU.colocated_pair_count(grouped).join(first, "group_id").select("g", "cell_id", "pairs")
 
