@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsweave import dims
 from obsweave.functions import text as T
 from obsweave.functions.cells import is_valid_cell, with_cell
+from obsweave.session import cut
 
 PRECISE_MAX_M = 500.0
 FUZZY_MIN = 0.4
@@ -154,6 +155,8 @@ def normalize(raw: DataFrame, grid: DataFrame, order: str, alias: DataFrame | No
     v = validate_enums(raw)
     bad = v.where("reason is not null")
     d = resolve_to_cell(v.where("reason is null").drop("reason"), grid, alias)
+    # both outputs and the search for first copies read the resolved records, so they are written once
+    d = cut(d)
     lost = d.where("cell_id is null").withColumn("reason", F.lit("no_cell_resolve"))
     named = with_identity(d.where("cell_id is not null"))
     if log is None:

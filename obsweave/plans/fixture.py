@@ -71,9 +71,29 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(spark, sf_dir)[0]
 
 
+_stored: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table that the read queries share, written once per application and read from its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = cut(build())
+    return _stored[key]
+
+
 def stored_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observations as a table, as fusion finds them in the log."""
-    return cut(observations(spark, sf_dir))
+    return stored(spark, sf_dir, "observations", lambda: observations(spark, sf_dir))
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "events", lambda: event_table(spark, sf_dir))
+
+
+def event_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = stored_observations(spark, sf_dir).withColumn("needs_check", F.col("k") % 7 == 0)
+    return o.withColumn("component", F.concat_ws("|", "cell_id", "obs_type", F.date_format("occurred_start", "yyyy-MM-dd")))
 
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +104,4 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from obsweave.operators import fuse as FU
 
-    o = observations(spark, sf_dir).withColumn("needs_check", F.col("k") % 7 == 0)
-    m = o.withColumn("component", F.concat_ws("|", "cell_id", "obs_type", F.date_format("occurred_start", "yyyy-MM-dd")))
-    return FU.build_events(m, THEATER)
+    return FU.build_events(event_members(spark, sf_dir), THEATER)
