@@ -249,10 +249,11 @@ def facts(spark, sf):
     return R.area_facts(cells, ev, an, fam, NOW), R.area_attention(cells, ev, an, NOW), cells
 
 
-@query("area_facts", with_("units", *FACTS, "SELECT area, n_events, high, by_type, anomalies, sensors, recent, prior, first_date, last_date FROM facts"))
+@query("area_facts", with_("units", *FACTS, "SELECT area, n_events, high, by_type, anomalies, sensors, recent, prior, first_date::VARCHAR AS first_date, last_date::VARCHAR AS last_date FROM facts"))
 def _(spark, sf):
     return facts(spark, sf)[0].select("area", "n_events", F.col("High").alias("high"), "by_type", F.array_join("anomalies", ",").alias("anomalies"),
-                                      F.array_join("sensors", ",").alias("sensors"), "recent", "prior", "first_date", "last_date")
+                                      F.array_join("sensors", ",").alias("sensors"), "recent", "prior",
+                                      F.col("first_date").cast("string").alias("first_date"), F.col("last_date").cast("string").alias("last_date"))
 
 
 READ_SQL = """area || ': ' || format('{:,}', n_events) || ' recorded events, mostly ' || replace(top_type, '_', ' ') || '. Activity is ' || CASE status WHEN 'escalating' THEN 'rising' WHEN 'quieting' THEN 'falling' ELSE 'steady' END
@@ -298,7 +299,7 @@ def _(spark, sf):
     return V.verify_queue(events(spark, sf)).select("event_id", "confidence")
 
 
-@query("evidence_trail", with_("events", "SELECT event_id, obs_id, source_id, fam AS family, m_.obs_type, m_.occurred_start, substr(text, 1, 280) AS excerpt FROM m_ JOIN evt USING (component)"))
+@query("evidence_trail", with_("events", "SELECT evt.event_id, obs_id, source_id, fam AS family, m_.obs_type, m_.occurred_start, substr(text, 1, 280) AS excerpt FROM m_ JOIN evt USING (component)"))
 def _(spark, sf):
     o = X.event_members(spark, sf)
     from obsweave.operators import fuse as FU
@@ -306,7 +307,7 @@ def _(spark, sf):
     return V.evidence_trail(m, o, dims.load_reference_dims(spark)["sources"]).select("event_id", "obs_id", "source_id", "family", "obs_type", "occurred_start", "excerpt")
 
 
-@query("event_provenance", with_("events", "SELECT event_id, string_agg(DISTINCT CASE WHEN fam LIKE '%optical%' THEN 'optical' WHEN fam LIKE '%sar%' THEN 'sar' WHEN fam = 'unosat' THEN 'unosat' WHEN fam LIKE '%firms%' THEN 'thermal' ELSE 'news' END, ',' ORDER BY 1) AS kinds FROM m_ JOIN evt USING (component) GROUP BY 1".replace("ORDER BY 1)", ")")))
+@query("event_provenance", with_("events", "SELECT event_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (SELECT DISTINCT evt.event_id, CASE WHEN fam LIKE '%optical%' THEN 'optical' WHEN fam LIKE '%sar%' THEN 'sar' WHEN fam = 'unosat' THEN 'unosat' WHEN fam LIKE '%firms%' THEN 'thermal' ELSE 'news' END AS kind FROM m_ JOIN evt USING (component)) GROUP BY 1"))
 def _(spark, sf):
     o = X.event_members(spark, sf)
     from obsweave.operators import fuse as FU
