@@ -45,6 +45,6 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def with_component(nodes: DataFrame, edges: DataFrame, node_id: str = "id", out: str = "component",
                    a: str = "a", b: str = "b") -> DataFrame:
     """Nodes with the least id of their component; nodes without edges keep their own id."""
-    labels = component_labels(edges, a, b).withColumnRenamed("id", "_id")
+    labels = component_labels(edges, a, b).select(F.col("id").alias("_id"), F.col("label").alias("_label"))
     return (nodes.join(labels, F.col(node_id) == F.col("_id"), "left")
-            .withColumn(out, F.coalesce("label", node_id)).drop("_id", "label"))
+            .withColumn(out, F.coalesce("_label", node_id)).drop("_id", "_label"))

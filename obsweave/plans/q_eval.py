@@ -226,11 +226,13 @@ def cluster_sql(mask: str) -> list[str]:
             "st AS (SELECT fp, g, count(*) AS n_pixels, avg(abs(d)) AS mag, avg(d) AS md, avg(row) AS r, avg(col) AS c FROM mk JOIN cl USING (i) GROUP BY ALL)"]
 
 
-CENTRE = f"round(36.0{D} + 0.1{D} * fp + (c + 0.5) * 0.1{D} / 32, 6) AS lon, round(47.1{D} - (r + 0.5) * 0.1{D} / 32, 6) AS lat"
+# decimal rounding, as Spark rounds doubles half up in decimal form
+CENTRE = (f"round((36.0{D} + 0.1{D} * fp + (c + 0.5) * 0.1{D} / 32)::DECIMAL(18,10), 6)::DOUBLE AS lon,"
+          f" round((47.1{D} - (r + 0.5) * 0.1{D} / 32)::DECIMAL(18,10), 6)::DOUBLE AS lat")
 
 
 @query("sar_logratio", "WITH RECURSIVE " + ",\n".join([PIX, "hv AS (SELECT fp, row, col, avg(q) FILTER (acq < 2) AS b, avg(q) FILTER (acq >= 2) AS a FROM px GROUP BY ALL)", *cluster_sql("SELECT fp, row, col, a - b AS d FROM hv WHERE abs(a - b) >= 4")]) +
-       f" SELECT {CENTRE}, n_pixels, round(mag, 6) AS magnitude, CASE WHEN md > 0 THEN 'increase' ELSE 'decrease' END AS direction, round(0.3 + 0.6 * greatest(0, least(1, (mag - 4) / 8)), 4) AS self_conf FROM st WHERE n_pixels >= 4")
+       f" SELECT {CENTRE}, n_pixels, round(mag, 6) AS magnitude, CASE WHEN md > 0 THEN 'increase' ELSE 'decrease' END AS direction, round((0.3 + 0.6 * greatest(0, least(1, (mag - 4) / 8)))::DECIMAL(18,10), 4)::DOUBLE AS self_conf FROM st WHERE n_pixels >= 4")
 def _(spark, sf):
     return RS.sar_logratio(*pixel_fixture(spark, sf)).select(F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "n_pixels", F.round("magnitude", 6).alias("magnitude"), "direction", "self_conf")
 
