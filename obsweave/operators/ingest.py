@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,8 +198,6 @@ def embed_text(df: DataFrame, model, dim: int, text: str = "text") -> DataFrame:
 
     ``model`` maps a list of texts to a list of vectors and is loaded once per task.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(col: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(col), dtype=object)

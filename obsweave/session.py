@@ -15,6 +15,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods above 8000 bytes; beyond that, split expressions run faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
@@ -53,6 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
 def tune_local(spark: SparkSession) -> None:
     """UTC and a partition count that fits a local master; clusters keep their own settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", CONF["spark.sql.codegen.hugeMethodLimit"])
     master = spark.sparkContext.master
     if master.startswith("local") and "OBSWEAVE_KEEP_CONF" not in os.environ:
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
