@@ -111,11 +111,12 @@ def shared_number(a: Column, b: Column) -> Column:
 
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """Stable unit vector from the text hash: its bytes, cycled, as b/127.5 - 1."""
-    h = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: v / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    # the outer one-element transform binds the hash, so that a long text is hashed once and not per value
+    raw = F.get(F.transform(F.array(F.sha2(text, 256)), lambda h: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)), F.lit(0))
+    scaled = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)).alias("l")))
+    return F.get(F.transform(scaled, lambda p: F.transform(p["v"], lambda x: x / F.when(p["l"] == 0, F.lit(1.0)).otherwise(p["l"]))), F.lit(0))
 
 
 def pg_trigrams(name: Column) -> Column:

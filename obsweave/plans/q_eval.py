@@ -153,7 +153,7 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------------ boundary
-@query("coarsen_events", with_("units", """SELECT event_id, round(cen.lon, 6) AS shown_lon, round(cen.lat, 6) AS shown_lat, landcover_label IS NULL AND road_class IS NULL AS no_phrase FROM evt JOIN cen USING (cell_id) LEFT JOIN ctx USING (cell_id)"""))
+@query("coarsen_events", with_("units", """SELECT event_id, round(cen.lon, 6) AS shown_lon, round(cen.lat, 6) AS shown_lat, landcover_label IS NULL AND NOT coalesce(road_surface = 'unpaved' OR road_class IN ('motorway', 'trunk', 'primary', 'secondary'), false) AS no_phrase FROM evt JOIN cen USING (cell_id) LEFT JOIN ctx USING (cell_id)"""))
 def _(spark, sf):
     c = Y.context(spark, sf)
     d = BD.coarsen(X.stored_events(spark, sf), with_centroid(c.select("cell_id")), context=c)
