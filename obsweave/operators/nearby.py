@@ -72,9 +72,10 @@ TIME_KEYS = ["time_tier", "time_bucket"]
 
 
 def salted_sides(left: DataFrame, right: DataFrame, keys: list[str], spread: str,
-                 hot_rows: int = HOT_BUCKET_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+                 hot_rows: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Split hot keys into a lattice of sub-keys: both sides are cut into n slices and every slice
     pair meets exactly once. Only keys above ``hot_rows`` get slices; all others have one."""
+    hot_rows = hot_rows or HOT_BUCKET_ROWS
     hot = (right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
            .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_k")))
 
