@@ -129,8 +129,8 @@ def lines_on_cells(lines: DataFrame, cells: DataFrame, keep: list[str]) -> DataF
 
     Lines are cut into segments and both sides are keyed by lattice squares.
     """
-    seg = lines.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.size("vertices") - 1), lambda i: F.struct(
-        F.element_at("vertices", i).alias("a"), F.element_at("vertices", i + 1).alias("b")))).alias("g")).where(F.size(F.array("g")) > 0)
+    seg = lines.where(F.size("vertices") >= 2).select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.size("vertices") - 1), lambda i: F.struct(
+        F.element_at("vertices", i).alias("a"), F.element_at("vertices", i + 1).alias("b")))).alias("g"))
     x1, y1, x2, y2 = F.col("g.a.x"), F.col("g.a.y"), F.col("g.b.x"), F.col("g.b.y")
     seg = seg.select(*keep, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).withColumn(
         "q", F.explode(_squares(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))))
