@@ -157,7 +157,7 @@ def parameter_sweep(clusters: DataFrame, truth: DataFrame, thresholds: list[floa
     hit = truth.select("cell_id").distinct().withColumn("hit", F.lit(1))
     d = c.join(hit, "cell_id", "left").groupBy("threshold", "min_px").agg(F.count(F.lit(1)).alias("n_detected"), F.count("hit").alias("true_positives"))
     n = truth.select(F.countDistinct("cell_id").alias("n")).scalar()
-    return d.withColumn("precision", F.round(F.col("true_positives") / F.col("n_detected"), 4)).withColumn("recall", F.round(F.col("true_positives") / n, 4))
+    return d.withColumn("precision", F.round(F.col("true_positives") / F.col("n_detected"), 4)).withColumn("recall", F.round(F.when(n > 0, F.col("true_positives") / F.nullif(n, F.lit(0))).otherwise(0.0), 4))
 
 
 # ------------------------------------------------------------------ thresholds and fixtures

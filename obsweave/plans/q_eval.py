@@ -272,3 +272,21 @@ def _(spark, sf):
 @query("quantize_confidence", "SELECT event_id, CASE WHEN s >= 0.85 THEN 0.95 WHEN s >= 0.7 THEN 0.85 WHEN s >= 0.5 THEN 0.65 WHEN s >= 0.3 THEN 0.45 ELSE 0.2 END::DOUBLE AS c FROM (SELECT event_id, least(1, value / 400) AS s FROM events)")
 def _(spark, sf):
     return X.table(spark, sf, "events").select("event_id", RS.quantize_confidence(F.col("value") / 400).alias("c"))
+
+
+@query("latest_control", "SELECT user_id::VARCHAR AS cell_id, max(ts) AS as_of, arg_max(event_type, (ts, event_type)) AS side FROM events GROUP BY 1")
+def _(spark, sf):
+    e = X.table(spark, sf, "events")
+    return G.latest_control(e.select(F.col("user_id").cast("string").alias("cell_id"), F.col("ts").cast("timestamp").alias("as_of"), F.col("event_type").alias("side")))
+
+
+@query("parameter_sweep", """WITH c AS (SELECT event_type AS t, user_id AS cell, max(CAST(json_extract_string(props, '$.k') AS INT)) AS px FROM events WHERE event_type IN ('view', 'error') GROUP BY ALL),
+ tr AS (SELECT DISTINCT user_id AS cell FROM events WHERE event_type = 'purchase' AND value > 100), p AS (SELECT t, cell, m FROM c, (VALUES (90), (97), (99)) x(m) WHERE m <= px)
+ SELECT CASE t WHEN 'view' THEN 3.0 ELSE 4.0 END::DOUBLE AS threshold, m AS min_px, count(*) AS n_detected, count(tr.cell) AS true_positives, round(count(tr.cell) / count(*), 4) AS precision, round(count(tr.cell) / (SELECT count(*) FROM tr), 4) AS recall
+ FROM p LEFT JOIN tr USING (cell) GROUP BY t, m""")
+def _(spark, sf):
+    e = X.table(spark, sf, "events")
+    cell = F.col("user_id").cast("string").alias("cell_id")
+    thr = F.when(F.col("event_type") == "view", 3.0).when(F.col("event_type") == "error", 4.0).otherwise(9.0).alias("threshold")
+    clusters = e.select(thr, cell, F.get_json_object("props", "$.k").cast("int").alias("n_pixels"))
+    return E.parameter_sweep(clusters, e.where("event_type = 'purchase' and value > 100").select(cell), [3.0, 4.0], [90, 97, 99])
