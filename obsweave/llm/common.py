@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from obsweave.session import cut
 
-__all__ = ["cut", "fields", "id_type", "learnt", "read"]
+__all__ = ["cut", "fields", "id_type", "learnt", "read", "small_batches"]
 
 
 def fields(df: DataFrame, **columns: str) -> DataFrame:
@@ -27,3 +27,9 @@ def learnt(key: str | Column, folds: int, out: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python by the thousand, where the session still has Spark's own batch size."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,7 +9,7 @@ alike:
   right results; the counts only make prefixes rare. The counters are the one thing broadcast, and
   their size is a parameter, not a function of the data.
 * The result is groups, so a pair inside one group adds nothing. In each prefix n-gram all texts meet
-  the shortest one first (a star); of what is then still apart, texts outside a bucket's largest
+  the one of least id first (a star); of what is then still apart, texts outside a bucket's largest
   group meet the others of the bucket. Every pair that passes the filters is either verified or
   already inside one group, so no group is missed, and a large group of near copies costs its size
   and not its square.
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import cut, fields
+from obsweave.llm.common import cut, fields, small_batches
 from obsweave.llm.textbytes import U, mix, shingle_sets, slices
 from obsweave.operators.components import component_labels
 
 BLOCK = 1 << 16
 SEGMENTS = 16
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -190,6 +190,7 @@ def near_copy_groups(observations: DataFrame, obs_id: str = "obs_id", text: str
     slice of texts or one text, and the counters (``2**sketch_bits`` bytes).
     """
     spark = observations.sparkSession
+    small_batches(spark)
     rows = fields(observations, id=obs_id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
     got = cut(rows.mapInArrow(_profile(width, sketch_bits), f"id {kind}, n int, hi bigint, lo bigint, seg binary, block int, counts binary"))
@@ -207,17 +208,17 @@ def near_copy_groups(observations: DataFrame, obs_id: str = "obs_id", text: str
     reps = classes.select(F.col("rep").alias("id"), "seg").dropDuplicates(["id", "seg"])
     grams = cut(rows.where("id is not null").mapInArrow(_prefixes(width, percent, sketch_bits, counters), f"gram bigint, id {kind}, n int, at int"))
 
-    # buckets: prefix n-grams of two texts or more, and the shortest text of each
-    star = cut(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "id", "at")).alias("hub")).where("c > 1").drop("c"))
+    # buckets: prefix n-grams of two texts or more, and the first text of each
+    star = cut(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where("c > 1").drop("c"))
     shared = cut(grams.join(star, "gram").join(reps.select("id").distinct(), "id", "left_semi"))
-    hub = shared.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"),
-                        F.col("hub.at").alias("at_a"), F.col("at").alias("at_b"))
+    head = shared.where("id = first").select("gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    hub = shared.where("id <> first").select("gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")).join(head, "gram").drop("gram")
     tried = cut(_suffix_filter(_candidates(_in_order(hub), percent), reps, percent))
     links = cut(_links(tried, _texts_of(tried, rows), width, percent))
     labels = cut(component_labels(links))
 
     # what is still apart: texts outside the largest group of a bucket meet the others of the bucket
-    named = shared.drop("hub").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = shared.drop("first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     parts = named.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("c", "label")).alias("major")).where("k > 1").drop("k")
     apart = cut(named.join(mixed, "gram"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
 from obsweave.llm.near_copies import near_copy_groups
+from obsweave.llm.packing import pack_windows
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,15 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_groups(observations(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    pieces = pack_windows(observations(spark, sf_dir), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return pieces.select(F.col("obs_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("obs_tokens").alias("doc_tokens"),
+                         "sequence_id", "offset")
+
+
 Q = {
+    "op5_packing": (op5_packing, None),
     "op6_near_copies": (op6_near_copies, None),
 }

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _RATIO, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
