@@ -9,7 +9,7 @@ alike:
   right results; the counts only make prefixes rare. The counters are the one thing broadcast, and
   their size is a parameter, not a function of the data.
 * The result is groups, so a pair inside one group adds nothing. In each prefix n-gram all texts meet
-  the one of least id first (a star); of what is then still apart, texts outside a bucket's largest
+  the bucket's middle first (a star); of what is then still apart, texts outside a bucket's largest
   group meet the others of the bucket. Every pair that passes the filters is either verified or
   already inside one group, so no group is missed, and a large group of near copies costs its size
   and not its square.
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ from obsweave.operators.components import component_labels
 BLOCK = 1 << 16
 SEGMENTS = 16
 FLUSH = 1 << 20
+#: Bits of the map of wanted ids.
+BITMAP = 1 << 22
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -113,9 +116,13 @@ def _overlap(percent: int):
 
 
 def _within_reach(percent: int):
-    """Length filter, and positional filter for one common n-gram: at most the lesser position may match before it."""
+    """Length filter, and positional filter for one common n-gram.
+
+    Before it no more can match than the n-grams that the text with fewer such has there in any
+    bucket, after it no more than the shorter rest.
+    """
     return ((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-            & (F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1 >= _overlap(percent)))
+            & (F.least("before_a", "before_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= _overlap(percent)))
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
@@ -144,13 +151,21 @@ def _in_order(met: DataFrame) -> DataFrame:
     """Each pair with the lesser id first."""
     turn = F.col("a") > F.col("b")
     one = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x)
-    return met.where("a <> b").select(*[one(f"{c}a", f"{c}b") for c in ("", "n_", "at_")], *[one(f"{c}b", f"{c}a") for c in ("", "n_", "at_")])
+    return met.where("a <> b").select(*[one(f"{c}a", f"{c}b") for c in ("", "n_", "at_", "before_")], *[one(f"{c}b", f"{c}a") for c in ("", "n_", "at_", "before_")])
 
 
 def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts that some pair asks for."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return cut(rows.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
+    """The texts that some pair asks for.
+
+    A bitmap of hashed ids goes ahead of the join, so that most other texts are not shuffled; it has
+    BITMAP / 64 rows whatever the data, which bounds the broadcast.
+    """
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bits = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    maybe = (rows.withColumn("p", place).withColumn("word", (F.col("p") / 64).cast("int")).join(F.broadcast(bits), "word")
+             .where(F.getbit("bits", (F.col("p") % 64).cast("int")) == 1).select("id", "text"))
+    return cut(cut(maybe).join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
 
 
 def _verify(width: int, percent: int):
@@ -208,24 +223,29 @@ def near_copy_groups(observations: DataFrame, obs_id: str = "obs_id", text: str
     reps = classes.select(F.col("rep").alias("id"), "seg").dropDuplicates(["id", "seg"])
     grams = cut(rows.where("id is not null").mapInArrow(_prefixes(width, percent, sketch_bits, counters), f"gram bigint, id {kind}, n int, at int"))
 
-    # buckets: prefix n-grams of two texts or more, and the first text of each
-    star = cut(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where("c > 1").drop("c"))
-    shared = cut(grams.join(star, "gram").join(reps.select("id").distinct(), "id", "left_semi"))
-    head = shared.where("id = first").select("gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    hub = shared.where("id <> first").select("gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")).join(head, "gram").drop("gram")
+    # buckets: prefix n-grams of two texts or more; how many of them a text has, and how many before each
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    found = cut(grams.join(cut(common), "gram"))
+    own = W.partitionBy("id")
+    shared = cut(found.join(reps.select("id").distinct(), "id", "left_semi")
+                 .withColumn("before", F.row_number().over(own.orderBy("at")) - 1).withColumn("degree", F.count(F.lit(1)).over(own)))
+    # the middle of each bucket is the text with the fewest n-grams of its own
+    side = lambda k: [F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "at", "before")]]
+    hubs = shared.groupBy("gram").agg(F.min(F.struct(-F.col("degree"), "id", "n", "at", "before")).alias("hub")).select("gram", "hub.*")
+    hub = shared.select("gram", *side("b")).join(hubs.select("gram", *side("a")), "gram").drop("gram")
     tried = cut(_suffix_filter(_candidates(_in_order(hub), percent), reps, percent))
     links = cut(_links(tried, _texts_of(tried, rows), width, percent))
     labels = cut(component_labels(links))
 
     # what is still apart: texts outside the largest group of a bucket meet the others of the bucket
-    named = shared.drop("first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = shared.drop("degree").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     parts = named.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("c", "label")).alias("major")).where("k > 1").drop("k")
     apart = cut(named.join(mixed, "gram"))
-    x = apart.where("label <> major").select("gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"))
-    y = apart.select("gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), "major")
+    x = apart.where("label <> major").select("gram", *side("a"), F.col("label").alias("label_a"))
+    y = apart.select("gram", *side("b"), F.col("label").alias("label_b"), "major")
     rest = x.join(y, (x["gram"] == y["gram"]) & (x["label_a"] != y["label_b"]) & ((y["label_b"] == y["major"]) | (x["a"] < y["b"])) & _within_reach(percent))
-    more = _candidates(_in_order(rest.select("a", "b", "n_a", "n_b", "at_a", "at_b")), percent)
+    more = _candidates(_in_order(rest), percent)
     more = cut(_suffix_filter(more.join(tried, ["a", "b"], "left_anti"), reps, percent))
     if not more.isEmpty():
         links = cut(_links(more, _texts_of(more, rows), width, percent))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
 from obsweave.llm.disclosure import KINDS, personal_spans
+from obsweave.llm.language import identify, train
 from obsweave.llm.near_copies import near_copy_groups
 from obsweave.llm.packing import pack_windows
 
@@ -23,8 +24,9 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(observations(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select(F.col("obs_id").alias("doc_id"), *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+    return found.select(F.col("obs_id").alias("doc_id"), *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS],
                         F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
@@ -36,8 +38,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir)
+    return identify(obs, train(obs)).withColumnRenamed("obs_id", "doc_id")
+
+
 Q = {
     "op3_disclosure": (op3_disclosure, None),
     "op5_packing": (op5_packing, None),
+    "op8_language": (op8_language, None),
     "op6_near_copies": (op6_near_copies, None),
 }
