@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
+from obsweave.llm import line_windows
+from obsweave.llm.contamination import contaminated
 from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
 from obsweave.llm.near_copies import near_copy_groups
@@ -30,6 +32,10 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.drop_repeated_lines(observations(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -43,7 +49,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(obs, train(obs)).withColumnRenamed("obs_id", "doc_id")
 
 
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as evaluation incidents."""
+    return read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "incident_id")
+
+
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(observations(spark, sf_dir), incidents(spark, sf_dir))
+    return found.withColumnsRenamed({"obs_id": "doc_id", "incident_id": "item_id"})
+
+
 Q = {
+    "op4_line_windows": (op4_line_windows, line_windows.SQL),
+    "op10_contamination": (op10_contamination, None),
     "op3_disclosure": (op3_disclosure, None),
     "op5_packing": (op5_packing, None),
     "op8_language": (op8_language, None),
