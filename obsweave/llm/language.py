@@ -41,6 +41,12 @@ def _letters(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ink, data, 0x20).astype(np.uint8)[keep], owner[keep]
 
 
+def clean_texts(texts: Texts) -> Texts:
+    """The same texts as lower-case words of letters, one blank after each."""
+    data, owner = _letters(texts)
+    return Texts(data, np.searchsorted(owner, np.arange(texts.n + 1)))
+
+
 def gram_counts(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the n-grams, one row per text and one column per dimension, and the number of letters of each text."""
     data, owner = _letters(texts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
-from obsweave.llm import line_windows
+from obsweave.llm import line_windows, toxicity
 from obsweave.llm.contamination import contaminated
 from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
@@ -49,6 +49,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(obs, train(obs)).withColumnRenamed("obs_id", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir)
+    annotations = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "obs_id")
+    return toxicity.score(obs, toxicity.train(obs, annotations)).withColumnRenamed("obs_id", "doc_id")
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as evaluation incidents."""
     return read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "incident_id")
@@ -64,6 +70,7 @@ Q = {
     "op10_contamination": (op10_contamination, None),
     "op3_disclosure": (op3_disclosure, None),
     "op5_packing": (op5_packing, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op8_language": (op8_language, None),
     "op6_near_copies": (op6_near_copies, None),
 }
