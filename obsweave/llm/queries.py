@@ -12,6 +12,7 @@ from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
 from obsweave.llm.near_copies import near_copy_groups
 from obsweave.llm.packing import pack_windows
+from obsweave.llm.vector_codes import nearest_observations
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op7_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), "embedding")
+    found = nearest_observations(vectors, F.col("obs_id") % 100 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("obs_id").alias("vec_id"), "score")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     return identify(obs, train(obs)).withColumnRenamed("obs_id", "doc_id")
@@ -71,6 +78,7 @@ Q = {
     "op3_disclosure": (op3_disclosure, None),
     "op5_packing": (op5_packing, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op7_vector_codes": (op7_vector_codes, None),
     "op8_language": (op8_language, None),
     "op6_near_copies": (op6_near_copies, None),
 }

@@ -1,11 +1,11 @@
 """Toxic observation texts by weak supervision.
 
 Many voters look at each text: fixed lexicons, lexicons of word stems induced from annotated texts
-and patterns of writing. A generative label model takes only their first and second moments over all
-texts: given the label, voters are taken as independent but for the pairs whose covariance the label
-does not explain, so one factor of the covariance matrix gives every voter's accuracy and the rest
-its correlations. The posterior of the votes then labels a sample, on which a linear classifier over
-hashed words and word stems is trained; it scores every text.
+and patterns of writing. A generative label model explains all ballots by a hidden label: expectation
+maximisation gives each voter's rates of speaking up on toxic and on other texts, and what two voters
+still have in common within one label is their correlation, for which they share their weight. The
+posterior of the votes then labels a sample, on which a linear classifier over hashed words and word
+stems is trained; it scores every text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import fields, learnt, small_batches
+from obsweave.llm.common import cut, fields, learnt, small_batches
 from obsweave.llm.language import clean_texts
 from obsweave.llm.textbytes import U, Texts, mix, slices
 
@@ -27,20 +27,32 @@ LEXICONS = {
     "es": ["idiota", "imbécil", "estúpido", "basura", "escoria", "patético", "asqueroso", "payaso"],
 }
 STEMS = (4, 5, 6)
+#: Lexicons go by words of up to so many bytes and by the stems of longer ones.
+VOTE_STEM = 5
 INDUCED = 24
-PATTERNS = ("shouting", "exclaiming", "short")
+#: Texts of the sample that a dimension of the classifier must occur in.
+LEAST_SEEN = 4
+#: Standard deviations between the mean label of its texts and that of all.
+LEAST_DEVIATIONS = 5.0
+PATTERNS = ("shouting", "exclaiming", "short", "silent")
+#: Where the rates of the voter that speaks up when no lexicon does begin: other and toxic texts.
+SILENT = (0.95, 0.2)
 
 
-def stem_features(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, dimension) of every word and of every stem of a longer word, once per text."""
+def stem_features(texts: Texts, bits: int, stems: tuple[int, ...] = STEMS, longer_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(text, dimension) of every word and of every stem of a longer word, once per text.
+
+    Without ``longer_words`` a word that has a stem is that stem alone, so one word is one dimension.
+    """
     clean = clean_texts(texts)
     start, end, before = clean.words()
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = clean.sums()
     owner = np.repeat(np.arange(texts.n), np.diff(before))
-    rows, dims = [owner], [clean.hashes(sums, start, end) >> U(64 - bits)]
-    for n in STEMS:
+    whole = slice(None) if longer_words else end - start <= min(stems)
+    rows, dims = [owner[whole]], [clean.hashes(sums, start[whole], end[whole]) >> U(64 - bits)]
+    for n in stems:
         longer = end - start > n
         rows.append(owner[longer])
         dims.append(mix(clean.hashes(sums, start[longer], start[longer] + n) + U(n)) >> U(64 - bits))
@@ -49,14 +61,16 @@ def stem_features(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_dims(words: list[str], bits: int) -> np.ndarray:
-    t = Texts.of(pa.array(words, pa.string()))
-    return (t.hashes(t.sums(), t.off[:-1], t.off[1:]) >> U(64 - bits)).astype(np.int64)
+    return stem_features(Texts.of(pa.array(words, pa.string())), bits, (VOTE_STEM,), False)[1]
 
 
-def fires(texts: Texts, voter_of: np.ndarray, voters: int, rows: np.ndarray, dims: np.ndarray) -> np.ndarray:
+def fires(texts: Texts, voter_of: np.ndarray, voters: int, bits: int) -> np.ndarray:
     """Which voters speak up on each text (texts x voters)."""
-    v = voter_of[dims]
-    hit = np.bincount(rows[v >= 0] * voters + v[v >= 0], minlength=texts.n * voters).reshape(texts.n, voters) > 0
+    rows, dims = stem_features(texts, bits, (VOTE_STEM,), False)
+    hit = np.zeros((texts.n, voters), bool)
+    for table in voter_of:  # seed lexicons and induced ones may share a word
+        v = table[dims].astype(np.int64)
+        hit[rows[v >= 0], v[v >= 0]] = True
     size = np.maximum(np.diff(texts.off), 1)
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[texts.off])
     upper, letter = (texts.data >= 65) & (texts.data <= 90), ((texts.data | 32) >= 97) & ((texts.data | 32) <= 122)
@@ -64,71 +78,103 @@ def fires(texts: Texts, voter_of: np.ndarray, voters: int, rows: np.ndarray, dim
     hit[:, k] = count(upper) > 0.5 * np.maximum(count(letter), 1)
     hit[:, k + 1] = count(texts.data == 33) > 0.02 * size
     hit[:, k + 2] = size < 100
+    hit[:, k + 3] = ~hit[:, :k].any(axis=1)
     return hit
 
 
 def _stem_labels(bits: int):
     """Per task: in how many toxic and other annotated texts each dimension occurs (dimension -1: the texts)."""
     def run(batches):
-        total = np.zeros((2, (1 << bits) + 1), np.int64)
+        total, n = ([], []), [0, 0]
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 y = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-                rows, dims = stem_features(texts, bits)
+                rows, dims = stem_features(texts, bits, (VOTE_STEM,), False)
                 for k in (0, 1):
-                    total[k, :-1] += np.bincount(dims[y[rows] == k], minlength=1 << bits)
-                    total[k, -1] += (y == k).sum()
-        dim = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(dim == 1 << bits, -1, dim)), pa.array(total[1, dim]), pa.array(total[0, dim])], names=["dim", "pos", "neg"])
+                    total[k].append(dims[y[rows] == k])
+                    n[k] += int((y == k).sum())
+        # the annotated sample is bounded, and so is what one task holds of it
+        found = [np.unique(np.concatenate([np.full(n[k], -1), *total[k]]), return_counts=True) for k in (0, 1)]
+        for k, (dim, count) in enumerate(found):
+            none = np.zeros(len(dim), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(dim.astype(np.int64)), pa.array(count if k else none), pa.array(none if k else count)], names=["dim", "pos", "neg"])
     return run
 
 
-def _moments(bits: int, voter_of, voters: int):
-    """Per task: sums of the votes and of their products; (-1, -1) has the number of texts."""
+def _ballots(bits: int, voter_of, voters: int):
+    """Per text its votes as the bits of one number."""
     def run(batches):
-        n, second = 0, np.zeros((voters, voters), np.int64)
+        place = np.int64(1) << np.arange(voters, dtype=np.int64)
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                f = fires(texts, voter_of.value, voters, *stem_features(texts, bits)).astype(np.int32)
-                second += f.T @ f
-                n += texts.n
-        i, j = np.nonzero(second)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(second[i, j], n))], names=["i", "j", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(fires(texts, voter_of.value, voters, bits) @ place)], names=["votes"])
     return run
 
 
-def label_model(n: float, second: np.ndarray, prior: float, rounds: int = 200) -> dict:
-    """Rates at which each voter speaks up on toxic and other texts, and weights that discount correlated voters.
+def posterior(f: np.ndarray, m: dict) -> np.ndarray:
+    """Probability of the toxic label given the votes; not to speak up is to abstain, correlated voters share their weight."""
+    on = np.log(m["toxic"] / m["other"])
+    z = np.log(m["prior"] / (1 - m["prior"])) + (f * on / (1 + f @ m["linked"])).sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
-    With independent voters Cov(i, j) = p (1 - p) d_i d_j off the diagonal, where d is the difference
-    of a voter's two rates: a matrix of rank one, fitted to the pairs that are not yet taken as
-    correlated. Pairs whose residual correlation stays high are then taken out and the fit repeated.
-    """
-    m = len(second)
-    mean = np.diag(second) / max(n, 1)
-    cov = second / max(n, 1) - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    corr = cov / np.outer(sd, sd)
-    free = ~np.eye(m, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None, :]
-    load = np.full(m, 0.3)
-    for attempt in range(3):
-        for _ in range(rounds):
-            new = (free * corr) @ load / np.maximum(free @ load**2, 1e-9)
-            load = np.clip(0.5 * load + 0.5 * new, -0.99, 0.99)
-        rest = np.abs(corr - np.outer(load, load)) * ~np.eye(m, dtype=bool)
-        if attempt < 2:
-            free &= rest < 0.3
-    pq = max(prior * (1 - prior), 1e-6)
-    gap = load * sd / np.sqrt(pq)
-    toxic, other = np.clip(mean + (1 - prior) * gap, 1e-5, 1 - 1e-5), np.clip(mean - prior * gap, 1e-5, 1 - 1e-5)
-    linked = np.where(rest >= 0.3, rest, 0).sum(axis=1)
-    return {"toxic": toxic, "other": other, "weight": np.where(mean > 0, 1 / (1 + linked), 0), "prior": prior}
+def _expected(voters: int, model: dict):
+    """Per task, over the ballots weighted by their number: sums by label of the votes and of their products."""
+    def run(batches):
+        second, n = np.zeros((2, voters, voters)), np.zeros(2)
+        for batch in batches:
+            votes, c = batch.column("votes").to_numpy(), batch.column("c").to_numpy().astype(float)
+            f = ((votes[:, None] >> np.arange(voters)) & 1).astype(float)
+            q = posterior(f, model)
+            for k, w in enumerate((c * (1 - q), c * q)):
+                second[k] += (f * w[:, None]).T @ f
+                n[k] += w.sum()
+        k, i, j = np.nonzero(second)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, [0, 1]])), pa.array(np.concatenate([i, [-1, -1]])), pa.array(np.concatenate([j, [-1, -1]])),
+                                          pa.array(np.concatenate([second[k, i, j], n]))], names=["k", "i", "j", "v"])
+    return run
 
 
-def posterior(f: np.ndarray, m: dict) -> np.ndarray:
-    on, off = np.log(m["toxic"] / m["other"]), np.log((1 - m["toxic"]) / (1 - m["other"]))
-    z = np.log(m["prior"] / (1 - m["prior"])) + (m["weight"] * np.where(f, on, off)).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def label_model(ballots: DataFrame, start: np.ndarray, patterns: int, prior: float, rounds: int = 5) -> dict:
+    """Rates at which each voter speaks up on toxic and other texts, and the correlations of voters.
+
+    Expectation maximisation over all ballots (distinct votes and their number), each round one sum in
+    Spark; only sums by voter and by pair of voters come back. It starts from the rates in annotated
+    texts (``start``: other, toxic; patterns from their share of all texts), which also stay four
+    fifths of every estimate, so the hidden label remains this one and not, say, the language. The covariance of two voters within one label, which independent voters would not have, is
+    their correlation, by which they share their weight where both vote alike.
+    """
+    model, voters = None, start.shape[1]
+    for step in range(rounds + 1):
+        if model is None:
+            mean = np.zeros(voters)
+            total = ballots.agg(F.sum("c").alias("n"), *[F.sum(F.getbit("votes", F.lit(j)).cast("long") * F.col("c")).alias(f"v{j}") for j in range(voters)]).first()
+            n = float(total["n"] or 0)
+            mean[:] = [float(total[f"v{j}"] or 0) / max(n, 1) for j in range(voters)]
+            start = np.clip(start, 0, 0.9)
+            start[:, voters - patterns:] = mean[voters - patterns:]
+            start[:, -1] = SILENT
+            other, toxic = start
+            linked = np.zeros((voters, voters))
+        else:
+            second, size = np.zeros((2, voters, voters)), np.zeros(2)
+            for r in ballots.mapInArrow(_expected(voters, model), "k bigint, i bigint, j bigint, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():
+                if r["i"] < 0:
+                    size[r["k"]] = r["v"]
+                else:
+                    second[r["k"], r["i"], r["j"]] = r["v"]
+            rate = [(np.diag(second[k]) + 0.01) / (size[k] + 1) for k in (0, 1)]
+            other, toxic = (0.2 * rate[k] + 0.8 * start[k] for k in (0, 1))
+            if step == rounds:
+                linked = np.zeros((voters, voters))
+                for k in (0, 1):
+                    sd = np.sqrt(np.maximum(rate[k] * (1 - rate[k]), 1e-9))
+                    linked = np.maximum(linked, (second[k] / max(size[k], 1) - np.outer(rate[k], rate[k])) / np.outer(sd, sd) * (size[k] > 0))
+                np.fill_diagonal(linked, 0)
+                linked = np.where(linked > 0.3, linked, 0)
+        floor = 0.1 / max(n, 10)
+        model = {"toxic": np.clip(toxic, floor, 1 - floor), "other": np.clip(other, floor, 1 - floor), "linked": linked, "prior": prior}
+    return model
 
 
 def _sampled(bits: int, voter_of, voters: int, model: dict):
@@ -137,39 +183,42 @@ def _sampled(bits: int, voter_of, voters: int, model: dict):
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 rows, dims = stem_features(texts, bits)
-                y = posterior(fires(texts, voter_of.value, voters, rows, dims), model)
-                cut = np.searchsorted(rows, np.arange(texts.n + 1))
-                x = [dims[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                y = posterior(fires(texts, voter_of.value, voters, bits).astype(float), model)
+                edge = np.searchsorted(rows, np.arange(texts.n + 1))
+                x = [dims[a:b].astype(np.int32).tobytes() for a, b in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("mark"), pa.array(y), pa.array(x, pa.binary())], names=["mark", "y", "x"])
     return run
 
 
-def logistic(x: list[np.ndarray], y: np.ndarray, bits: int, rounds: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def logistic(x: list[np.ndarray], y: np.ndarray, bits: int, rounds: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sets of dimensions with soft labels (Adagrad, full passes)."""
-    w, b = np.zeros(1 << bits), 0.0
+    out = np.zeros(1 << bits)
     if not len(y):
-        return w, b
+        return out, 0.0
     row, col = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)
-    seen = np.bincount(col, minlength=1 << bits)
-    # what occurs in one text of the sample says nothing about others
-    row, col = row[seen[col] > 1], col[seen[col] > 1]
+    dims, col, seen = np.unique(col, return_inverse=True, return_counts=True)
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    b, gw, gb = float(np.log(p / (1 - p))), np.full(1 << bits, 1e-8), 1e-8
+    # only dimensions whose mean label is far from chance: the rest would add up to noise in long texts
+    far = np.abs(np.bincount(col, y[row], minlength=len(dims)) - seen * p) / np.sqrt(seen * p * (1 - p))
+    told = (seen >= LEAST_SEEN) & (far >= LEAST_DEVIATIONS)
+    row, col = row[told[col]], col[told[col]]
+    w, b, gw, gb = np.zeros(len(dims)), float(np.log(p / (1 - p))), np.full(len(dims), 1e-8), 1e-8
     for _ in range(rounds):
         z = b + np.bincount(row, w[col], minlength=len(y))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(col, e[row], minlength=1 << bits) + ridge * w
+        g = np.bincount(col, e[row], minlength=len(dims)) + ridge * w
         gw, gb = gw + g * g, gb + e.sum() ** 2
         w, b = w - 0.5 * g / np.sqrt(gw), b - 0.2 * e.sum() / np.sqrt(gb)
-    return w, b
+    out[dims] = w
+    return out, b
 
 
 def train(observations: DataFrame, annotations: DataFrame, obs_id: str = "obs_id", text: str = "text", toxic: str = "toxic", folds: int = 5, out: int = 0,
-          bits: int = 18, fit_rows: int = 10000, least: int = 8) -> dict:
+          bits: int = 22, fit_rows: int = 20000, least: int = 8) -> dict:
     """Learn from annotated texts whose crc32(obs_id) modulo ``folds`` is not ``out``.
 
     Stems come from about ``fit_rows`` annotated texts and the classifier from about as many texts of
-    the same folds, both chosen by hash; the moments of the votes come from all texts.
+    the same folds, both chosen by hash; the label model takes the ballots of all texts.
     """
     spark = observations.sparkSession
     small_batches(spark)
@@ -185,23 +234,22 @@ def train(observations: DataFrame, annotations: DataFrame, obs_id: str = "obs_id
     pos, neg = (float(both["pos"]), float(both["neg"])) if both else (0.0, 0.0)
     prior = float(np.clip((pos + 1) / (pos + neg + 2), 0.01, 0.99))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    best = (seen.where((F.col("dim") >= 0) & (F.col("pos") >= least)).withColumn("odds", odds).where("odds > 2.5")
-            .orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "dim").limit(40 * INDUCED).select("dim").collect())
-
-    voter_of = np.full(1 << bits, -1, np.int64)
-    for k, r in enumerate(best):
-        voter_of[r["dim"]] = len(LEXICONS) + k % INDUCED
-    for k, words in enumerate(LEXICONS.values()):
-        voter_of[_word_dims(words, bits)] = k
+    best = (seen.where((F.col("dim") >= 0) & (F.col("pos") >= least)).withColumn("odds", odds).where("odds > 4")
+            .orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "dim").limit(40 * INDUCED).select("dim", "pos", "neg").collect())
+
+    seeds = {int(d): k for k, words in enumerate(LEXICONS.values()) for d in _word_dims(words, bits)}
     voters = len(LEXICONS) + INDUCED + len(PATTERNS)
+    voter_of, start = np.full((2, 1 << bits), -1, np.int8), np.zeros((2, voters))
+    counted = [(seeds[r["dim"]], 0, r) for r in seen.where(F.col("dim").isin(list(seeds))).collect()]
+    counted += [(len(LEXICONS) + k % INDUCED, 1, r) for k, r in enumerate(best)]
+    for dim, k in seeds.items():
+        voter_of[0, dim] = k
+    for k, table, r in counted:
+        voter_of[table, r["dim"]] = k
+        start[:, k] += r["neg"] / max(neg, 1), r["pos"] / max(pos, 1)
     shared = spark.sparkContext.broadcast(voter_of)
-    sums = (rows.select("text").mapInArrow(_moments(bits, shared, voters), "i bigint, j bigint, v bigint").groupBy("i", "j").agg(F.sum("v").alias("v")).collect())
-    second = np.zeros((voters, voters))
-    n = sum(r["v"] for r in sums if r["i"] < 0)
-    for r in sums:
-        if r["i"] >= 0:
-            second[r["i"], r["j"]] = r["v"]
-    model = label_model(float(n), second, prior)
+    ballots = cut(rows.select("text").mapInArrow(_ballots(bits, shared, voters), "votes bigint").groupBy("votes").agg(F.count(F.lit(1)).alias("c")))
+    model = label_model(ballots, start, len(PATTERNS), prior)
     sample = (ours.where(dice(2) < fit_rows / max(ours.count(), 1)).select("text", F.xxhash64("id", "text").alias("mark"))
               .mapInArrow(_sampled(bits, shared, voters, model), "mark bigint, y double, x binary").toPandas().sort_values("mark"))
     w, b = logistic([np.frombuffer(v, np.int32) for v in sample["x"]], sample["y"].to_numpy(), bits)
