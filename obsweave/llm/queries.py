@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
-from obsweave.llm import line_windows, toxicity
+from obsweave.llm import licence_scan, line_windows, source_lists, toxicity
 from obsweave.llm.contamination import contaminated
 from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
@@ -24,6 +24,75 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_groups(observations(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
 
 
+def _host_sql(url: str) -> str:
+    raw = rf"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    return (f"regexp_extract(translate(regexp_replace({raw}, '^.*@', ''), '{source_lists.CAPITALS}', '{source_lists.SMALL}'), "
+            r"'^([^:]*[^:.])\.?(:[0-9]*)?$', 1)")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures; a page was fetched on a day of 2024 that follows from its id."""
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("capture_id"), "url",
+                                               F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 366).cast("int")).alias("fetched_at"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated entries for the hosts, domains and first path parts that pages hold, by their md5.
+
+    Every third host is blocked for some months and again in autumn, some of its paths are allowed
+    from May on, and some domains are blocked from a day of the year on.
+    """
+    url = read(spark, sf_dir, "pages").select(F.coalesce("url", F.lit("")).alias("url"))
+    parts = url.select(source_lists.host_of(F.col("url")).alias("host"), F.regexp_extract(source_lists.path_of(F.col("url")), "^/+([^/]+)", 1).alias("part"))
+    parts = parts.where("host <> ''").distinct()
+    roll = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("int")
+    day = lambda c, add: F.date_add(F.lit("2024-01-01").cast("date"), (c % 120 + add).cast("int"))
+    hosts = parts.select("host").distinct().withColumn("r", roll(F.col("host")))
+    picked = hosts.where("r % 3 = 0")
+    change = lambda df, name, scope, value, action, on: df.select(F.lit(name).alias("list_name"), F.lit(scope).alias("scope"), value.alias("value"),
+                                                                   F.lit(action).alias("action"), on.alias("listed_on"))
+    host = [change(picked, "hosts", "host", F.col("host"), a, day(F.col("r"), n)) for a, n in (("block", 0), ("remove", 90), ("block", 240))]
+    paths = parts.where("part <> ''").withColumn("r", roll(F.concat_ws("/", "host", "part"))).where("r % 5 = 0")
+    path = change(paths, "paths", "path", F.concat_ws("/", "host", "part"), "allow", day(F.col("r"), 120))
+    domains = hosts.select(F.element_at(F.split("host", r"\."), -2).alias("a"), F.element_at(F.split("host", r"\."), -1).alias("b")).where("a is not null")
+    domains = domains.select(F.concat_ws(".", "a", "b").alias("value")).distinct().withColumn("r", roll(F.col("value"))).where("r % 2 = 0")
+    domain = change(domains, "domains", "domain", F.col("value"), "block", day(F.col("r"), 60))
+    out = path.unionByName(domain)
+    for x in host:
+        out = out.unionByName(x)
+    return out
+
+
+def op1_source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_lists.filter_captures(captures(spark, sf_dir), list_entries(spark, sf_dir)).withColumnRenamed("capture_id", "page_id")
+
+
+OP1_SQL = rf"""
+WITH p AS (SELECT page_id, url, {_host_sql("coalesce(url, '')")} AS host,
+                  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+                  DATE '2024-01-01' + (page_id * 7 % 366)::INT AS at FROM pages),
+parts AS (SELECT DISTINCT host, regexp_extract(path, '^/+([^/]+)', 1) AS part FROM p WHERE host <> ''),
+h AS (SELECT DISTINCT host, ('0x' || md5(host)[1:6])::INT AS r FROM parts),
+dom AS (SELECT DISTINCT string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] AS value FROM h WHERE len(string_split(host, '.')) > 1),
+d AS (SELECT value, ('0x' || md5(value)[1:6])::INT AS r FROM dom),
+pt AS (SELECT host || '/' || part AS value, ('0x' || md5(host || '/' || part)[1:6])::INT AS r FROM parts WHERE part <> ''),
+ent AS (SELECT 'hosts' AS l, 'host' AS scope, host AS value, a AS action, DATE '2024-01-01' + (r % 120 + n) AS on_ FROM h, (VALUES ('block', 0), ('remove', 90), ('block', 240)) v(a, n) WHERE r % 3 = 0
+        UNION ALL SELECT 'paths', 'path', value, 'allow', DATE '2024-01-01' + (r % 120 + 120) FROM pt WHERE r % 5 = 0
+        UNION ALL SELECT 'domains', 'domain', value, 'block', DATE '2024-01-01' + (r % 120 + 60) FROM d WHERE r % 2 = 0),
+iv AS (SELECT *, lead(on_) OVER (PARTITION BY l, scope, value ORDER BY on_) AS off_ FROM ent),
+m AS (SELECT p.page_id, iv.* FROM p JOIN iv ON p.at >= iv.on_ AND (iv.off_ IS NULL OR p.at < iv.off_) AND iv.action <> 'remove' AND p.host <> ''
+      AND ((iv.scope = 'host' AND p.host = iv.value) OR (iv.scope = 'domain' AND ('.' || p.host) LIKE ('%.' || iv.value))
+           OR (iv.scope = 'path' AND iv.value = p.host || '/' || regexp_extract(p.path, '^/+([^/]+)', 1)))),
+best AS (SELECT page_id, count(*) AS n, min(struct_pack(w := CASE scope WHEN 'path' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, k := -length(value), action := action, l := l, scope := scope, value := value)) AS t
+         FROM m GROUP BY page_id)
+SELECT p.page_id, p.host, coalesce(t.action, 'none') AS decision, coalesce(n, 0)::BIGINT AS n_entries, t.l || ' ' || t.scope || ' ' || t.value AS decided_by FROM p LEFT JOIN best USING (page_id)
+"""
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(observations(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
+
+
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(observations(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
@@ -73,6 +142,8 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q = {
+    "op1_source_lists": (op1_source_lists, OP1_SQL),
+    "op2_licence_scan": (op2_licence_scan, licence_scan.sql()),
     "op4_line_windows": (op4_line_windows, line_windows.SQL),
     "op10_contamination": (op10_contamination, None),
     "op3_disclosure": (op3_disclosure, None),

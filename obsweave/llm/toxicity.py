@@ -34,6 +34,8 @@ INDUCED = 24
 LEAST_SEEN = 4
 #: Standard deviations between the mean label of its texts and that of all.
 LEAST_DEVIATIONS = 5.0
+#: Dimensions of the classifier, those farthest from chance.
+MOST_DIMENSIONS = 20_000
 PATTERNS = ("shouting", "exclaiming", "short", "silent")
 #: Where the rates of the voter that speaks up when no lexicon does begin: other and toxic texts.
 SILENT = (0.95, 0.2)
@@ -190,27 +192,64 @@ def _sampled(bits: int, voter_of, voters: int, model: dict):
     return run
 
 
-def logistic(x: list[np.ndarray], y: np.ndarray, bits: int, rounds: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def _label_sums():
+    """Per task: in how many texts of the sample each dimension occurs, and the sum of their labels."""
+    def run(batches):
+        for batch in batches:
+            x = [np.frombuffer(v.as_py(), np.int32) for v in batch.column("x")]
+            y = np.repeat(batch.column("y").to_numpy(), [len(v) for v in x])
+            dims, at, n = np.unique(np.concatenate(x), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(dims.astype(np.int64)), pa.array(n), pa.array(np.bincount(at, y, minlength=len(dims)))], names=["dim", "n", "y"])
+    return run
+
+
+def _only(dims: np.ndarray):
+    """The sample with nothing but these (sorted) dimensions, by their place."""
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for v in batch.column("x"):
+                x = np.frombuffer(v.as_py(), np.int32)
+                kept.append(np.flatnonzero(np.isin(dims, x, assume_unique=True)).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("y"), pa.array(kept, pa.binary())], names=["mark", "y", "x"])
+    return run
+
+
+def logistic(x: list[np.ndarray], y: np.ndarray, dims: int, rounds: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sets of dimensions with soft labels (Adagrad, full passes)."""
-    out = np.zeros(1 << bits)
+    w, gw = np.zeros(dims), np.full(dims, 1e-8)
     if not len(y):
-        return out, 0.0
+        return w, 0.0
     row, col = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)
-    dims, col, seen = np.unique(col, return_inverse=True, return_counts=True)
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    # only dimensions whose mean label is far from chance: the rest would add up to noise in long texts
-    far = np.abs(np.bincount(col, y[row], minlength=len(dims)) - seen * p) / np.sqrt(seen * p * (1 - p))
-    told = (seen >= LEAST_SEEN) & (far >= LEAST_DEVIATIONS)
-    row, col = row[told[col]], col[told[col]]
-    w, b, gw, gb = np.zeros(len(dims)), float(np.log(p / (1 - p))), np.full(len(dims), 1e-8), 1e-8
+    b, gb = float(np.log(p / (1 - p))), 1e-8
     for _ in range(rounds):
         z = b + np.bincount(row, w[col], minlength=len(y))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(col, e[row], minlength=len(dims)) + ridge * w
+        g = np.bincount(col, e[row], minlength=dims) + ridge * w
         gw, gb = gw + g * g, gb + e.sum() ** 2
         w, b = w - 0.5 * g / np.sqrt(gw), b - 0.2 * e.sum() / np.sqrt(gb)
-    out[dims] = w
-    return out, b
+    return w, b
+
+
+def fit_linear(sample: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """The classifier on a labelled sample, over the dimensions whose mean label is far from chance.
+
+    The rest would add up to noise in long texts; it is left out before anything reaches the driver.
+    """
+    whole = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("p")).first()
+    weights = np.zeros(1 << bits, np.float32)
+    if not whole["n"]:
+        return weights, 0.0
+    p = float(np.clip(whole["p"], 1e-3, 1 - 1e-3))
+    sums = sample.mapInArrow(_label_sums(), "dim bigint, n bigint, y double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    far = F.abs(F.col("y") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
+    best = sums.where((F.col("n") >= LEAST_SEEN) & (far >= LEAST_DEVIATIONS)).orderBy(F.desc(far), "dim").limit(MOST_DIMENSIONS).select("dim").collect()
+    dims = np.sort(np.array([r["dim"] for r in best], np.int32))
+    rows = sample.mapInArrow(_only(dims), "mark bigint, y double, x binary").toPandas().sort_values("mark")
+    w, b = logistic([np.frombuffer(v, np.int32) for v in rows["x"]], rows["y"].to_numpy(), len(dims))
+    weights[dims] = w
+    return weights, b
 
 
 def train(observations: DataFrame, annotations: DataFrame, obs_id: str = "obs_id", text: str = "text", toxic: str = "toxic", folds: int = 5, out: int = 0,
@@ -250,10 +289,10 @@ def train(observations: DataFrame, annotations: DataFrame, obs_id: str = "obs_id
     shared = spark.sparkContext.broadcast(voter_of)
     ballots = cut(rows.select("text").mapInArrow(_ballots(bits, shared, voters), "votes bigint").groupBy("votes").agg(F.count(F.lit(1)).alias("c")))
     model = label_model(ballots, start, len(PATTERNS), prior)
-    sample = (ours.where(dice(2) < fit_rows / max(ours.count(), 1)).select("text", F.xxhash64("id", "text").alias("mark"))
-              .mapInArrow(_sampled(bits, shared, voters, model), "mark bigint, y double, x binary").toPandas().sort_values("mark"))
-    w, b = logistic([np.frombuffer(v, np.int32) for v in sample["x"]], sample["y"].to_numpy(), bits)
-    return {"weights": w.astype(np.float32), "bias": b, "bits": bits, "labels": model, "voters": voter_of}
+    sample = cut(ours.where(dice(2) < fit_rows / max(ours.count(), 1)).select("text", F.xxhash64("id", "text").alias("mark"))
+                 .mapInArrow(_sampled(bits, shared, voters, model), "mark bigint, y double, x binary"))
+    w, b = fit_linear(sample, bits)
+    return {"weights": w, "bias": b, "bits": bits, "labels": model, "voters": voter_of}
 
 
 def _score(model):
