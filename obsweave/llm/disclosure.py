@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = re.compile(r"[^\W_]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Counted terms held before a task hands them on.
@@ -183,7 +183,7 @@ def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str =
         "near array<struct<entity:string,term:string,start:bigint,end:bigint>>, term string, df bigint"))
     texts = got.where("term is null").select("id", "mark", "spans", "near")
     near = cut(texts.where("size(near) > 0").dropDuplicates(["id", "mark"]).select("id", "mark", F.explode("near").alias("m")).select("id", "mark", "m.*"))
-    df = got.where("term is not null").select("term", "df").join(near.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = got.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).join(near.select("term").distinct(), "term", "left_semi")
     reveal = cut(reveal_table(near, df, texts.count(), generalise_at, remove_at, least_texts))
     extra = (near.join(reveal, ["entity", "term"]).groupBy("mark", "start", "end").agg(F.max("action").alias("action"))
              .groupBy("mark").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "action"))).alias("extra")))
