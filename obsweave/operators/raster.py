@@ -19,7 +19,7 @@ from obsweave.session import cut
 # Fixed values of the detectors.
 SAR_THRESHOLD_DB, SAR_SATURATE_DB, SAR_MIN_PX = 4.0, 12.0, 4
 FLOOD_DELTA, BURN_DELTA, OPTICAL_MIN_PX, OPTICAL_SATURATE = 0.20, 0.25, 6, 0.55
-LAND_FLOOR_DB, MIN_WATER_PX, CFAR_SIGMA, CFAR_MARGIN_DB, VESSEL_MIN_PX, VESSEL_MAX_PX, VESSEL_SATURATE_DB = -28.0, 50, 4.0, 8.0, 2, 300, 12.0
+LAND_FLOOR_DB, MIN_WATER_PX, CFAR_SIGMA, CFAR_MARGIN_DB, VESSEL_MIN_PX, VESSEL_MAX_PX, VESSEL_SATURATE_DB = -28.0, 50, 4.0, 8.0, 2, 300, 10.0
 CLOUD_CLASSES, WATER_CLASS = [3, 8, 9, 10, 11], 6
 CONFIDENCE_BANDS = [("very_high", 0.85, 0.95), ("high", 0.70, 0.85), ("medium", 0.50, 0.65), ("low", 0.30, 0.45), ("very_low", 0.00, 0.20)]
 PX = ["footprint", "row", "col"]
