@@ -15,8 +15,9 @@ GATE = {"event_recall": 0.95, "pairwise_recall": 0.90, "over_merge": 0.0, "band_
 TRUTH_GRADES = (2, 4)
 
 
-def predicted_partition(events: DataFrame) -> DataFrame:
-    return events.select("event_id", F.explode("created_from_obs").alias("obs_id"))
+def predicted_partition(members: DataFrame, events: DataFrame) -> DataFrame:
+    """Event of every record, from the bridge, so events of any size keep all their members."""
+    return members.select("component", "obs_id").join(events.select("component", "event_id"), "component").select("event_id", "obs_id")
 
 
 def incident_members(truth: DataFrame) -> DataFrame:

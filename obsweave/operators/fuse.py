@@ -16,10 +16,7 @@ from obsweave.operators.block import block
 from obsweave.operators.components import component_labels
 from obsweave.session import cut
 
-# Events with more members than this get an id from a sum over members instead of the joined list,
-# and carry no member array; the member table holds their rows.
-MEMBER_LIST_ROWS = 100_000
-
+UNKNOWN_PRECISION_M = 1000.0     # fixed value
 VERDICT_SCHEMA = "same boolean, confidence double, rationale string, evidence_spans array<string>, tier string"
 
 
@@ -145,28 +142,44 @@ def event_flags(n_families: Column, n_sources: Column, needs_check: Column, band
         F.when(band == "Rumored", F.when(n_families == 1, "single-source").otherwise("low-confidence")))))
 
 
-def build_events(members: DataFrame, theater: str = "ua_donbas", list_rows: int = MEMBER_LIST_ROWS) -> DataFrame:
-    """One event per ``component`` of rows (obs_id, component, source_id, obs_type, cell_id, ...)."""
+def fingerprint(value: Column) -> tuple[Column, Column]:
+    """Order-free identity of a set of values: sums over two 60-bit parts of their hashes."""
+    h = F.sha2(value, 256)
+    one, two = (F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17))
+    return one, two
+
+
+def build_events(members: DataFrame, theater: str = "ua_donbas") -> DataFrame:
+    """One event per ``component`` of rows (obs_id, component, source_id, obs_type, cell_id, ...).
+
+    The id comes from type, cell and ``member_digest`` (number and fingerprint of the members), which
+    is combined in the map tasks, so events of any size are treated alike; their members are rows of
+    the bridge (`event_members`). ``theater`` stands in for members without a theater of their own.
+    """
+    own = F.coalesce(F.min("theater_id"), F.lit(theater)) if "theater_id" in members.columns else F.lit(theater)
+    one, two = fingerprint(F.col("obs_id"))
     rep = F.struct(F.col("geom_precision_m").alias("p"), F.col("cell_id").alias("c"))
     core = members.groupBy("component").agg(
         F.min("occurred_start").alias("occurred_start"), F.max("occurred_end").alias("occurred_end"),
         F.count(F.lit(1)).alias("n_sources"), F.min(rep).alias("rep"),
-        F.max(F.coalesce(F.col("needs_check"), F.lit(False))).alias("needs_check"),
-        # order-free member fingerprint, combined in the map tasks
-        F.sum(F.conv(F.substring(F.sha2("obs_id", 256), 1, 15), 16, 10).cast("decimal(20,0)")).alias("finger"))
+        F.max(F.coalesce(F.col("needs_check"), F.lit(False))).alias("needs_check"), own.alias("theater_id"),
+        F.concat_ws(":", F.count(F.lit(1)).cast("string"), one, two).alias("member_digest"))
     d = core.join(noisy_or(members), "component").join(type_mode(members), "component")
-    small = members.join(core.where(F.col("n_sources") <= list_rows).select("component"), "component", "left_semi")
-    lists = small.groupBy("component").agg(F.array_sort(F.collect_list("obs_id")).alias("created_from_obs"))
-    d = d.join(lists, "component", "left")
     d = (d.withColumn("cell_id", F.col("rep.c")).withColumn("resolved_precision_m", F.col("rep.p"))
          .withColumn("confidence_band", confidence_band(F.col("confidence"), F.col("n_independent_families")))
          .withColumn("status", F.when(F.col("n_independent_families") >= 2, "confirmed").otherwise("candidate")))
     d = d.withColumn("flags", event_flags(F.col("n_independent_families"), F.col("n_sources"), F.col("needs_check"), F.col("confidence_band")))
-    ids = F.coalesce(F.array_join("created_from_obs", "|"), F.concat_ws(":", F.lit("members"), F.col("n_sources").cast("string"), F.col("finger").cast("string")))
     return d.select(
-        T.uuid_form(F.sha2(F.concat_ws("|", "event_type", "cell_id", ids), 256)).alias("event_id"),
-        F.lit(theater).alias("theater_id"), "component", "event_type", "cell_id", "occurred_start", "occurred_end", "status",
-        F.round("confidence", 6).alias("confidence"), "confidence_band", "n_sources", "n_independent_families", "resolved_precision_m", "flags", "created_from_obs")
+        T.uuid_form(F.sha2(F.concat_ws("|", "event_type", "cell_id", "member_digest"), 256)).alias("event_id"),
+        "theater_id", "component", "event_type", "cell_id", "occurred_start", "occurred_end", "status",
+        F.round("confidence", 6).alias("confidence"), "confidence_band", "n_sources", "n_independent_families", "resolved_precision_m", "flags", "member_digest")
+
+
+def published_events(members: DataFrame, events: DataFrame) -> DataFrame:
+    """Events in the published form, for gate-sized tables: the sorted member list is in the row and in the id."""
+    lists = members.groupBy("component").agg(F.array_sort(F.collect_list("obs_id")).alias("created_from_obs"))
+    ident = F.concat_ws("|", "event_type", "cell_id", F.array_join("created_from_obs", "|"))
+    return events.join(lists, "component").withColumn("event_id", T.uuid_form(F.sha2(ident, 256)))
 
 
 def propagate(obs: DataFrame, edges: DataFrame, flagged: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -203,9 +216,15 @@ class Fusion:
     rejections: DataFrame
 
 
+def with_precision(obs: DataFrame) -> DataFrame:
+    """Records of unknown precision (null, zero or less) count as precise to 1 km, the size of a cell."""
+    p = F.col("geom_precision_m")
+    return obs.withColumn("geom_precision_m", F.when(p > 0, p).otherwise(F.lit(UNKNOWN_PRECISION_M)))
+
+
 def group(obs: DataFrame, landcover: str | None = None) -> DataFrame:
     """Records with group and pair features, materialised for the two sides of the pair join."""
-    return cut(score.prepare(block(obs), landcover))
+    return cut(score.prepare(block(with_precision(obs)), landcover))
 
 
 def fuse(obs: DataFrame, verdicts: DataFrame | None = None, theater: str = "ua_donbas", landcover: str | None = None,
@@ -221,7 +240,8 @@ def fuse(obs: DataFrame, verdicts: DataFrame | None = None, theater: str = "ua_d
     edges = (scored.where("band = 'same'").select(F.col("obs_a").alias("a"), F.col("obs_b").alias("b"))
              .unionByName(colocated_edges(grouped))
              .unionByName(decisions.where("same").select(F.col("obs_a").alias("a"), F.col("obs_b").alias("b"))))
-    slim = grouped.select("obs_id", "source_id", "obs_type", "cell_id", "occurred_start", "occurred_end", "geom_precision_m")
+    own = ["theater_id"] if "theater_id" in grouped.columns else []
+    slim = grouped.select("obs_id", *own, "source_id", "obs_type", "cell_id", "occurred_start", "occurred_end", "geom_precision_m")
     members, rejections = propagate(slim, edges, flagged_obs(decisions))
     members = cut(members)
     return Fusion(grouped, scored, decisions, members, build_events(members, theater), rejections)
@@ -240,42 +260,40 @@ def coverage_audit(obs: DataFrame, members: DataFrame, rejections: DataFrame) ->
     return out.withColumn("ok", F.expr("duplicated = 0 and unaccounted = 0 and extra = 0"))
 
 
-def canonical_line(events: DataFrame) -> Column:
-    """Sorted-key JSON text of an event, as the digest reads it."""
+def canonical_line(obs: Column) -> Column:
+    """Sorted-key JSON text of an event, as the digest reads it; ``obs`` is the JSON of its members."""
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    arr = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, q), ", "), F.lit("]"))
     parts = [('"band": ', q(F.col("confidence_band"))), (', "cell_id": ', q(F.col("cell_id"))),
              (', "confidence": ', F.col("confidence").cast("string")), (', "event_type": ', q(F.col("event_type"))),
-             (', "flags": ', arr(F.col("flags"))), (', "n_families": ', F.col("n_independent_families").cast("string")),
-             (', "obs": ', arr(F.col("created_from_obs"))), (', "status": ', q(F.col("status")))]
+             (', "flags": ', json_list("flags")), (', "n_families": ', F.col("n_independent_families").cast("string")),
+             (', "obs": ', obs), (', "status": ', q(F.col("status")))]
     cols = [F.lit("{")]
     for k, v in parts:
         cols += [F.lit(k), v]
     return F.concat(*cols, F.lit("}"))
 
 
-def digest_lines(events: DataFrame) -> DataFrame:
-    return events.select(canonical_line(events).alias("line"))
+def json_list(column: str) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(column, lambda c: F.concat(F.lit('"'), c, F.lit('"'))), ", "), F.lit("]"))
 
 
 def digest(events: DataFrame) -> DataFrame:
-    """Order-free identity of an event table: row count and a sum over per-line hashes.
+    """Order-free identity of an event table: row count and sums over per-line hashes.
 
     It is a plain aggregation, so it works at any size; `digest_sha256` gives the published form.
     """
-    h = F.sha2("line", 256)
-    part = lambda p: F.sum(F.conv(F.substring(h, p, 15), 16, 10).cast("decimal(20,0)"))
-    lines = events.select(F.coalesce(canonical_line(events), F.col("event_id")).alias("line"))
-    return lines.agg(F.count(F.lit(1)).alias("n_events"), part(1).cast("string").alias("sum_a"), part(17).cast("string").alias("sum_b"))
+    lines = events.select(canonical_line(F.concat(F.lit('"'), "member_digest", F.lit('"'))).alias("line"))
+    one, two = fingerprint(F.col("line"))
+    return lines.agg(F.count(F.lit(1)).alias("n_events"), one.alias("sum_a"), two.alias("sum_b"))
 
 
 def digest_sha256(events: DataFrame) -> str:
-    """sha256 over the sorted canonical lines. It streams lines partition by partition, so use it for
+    """sha256 over the sorted canonical lines of `published_events`. It streams lines partition by partition, so use it for
     gate-sized event tables; `digest` compares runs of any size."""
     import hashlib
 
     h, first = hashlib.sha256(), True
-    for row in digest_lines(events).orderBy("line").toLocalIterator():
+    for row in events.select(canonical_line(json_list("created_from_obs")).alias("line")).orderBy("line").toLocalIterator():
         h.update(row["line"].encode() if first else b"\n" + row["line"].encode())
         first = False
     return h.hexdigest()

@@ -118,7 +118,7 @@ def events_from(members: str, out: str = "evt", component: str = "component") ->
         f"conf_ AS (SELECT {component}, round(1 - product(1 - c), 12) AS confidence, count(*) AS n_independent_families FROM fam_ GROUP BY ALL)",
         f"mode_ AS (SELECT {component}, arg_min(obs_type, (-n, obs_type)) AS event_type FROM (SELECT {component}, obs_type, count(*) AS n FROM m_ GROUP BY ALL) GROUP BY ALL)",
         f"core_ AS (SELECT {component}, min(occurred_start) AS occurred_start, max(occurred_end) AS occurred_end, count(*) AS n_sources, min((geom_precision_m, cell_id)) AS rep,"
-        f" bool_or(needs_check) AS needs_check, string_agg(obs_id, '|' ORDER BY obs_id) AS obs FROM m_ GROUP BY ALL)",
+        f" bool_or(needs_check) AS needs_check, count(*) || ':' || sum(('0x' || substr(sha256(obs_id), 1, 15))::BIGINT) || ':' || sum(('0x' || substr(sha256(obs_id), 17, 15))::BIGINT) AS obs FROM m_ GROUP BY ALL)",
         f"full_ AS (SELECT core_.*, confidence, n_independent_families, event_type, rep[2] AS cell_id, rep[1] AS resolved_precision_m, {BAND} AS confidence_band,"
         f" CASE WHEN n_independent_families >= 2 THEN 'confirmed' ELSE 'candidate' END AS status"
         f" FROM core_ JOIN conf_ USING ({component}) JOIN mode_ USING ({component}))",

@@ -206,7 +206,7 @@ class Run:
                  .unionByName(FU.colocated_edges(self.grouped))
                  .unionByName(self.decisions.where("same").select(F.col("obs_a").alias("a"), F.col("obs_b").alias("b"))))
         self.edges = edges
-        self.slim = self.grouped.select("obs_id", "event_id", "user_id", "source_id", "obs_type", "cell_id", "occurred_start", "occurred_end", "geom_precision_m")
+        self.slim = self.grouped.select("obs_id", "event_id", "theater_id", "user_id", "source_id", "obs_type", "cell_id", "occurred_start", "occurred_end", "geom_precision_m")
 
     def members(self):
         return FU.propagate(self.slim, self.edges, FU.flagged_obs(self.decisions))
@@ -259,6 +259,14 @@ def _(spark, sf):
         "n_independent_families", "resolved_precision_m", F.array_join("flags", ",").alias("flags"))
 
 
+@query("predicted_partition", with_("centroids", *FUSE, *SCORE_SQL, *DECIDE_SQL, *EVT2, "SELECT evt.event_id, obs_id FROM m_ JOIN evt USING (component)", recursive=True))
+def _(spark, sf):
+    from obsweave.operators.evaluate import predicted_partition
+    from obsweave.session import cut
+    m = cut(Run(spark, sf).members()[0])
+    return predicted_partition(m, FU.build_events(m))
+
+
 @query("fuse_run_counters", with_("centroids", *FUSE, *SCORE_SQL, *DECIDE_SQL, """SELECT (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM grp GROUP BY g))::BIGINT AS pairs_seen,
  (SELECT count(DISTINCT g) FROM grp) AS groups, count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT hit) AS degraded_keep_separate FROM dec""", recursive=True))
 def _(spark, sf):

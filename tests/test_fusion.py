@@ -40,7 +40,7 @@ def golden(spark):
 
 
 def test_golden_digest_and_counts(spark, golden):
-    assert FU.digest_sha256(golden.events) == "bf11cd6b257d83cb96ab420428319638062fbab5e92605018fed899b9293c5fb"
+    assert FU.digest_sha256(FU.published_events(golden.members, golden.events)) == "bf11cd6b257d83cb96ab420428319638062fbab5e92605018fed899b9293c5fb"
     c = FU.run_counters(golden.grouped, golden.decisions).first()
     assert (c.groups, c.pairs_seen, c.cache_hits, c.degraded_keep_separate) == (9, 10, 7, 0)
     a = FU.coverage_audit(golden_obs(spark), golden.members, golden.rejections).first()
@@ -124,8 +124,35 @@ def test_scored_pairs_equal_brute_force(spark, seed, monkeypatch):
         assert len(rows) == len(want) and {tuple(r) for r in rows} == want
 
 
-def test_big_events_keep_members_in_the_bridge(spark, golden):
-    few = FU.build_events(golden.members, list_rows=1)
-    assert few.count() == golden.events.count()
-    assert few.where("created_from_obs is null and n_sources > 1").count() == 6
-    assert FU.event_members(golden.members, few).count() == 18
+def test_one_id_formula_and_members_in_the_bridge(spark, golden):
+    import hashlib
+    assert "created_from_obs" not in golden.events.columns
+    rows = {}
+    for r in E.predicted_partition(golden.members, golden.events).collect():
+        rows.setdefault(r.event_id, []).append(r.obs_id)
+    assert sum(map(len, rows.values())) == 18
+    for e in golden.events.collect():
+        h = [hashlib.sha256(o.encode()).hexdigest() for o in rows[e.event_id]]
+        want = f"{len(h)}:{sum(int(x[:15], 16) for x in h)}:{sum(int(x[16:31], 16) for x in h)}"
+        ident = hashlib.sha256(f"{e.event_type}|{e.cell_id}|{want}".encode()).hexdigest()
+        assert e.member_digest == want and e.event_id.replace("-", "") == ident[:32]
+
+
+def test_theaters_stay_apart(spark):
+    rows = board(7, 40)
+    both = rows + [{**r, "obs_id": "x" + r["obs_id"], "theater_id": "u"} for r in rows]
+    got = {}
+    for r in B.block(placed(spark, both)).select("obs_id", "theater_id", "group_id").collect():
+        got.setdefault(r.group_id, set()).add(r.theater_id)
+    assert all(len(v) == 1 for v in got.values())
+    one = {r.group_id for r in B.block(placed(spark, rows)).select("group_id").collect()}
+    assert len(got) == 2 * len(one)
+    run = FU.fuse(placed(spark, both))
+    assert {r.theater_id for r in run.events.collect()} == {"t", "u"}
+
+
+def test_unknown_precision_is_a_cell(spark):
+    rows = board(3, 3)
+    for r, p in zip(rows, (None, 0.0, 300.0)):
+        r["geom_precision_m"] = p
+    assert {r.obs_id: r.geom_precision_m for r in FU.with_precision(frame(spark, rows)).collect()} == {"o000": 1000.0, "o001": 1000.0, "o002": 300.0}
