@@ -148,7 +148,7 @@ def collection_gap(events: DataFrame, now: str) -> DataFrame:
     score = F.round(sev * recency_factor(F.col("occurred_start"), now), 4)
     return events.where((F.coalesce("n_independent_families", F.lit(0)) < 2) & (sev >= GAP_MIN_SEVERITY) & F.col("occurred_start").isNotNull()
                         & (age_days(F.col("occurred_start"), now) <= GAP_DAYS)).withColumn("score", score).where(F.col("score") >= GAP_MIN).select(
-        "event_id", "cell_id", F.lit("gap").alias("kind"), "score",
+        "event_id", "cell_id", F.lit("gaps").alias("kind"), "score",
         F.concat(F.lit("recent "), spoken(F.col("event_type")), F.lit(" from a single source — needs a second independent source to confirm.")).alias("rationale"))
 
 

@@ -113,7 +113,7 @@ def resolve_to_cell(df: DataFrame, grid: DataFrame, alias: DataFrame | None = No
     return (d.withColumn("cell_id", F.coalesce("point_cell", "alias_cell"))
             .withColumn("resolved_by", F.when(F.col("point_cell").isNotNull(), "point").when(by_name, F.col("how")))
             .withColumn("place_name_only", by_name).withColumn("place_id", F.when(by_name, F.col("alias_place")).otherwise(own))
-            .withColumn("resolution", F.when(by_name, "COARSE").otherwise(F.col("resolution")))
+            .withColumn("resolution", F.when(by_name, "place_only").otherwise(F.col("resolution")))
             .drop("point_cell", "alias_cell", "alias_place", "how"))
 
 

@@ -26,8 +26,8 @@ PX = ["footprint", "row", "col"]
 
 
 # ------------------------------------------------------------------ stacks
-def fetch_window(tiles: DataFrame, start: str, end: str, equals: dict | None = None, contains: dict | None = None, below: dict | None = None, cap: int = 50) -> DataFrame:
-    """Tiles of a date window that pass the filters; the first ``cap`` granules by time (the request's own limit)."""
+def fetch_window(tiles: DataFrame, start: str, end: str, equals: dict | None = None, contains: dict | None = None, below: dict | None = None, cap: int | None = None) -> DataFrame:
+    """Tiles of a date window that pass the filters; with ``cap`` only the first granules by time (a request's own limit)."""
     d = tiles.where((F.col("acq_start") >= F.lit(start).cast("timestamp")) & (F.col("acq_start") < F.lit(end).cast("timestamp")))
     for k, v in (equals or {}).items():
         d = d.where(F.col(k) == v)
@@ -35,7 +35,7 @@ def fetch_window(tiles: DataFrame, start: str, end: str, equals: dict | None = N
         d = d.where(F.array_contains(k, v))
     for k, v in (below or {}).items():
         d = d.where(F.col(k) < v)
-    return d.orderBy("acq_start", "tile_id").limit(cap)
+    return d if cap is None else d.orderBy("acq_start", "tile_id").limit(cap)
 
 
 def group_footprint(tiles: DataFrame) -> DataFrame:

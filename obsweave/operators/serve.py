@@ -98,10 +98,10 @@ def event_assessments(events: DataFrame, assessed: DataFrame, kind: str, limit:
     return assessed.where(F.col("kind") == kind).join(events.select(*cols), "event_id").orderBy(F.desc("score"), "event_id").limit(limit)
 
 
-def insights(assessed: DataFrame, centroids: DataFrame, nearest: DataFrame, limit: int = 25) -> DataFrame:
-    """Best rows of every kind with cell centre and nearest place."""
+def insights(assessed: DataFrame, nearest: DataFrame, limit: int = 25) -> DataFrame:
+    """Best rows of every kind with the nearest place; the cell is the only position."""
     top = A.top_n_per_kind(assessed.withColumn("event_id", F.coalesce("event_id", "cell_id")), limit)
-    return top.join(centroids.select("cell_id", "lon", "lat"), "cell_id", "left").join(nearest.select("cell_id", F.col("label").alias("place_label")), "cell_id", "left")
+    return top.join(nearest.select("cell_id", F.col("label").alias("place_label")), "cell_id", "left")
 
 
 def display_band(band: Column, flags: Column) -> Column:

@@ -108,7 +108,7 @@ def _(spark, sf):
 
 
 @query("assess_kinds", with_("events", *ANOM, *SIG, f"""SELECT 'significance' AS kind, least(250, (SELECT count(*) FROM sig WHERE score >= 0.08)) AS n UNION ALL SELECT 'anomaly', (SELECT count(*) FROM anom)
- UNION ALL SELECT 'gap', least(80, (SELECT count(*) FROM evt WHERE n_independent_families < 2 AND {SEV} >= 0.75 AND {AGE} <= 120 AND round({SEV} * (0.3{D} + 0.7{D} * {REC}), 4) >= 0.2))"""))
+ UNION ALL SELECT 'gaps', least(80, (SELECT count(*) FROM evt WHERE n_independent_families < 2 AND {SEV} >= 0.75 AND {AGE} <= 120 AND round({SEV} * (0.3{D} + 0.7{D} * {REC}), 4) >= 0.2))"""))
 def _(spark, sf):
     return A.assess(events(spark, sf), NOW).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 

@@ -163,18 +163,37 @@ def violence_type(c: Column) -> Column:
     return dims.choose(F.floor(number(c)).cast("int"), VIOLENCE_TYPE, "other")
 
 
-def parse_conflict_row(df: DataFrame, theater: str = "ua_donbas") -> DataFrame:
-    """Conflict rows -> raw observations; rows without any place or date are left out."""
+def _conflict_fields(df: DataFrame, text_limit: int | None = None) -> DataFrame:
     place = filled("where_coordinates", "adm_2", "adm_1", "where_description")
     article = F.trim(F.coalesce(filled("source_article", "source_headline"), F.lit("")))
     best = F.col("best")
     text = F.concat(F.coalesce(filled("conflict_name", "dyad_name"), F.lit("armed conflict")), F.lit(" — "), F.coalesce(place, F.lit("unknown location")),
                     F.when(best.isNotNull() & ~best.isin("", "0"), F.concat(F.lit("; best fatality estimate "), best)).otherwise(""),
-                    F.when(article != "", F.concat(F.lit("; "), F.substring(article, 1, 160))).otherwise(""))
+                    F.when(article != "", F.concat(F.lit("; "), article if text_limit is None else F.substring(article, 1, text_limit))).otherwise(""))
     start, end = parse_date_multi(filled("date_start", "date_end")), parse_date_multi(filled("date_end", "date_start"))
     d = df.select("*", number(F.col("latitude")).alias("lat"), number(F.col("longitude")).alias("lon"), place.alias("place_name"), start.alias("occurred_start"),
                   F.coalesce(end, start).alias("occurred_end"), text.alias("text"))
-    d = d.where("occurred_start is not null and (lat is not null or lon is not null or place_name is not null)")
+    somewhere = "lat is not null or lon is not null or place_name is not null"
+    return d.withColumn("parse_reason", F.when(F.col("occurred_start").isNull(), "no_date").when(~F.expr(somewhere), "no_place"))
+
+
+def unparsed_rows(df: DataFrame, fields: DataFrame, theater: str, source: Column) -> DataFrame:
+    """Ledger rows of feed rows that make no observation."""
+    return fields.where("parse_reason is not null").select(
+        F.lit(theater).alias("theater_id"), source.alias("source_id"), F.to_json(F.struct(*df.columns)).alias("raw_payload"), F.col("parse_reason").alias("reason"))
+
+
+def conflict_rejections(df: DataFrame, theater: str = "ua_donbas") -> DataFrame:
+    """Ledger rows (``no_date``, ``no_place``) of the conflict rows that `parse_conflict_row` leaves out."""
+    return unparsed_rows(df, _conflict_fields(df), theater, F.lit("ucdp_ged_bulk"))
+
+
+def parse_conflict_row(df: DataFrame, theater: str = "ua_donbas", text_limit: int | None = None) -> DataFrame:
+    """Conflict rows -> raw observations with the whole article text, or ``text_limit`` characters of it.
+
+    Rows without any place or date are in `conflict_rejections`.
+    """
+    d = _conflict_fields(df, text_limit).where("parse_reason is null")
     return d.select(F.lit(theater).alias("theater_id"), F.lit("ucdp_ged_bulk").alias("source_id"), F.lit("text").alias("modality"), violence_type(F.col("type_of_violence")).alias("obs_type"),
                     "occurred_start", "occurred_end", "lon", "lat",
                     F.when(F.col("lat").isNotNull(), F.coalesce(number(F.col("precision_m")), F.lit(1000.0))).otherwise(0.0).alias("geom_precision_m"), "place_name", "text",
@@ -186,11 +205,21 @@ def fire_confidence(c: Column) -> Column:
     return F.coalesce(dims.choose(s, FIRE_WORDS, F.lit(None).cast("double")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.try_cast("double") / 100)))
 
 
+def _fire_fields(df: DataFrame) -> DataFrame:
+    acq = parse_acq_time(F.col("acq_date"), F.col("acq_time"))
+    d = df.select("*", number(F.col("latitude")).alias("lat"), number(F.col("longitude")).alias("lon"), acq.alias("occurred_start"))
+    return d.withColumn("parse_reason", F.when(F.col("occurred_start").isNull(), "no_date").when(F.col("lat").isNull() | F.col("lon").isNull(), "no_place"))
+
+
+def fire_rejections(df: DataFrame, theater: str = "ua_donbas") -> DataFrame:
+    """Ledger rows (``no_date``, ``no_place``) of the fire rows that `parse_fire_row` leaves out."""
+    return unparsed_rows(df, _fire_fields(df), theater, F.col("source_id"))
+
+
 def parse_fire_row(df: DataFrame, theater: str = "ua_donbas") -> DataFrame:
+    """Fire detections -> raw observations; rows without a point or time are in `fire_rejections`."""
     sat = F.coalesce(filled("satellite", "instrument"), F.col("source_id"))
-    acq = parse_acq_time(F.col("acq_date"), F.col("acq_time"))
-    d = df.select("*", number(F.col("latitude")).alias("lat"), number(F.col("longitude")).alias("lon"), acq.alias("occurred_start")).where(
-        "lat is not null and lon is not null and occurred_start is not null")
+    d = _fire_fields(df).where("parse_reason is null")
     show = lambda c: F.coalesce(F.col(c), F.lit("None"))
     text = F.concat(F.lit("active fire detection ("), sat, F.lit(") at "), F.date_format("occurred_start", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00; FRP "), show("frp"),
                     F.lit(" MW; confidence "), show("confidence"))

@@ -31,6 +31,12 @@ def test_conflict_feed(spark, tmp_path):
     assert [r.obs_type for r in out] == ["other", "strike"]
     assert out[1].text == "War — Avdiivka; best fatality estimate 12; some  article" and out[1].geom_precision_m == 500
     assert out[0].text == "dyad — Luhansk" and out[0].occurred_start == out[0].occurred_end
+    read = feeds.read_conflict_events(spark, str(tmp_path / "c.csv"))
+    lost = feeds.conflict_rejections(read).collect()
+    assert [(r.reason, r.source_id) for r in lost] == [("no_place", "ucdp_ged_bulk")] and json.loads(lost[0].raw_payload)["id"] == "2"
+    long = read.where("id = '1'").withColumn("source_article", F.repeat(F.lit("x"), 500))
+    assert feeds.parse_conflict_row(long).first().text.endswith("x" * 500)
+    assert feeds.parse_conflict_row(long, text_limit=160).first().text.endswith("; " + "x" * 160)
     (tmp_path / "c.json").write_text(json.dumps({"Result": [{"id": 1, "latitude": 48.1, "longitude": 37.7, "date_start": "2024-01-01"}]}))
     assert feeds.read_conflict_events(spark, str(tmp_path / "c.json"), "json").first().latitude == "48.1"
 
@@ -48,6 +54,8 @@ def test_fire_feed_and_confidence(spark, tmp_path):
     (tmp_path / "m.csv").write_text("latitude,longitude,acq_date,acq_time,satellite,confidence,frp\n48.1,37.7,2024-03-10,1305,Terra,140,1\n")
     d = feeds.parse_fire_row(feeds.read_fire_detections(spark, {"VIIRS_SNPP_NRT": f"{tmp_path}/v.csv", "MODIS_NRT": f"{tmp_path}/m.csv"})).orderBy("occurred_start").collect()
     assert [(r.source_id, r.self_conf) for r in d] == [("firms_viirs_snpp", 0.6), ("firms_modis", 1.0)]
+    lost = feeds.fire_rejections(feeds.read_fire_detections(spark, {"VIIRS_SNPP_NRT": f"{tmp_path}/v.csv", "MODIS_NRT": f"{tmp_path}/m.csv"}))
+    assert sorted(r.reason for r in lost.collect()) == ["no_date", "no_place"]
     assert d[0].text == "active fire detection (N) at 2024-03-10T00:45:00+00:00; FRP 3.2 MW; confidence n"
     one = spark.range(1).select(parse_date_multi(F.lit("2024/03/01")).alias("a"), parse_date_multi(F.lit("x")).alias("b"), parse_acq_time(F.lit("2024-01-01"), F.lit("5")).alias("c"))
     r = one.first()
@@ -125,7 +133,7 @@ def test_place_resolution(spark):
             assert abs(fz[x.place_name][1] - best) < 1e-5
     raw = spark.createDataFrame([(1, 10.0, 10.0, 100.0, "Bakhmut"), (2, None, None, 0.0, "nowhere")], "seq long, lon double, lat double, geom_precision_m double, place_name string")
     r = {x.seq: x for x in I.resolve_to_cell(raw, spark.createDataFrame([("c9",)], "cell_id string"), alias).collect()}
-    assert r[1].cell_id == "c2" and r[1].place_name_only and r[2].cell_id is None
+    assert r[1].cell_id == "c2" and r[1].place_name_only and r[1].resolution == "place_only" and r[2].cell_id is None
 
 
 def test_sinks_and_guards(spark, tmp_path):
