@@ -103,16 +103,21 @@ def area_anomalies(cells: DataFrame, anomalies: DataFrame) -> DataFrame:
     return cells.join(anomalies.select("cell_id", "subkind", "score"), "cell_id")
 
 
-def area_attention(cells: DataFrame, events: DataFrame, anomalies: DataFrame, now: str) -> DataFrame:
+def area_attention(cells: DataFrame, events: DataFrame, anomalies: DataFrame | None, now: str, areas: DataFrame | None = None) -> DataFrame:
+    """Attention of the areas that hold cells, or of all rows of ``areas``."""
     slim = events.select("cell_id", "occurred_start", "n_independent_families")
-    return A.attention(area_events(cells, slim), area_anomalies(cells, anomalies), now)
+    found = None if anomalies is None else area_anomalies(cells, anomalies)
+    return A.attention(cells if areas is None else areas, area_events(cells, slim), found, now)
 
 
-def area_children(units: DataFrame, attention: DataFrame) -> DataFrame:
-    """Next-level units of each unit with their attention, ranked."""
+def area_children(units: DataFrame, cells: DataFrame, events: DataFrame, now: str) -> DataFrame:
+    """Next-level units of each unit with their attention, ranked; units without events stay.
+
+    As in the drill-down of one area, anomalies play no part in the status of a child.
+    """
     kids = units.where("parent_id is not null").select("parent_id", "admin_id", "name", F.concat(F.lit("admin:"), "admin_id").alias("area"))
     w = Window.partitionBy("parent_id").orderBy(*A.attention_order())
-    return kids.join(attention, "area").withColumn("rank", F.row_number().over(w))
+    return kids.join(area_attention(cells, events, None, now, kids), "area").withColumn("rank", F.row_number().over(w))
 
 
 def significant_in_area(cells: DataFrame, scored: DataFrame, n: int = 50) -> DataFrame:
@@ -204,7 +209,11 @@ def synthesize_areas(facts: DataFrame, attention: DataFrame, cached: DataFrame |
     return fresh if cached is None else upsert_reads(cached, fresh)
 
 
-def watch_list(cells: DataFrame, attention: DataFrame, reads: DataFrame) -> DataFrame:
-    """All areas with attention and read, ranked."""
-    names = cells.select("area").distinct().join(attention, "area").join(reads.select("area", "summary", "generated_by"), "area", "left")
-    return names.orderBy(*A.attention_order())
+def watch_list(attention: DataFrame, reads: DataFrame) -> DataFrame:
+    """All areas with attention and read, ranked; an area without a read has a null summary."""
+    return attention.join(reads.select("area", "summary", "generated_by"), "area", "left").orderBy(*A.attention_order())
+
+
+def needs_attention(attention: DataFrame) -> DataFrame:
+    """How many areas are watched and how many of them escalate."""
+    return attention.agg(F.count(F.lit(1)).alias("n_areas"), F.count_if(F.col("status") == "escalating").alias("needs_attention"))

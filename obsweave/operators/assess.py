@@ -173,18 +173,24 @@ def assess(events: DataFrame, now: str, nearest: DataFrame | None = None, builtu
     return out.withColumn("as_of", at(now))
 
 
-def attention(area_events: DataFrame, area_anomalies: DataFrame, now: str, key: str = "area") -> DataFrame:
-    """Status of every area at once: (area, event rows) and (area, subkind) -> one row per area."""
+def attention(areas: DataFrame, area_events: DataFrame, area_anomalies: DataFrame | None, now: str, key: str = "area") -> DataFrame:
+    """Status of every area at once: (area, event rows) and (area, subkind) -> one row per row of ``areas``.
+
+    An area without events stays, with zeros. No anomalies: the status comes from the trend alone.
+    """
     recent_cut = at(now) - F.make_dt_interval(F.lit(int(ATTENTION_DAYS)))
     prior_cut = at(now) - F.make_dt_interval(F.lit(int(2 * ATTENTION_DAYS)))
     t = F.col("occurred_start")
     e = area_events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(t >= recent_cut).alias("recent"),
                                      F.count_if((t < recent_cut) & (t >= prior_cut)).alias("prior"),
                                      F.count_if(F.col("n_independent_families") >= 2).alias("confirmed"))
-    a = area_anomalies.groupBy(key).agg(F.max(F.col("subkind") == "escalation").alias("has_escalation"),
-                                        F.max(F.col("subkind") == "activity_spike").alias("has_spike"))
-    d = e.join(a, key, "left").withColumn("has_escalation", F.coalesce("has_escalation", F.lit(False))).withColumn(
-        "has_spike", F.coalesce("has_spike", F.lit(False)))
+    d = areas.select(key).distinct().join(e, key, "left").na.fill(0, ["n_events", "recent", "prior", "confirmed"])
+    if area_anomalies is None:
+        d = d.withColumn("has_escalation", F.lit(False)).withColumn("has_spike", F.lit(False))
+    else:
+        a = area_anomalies.groupBy(key).agg(F.max(F.col("subkind") == "escalation").alias("has_escalation"),
+                                            F.max(F.col("subkind") == "activity_spike").alias("has_spike"))
+        d = d.join(a, key, "left").na.fill(False, ["has_escalation", "has_spike"])
     r, p = F.col("recent"), F.col("prior")
     status = (F.when(F.col("has_escalation") | ((p > 0) & (r >= p * ESCALATE_RATIO)) | ((p == 0) & (r >= MIN_NEW)), "escalating")
               .when((p > 0) & (r <= p * QUIET_RATIO), "quieting").otherwise("steady"))

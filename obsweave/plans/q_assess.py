@@ -200,8 +200,13 @@ def _(spark, sf):
 ATT = [*ANOM, f"""att0 AS (SELECT area, count(*) AS n_events, count(*) FILTER (occurred_start >= {T_NOW} - INTERVAL 45 DAY) AS recent, count(*) FILTER (occurred_start < {T_NOW} - INTERVAL 45 DAY AND occurred_start >= {T_NOW} - INTERVAL 90 DAY) AS prior,
  count(*) FILTER (n_independent_families >= 2) AS confirmed FROM acells JOIN evt USING (cell_id) GROUP BY area)""",
        "att1 AS (SELECT area, bool_or(subkind = 'escalation') AS he, bool_or(subkind = 'activity_spike') AS hs FROM acells JOIN anom USING (cell_id) GROUP BY area)",
-       """att AS (SELECT att0.*, coalesce(he, false) AS has_escalation, coalesce(hs, false) AS has_spike, CASE WHEN coalesce(he, false) OR (prior > 0 AND recent >= prior * 1.5) OR (prior = 0 AND recent >= 3) THEN 'escalating'
- WHEN prior > 0 AND recent <= prior * 0.6 THEN 'quieting' ELSE 'steady' END AS status, CASE WHEN prior > 0 THEN round(recent / prior, 2) ELSE recent::DOUBLE END AS trend_score FROM att0 LEFT JOIN att1 USING (area))"""]
+       """att AS (SELECT area, coalesce(n_events, 0) AS n_events, coalesce(recent, 0) AS recent, coalesce(prior, 0) AS prior, coalesce(confirmed, 0) AS confirmed, coalesce(he, false) AS has_escalation, coalesce(hs, false) AS has_spike, CASE WHEN coalesce(he, false) OR (prior > 0 AND recent >= prior * 1.5) OR (prior = 0 AND recent >= 3) THEN 'escalating'
+ WHEN prior > 0 AND recent <= prior * 0.6 THEN 'quieting' ELSE 'steady' END AS status, CASE WHEN prior > 0 THEN round(recent / prior, 2) ELSE coalesce(recent, 0)::DOUBLE END AS trend_score
+ FROM (SELECT DISTINCT area FROM acells) LEFT JOIN att0 USING (area) LEFT JOIN att1 USING (area))"""]
+# children go without anomalies, and a unit without events is steady
+KIDS = [*ATT, """kids AS (SELECT parent_id, admin_id, 'admin:' || admin_id AS area, coalesce(n_events, 0) AS n_events, coalesce(recent, 0) AS recent,
+ CASE WHEN (prior > 0 AND recent >= prior * 1.5) OR (prior = 0 AND recent >= 3) THEN 'escalating' WHEN prior > 0 AND recent <= prior * 0.6 THEN 'quieting' ELSE 'steady' END AS status
+ FROM units LEFT JOIN att0 ON att0.area = 'admin:' || admin_id WHERE parent_id IS NOT NULL)"""]
 
 
 def area_inputs(spark, sf, now=NOW):
@@ -217,10 +222,10 @@ def _(spark, sf):
     return R.area_attention(*area_inputs(spark, sf), NOW)
 
 
-@query("area_children", with_("units", *ATT, """SELECT u.parent_id, u.admin_id, status, n_events, row_number() OVER (PARTITION BY u.parent_id ORDER BY CASE status WHEN 'escalating' THEN 0 WHEN 'quieting' THEN 2 ELSE 1 END, recent DESC, n_events DESC, area) AS rank
- FROM units u JOIN att ON att.area = 'admin:' || u.admin_id WHERE u.parent_id IS NOT NULL"""))
+@query("area_children", with_("units", *KIDS, """SELECT parent_id, admin_id, status, n_events, row_number() OVER (PARTITION BY parent_id ORDER BY CASE status WHEN 'escalating' THEN 0 WHEN 'quieting' THEN 2 ELSE 1 END, recent DESC, n_events DESC, area) AS rank FROM kids"""))
 def _(spark, sf):
-    return R.area_children(cut(Y.units(spark, sf)), R.area_attention(*area_inputs(spark, sf), NOW)).select("parent_id", "admin_id", "status", "n_events", "rank")
+    cells, ev, _an = area_inputs(spark, sf)
+    return R.area_children(cut(Y.units(spark, sf)), cells, ev, NOW).select("parent_id", "admin_id", "status", "n_events", "rank")
 
 
 @query("significant_in_area", with_("units", *SIG, "SELECT area, event_id, score, rank FROM (SELECT area, event_id, score, row_number() OVER (PARTITION BY area ORDER BY score DESC, event_id) AS rank FROM acells JOIN sig USING (cell_id)) WHERE rank <= 50"))
@@ -267,10 +272,15 @@ def _(spark, sf):
     return R.synthesize_areas(f, att).select("area", "summary", "indicators", "provenance")
 
 
-@query("watch_list", with_("units", *FACTS, f"SELECT att.*, {READ_SQL.replace('area ||', 'facts.area ||').replace('n_events)', 'facts.n_events)').replace('status WHEN', 'facts.status WHEN').replace('|| recent ||', '|| facts.recent ||').replace('|| prior ||', '|| facts.prior ||')} AS summary FROM att JOIN facts USING (area)"))
+@query("watch_list", with_("units", *FACTS, f"SELECT att.*, {READ_SQL.replace('area ||', 'facts.area ||').replace('n_events)', 'facts.n_events)').replace('status WHEN', 'facts.status WHEN').replace('|| recent ||', '|| facts.recent ||').replace('|| prior ||', '|| facts.prior ||')} AS summary FROM att LEFT JOIN facts USING (area)"))
+def _(spark, sf):
+    f, att, _c = facts(spark, sf)
+    return R.watch_list(att, R.synthesize_areas(f, att)).drop("generated_by")
+
+
+@query("needs_attention", with_("units", *ATT, "SELECT count(*) AS n_areas, count(*) FILTER (status = 'escalating') AS needs_attention FROM att"))
 def _(spark, sf):
-    f, att, cells = facts(spark, sf)
-    return R.watch_list(cells, att, R.synthesize_areas(f, att)).drop("generated_by")
+    return R.needs_attention(R.area_attention(*area_inputs(spark, sf), NOW))
 
 
 # ------------------------------------------------------------------ serving

@@ -140,3 +140,23 @@ def test_areas_and_gate_helpers(spark):
     assert E.rethreshold(spark.createDataFrame([(0.9, True), (0.5, False)], "p double, same boolean"), 0.38, 0.82).first().gray == 1
     sweep = E.parameter_sweep(spark.createDataFrame([(3.0, "a", 5), (3.0, "b", 9)], "threshold double, cell_id string, n_pixels int"), spark.createDataFrame([("b",)], "cell_id string"), [3.0], [4, 6])
     assert {(r.min_px, r.n_detected, r.precision) for r in sweep.collect()} == {(4, 2, 0.5), (6, 1, 1.0)}
+
+
+def test_areas_without_events_stay(spark):
+    from datetime import datetime
+
+    now = "2024-06-01 00:00:00"
+    cells = spark.createDataFrame([("admin:a", "c1"), ("admin:b", "c2")], "area string, cell_id string")
+    events = spark.createDataFrame([("c1", datetime(2024, 5, d), 2) for d in (20, 21, 22)], "cell_id string, occurred_start timestamp, n_independent_families int")
+    anomalies = spark.createDataFrame([("c1", "activity_spike", 1.0)], "cell_id string, subkind string, score double")
+    att = {r.area: r for r in R.area_attention(cells, events, anomalies, now).collect()}
+    assert (att["admin:a"].status, att["admin:a"].n_events, att["admin:a"].confirmed, att["admin:a"].has_spike) == ("escalating", 3, 3, True)
+    assert (att["admin:b"].status, att["admin:b"].n_events, att["admin:b"].trend_score, att["admin:b"].has_spike) == ("steady", 0, 0.0, False)
+    # a unit that holds no cell at all is still a child
+    units = spark.createDataFrame([("a", "A", "p"), ("b", "B", "p"), ("z", "Z", "p"), ("p", "P", None)], "admin_id string, name string, parent_id string")
+    kids = R.area_children(units, cells, events, now).collect()
+    assert [(r.admin_id, r.status, r.rank) for r in sorted(kids, key=lambda r: r["rank"])] == [("a", "escalating", 1), ("b", "steady", 2), ("z", "steady", 3)]
+    reads = spark.createDataFrame([("admin:a", "text", "template")], "area string, summary string, generated_by string")
+    full = R.area_attention(cells, events, None, now)
+    assert [(r.area, r.summary) for r in R.watch_list(full, reads).collect()] == [("admin:a", "text"), ("admin:b", None)]
+    assert R.needs_attention(full).first() == (2, 1)
