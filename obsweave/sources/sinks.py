@@ -12,12 +12,15 @@ REVIEW_ACTIONS = ["confirm", "split", "reject", "flag"]     # fixed values
 LABEL_KINDS = ["incident_label", "gray_verdict"]
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A Parquet table, or an empty frame of ``schema`` where nothing was written yet; None without a schema."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None, declared: bool = False) -> DataFrame | None:
+    """A Parquet table, or an empty frame of ``schema`` where nothing was written yet; None without a schema.
+
+    ``declared`` reads the columns of ``schema``; older files without one of them give null.
+    """
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if declared else spark.read).parquet(path)
     return spark.createDataFrame([], schema) if schema else None
 
 

@@ -1,6 +1,8 @@
 """Ingest as a stream: files of raw reports -> normalised log and ledger.
 
-Each micro-batch goes through the batch chain, so the two agree row for row. The hash anti-join
+Each micro-batch goes through the batch chain, so the two agree row for row. Log rows name their batch,
+so a batch that is run again after a failure is judged as the first time and adds only what is missing;
+one log takes one stream (rows appended by other means have no batch). The hash anti-join
 against the log decides what is new; the watermark only bounds the state that drops repeats early,
 and every report it drops is one the log already holds or will hold from the same window.
 """
@@ -16,7 +18,9 @@ from obsweave.session import cut
 from obsweave.sources import sinks
 
 RAW_SCHEMA = ("seq long, theater_id string, source_id string, modality string, obs_type string, occurred_start timestamp, occurred_end timestamp, "
-              "lon double, lat double, geom_precision_m double, place_id long, text string")
+              "lon double, lat double, geom_precision_m double, place_id long, place_name string, self_conf double, meta string, text string")
+
+LOG_KEYS = "content_hash string, batch_id long"
 
 
 def raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -26,12 +30,14 @@ def raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
 def ingest_batch(grid: DataFrame, log_path: str, ledger_path: str, alias: DataFrame | None = None):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        log = sinks.read_table(spark, log_path, "content_hash string").select("content_hash")
-        obs, rejected = I.normalize(batch, grid, "seq", alias, log)
+        log = sinks.read_table(spark, log_path, LOG_KEYS, declared=True)
+        own = F.col("batch_id").eqNullSafe(F.lit(batch_id))
+        obs, rejected = I.normalize(batch, grid, "seq", alias, log.where(~own).select("content_hash"))
         obs, rejected = cut(obs), cut(rejected)
+        missing = cut(obs.join(log.where(own).select("content_hash"), "content_hash", "left_anti"))
         # the ledger names its batch, so a batch that is run again after a failure replaces its own rows
         rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(ledger_path)
-        obs.withColumn("start_date", F.to_date("occurred_start")).write.mode("append").partitionBy("theater_id", "start_date").parquet(log_path)
+        missing.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("start_date", F.to_date("occurred_start")).write.mode("append").partitionBy("theater_id", "start_date").parquet(log_path)
     return run
 
 

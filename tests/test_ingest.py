@@ -182,6 +182,39 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(r.reason for r in spark.read.parquet(f"{tmp_path}/led").collect()) == sorted(r.reason for r in rej.collect())
 
 
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    grid = spark.createDataFrame([("37UDP0632",)], "cell_id string")
+    log, led = f"{tmp_path}/log", f"{tmp_path}/led"
+    run = ST.ingest_batch(grid, log, led)
+    state = lambda: (sorted(r.content_hash for r in spark.read.parquet(log).collect()),
+                     sorted((r.batch_id, r.seq, r.reason) for r in spark.read.parquet(led).collect()))
+    batch = spark.createDataFrame(raw_rows(), RAW)
+    # the log holds a row of another writer, without a batch
+    obs, _rej = I.normalize(batch.where("seq = 6"), grid, "seq")
+    sinks.append_observations(obs, log, f"{tmp_path}/other", "seq")
+    run(batch, 0)
+    first = state()
+    assert (0, 6, "exact_dup") in first[1] and len(first[0]) == 2
+    run(batch, 0)
+    assert state() == first
+    run(batch, 1)
+    assert state()[0] == first[0] and sum(b == 1 for b, _, _ in state()[1]) == 6
+
+
+def test_stream_keeps_place_names(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    row = dict(seq=1, theater_id="t", source_id="gdelt_v2", modality="text", obs_type="strike", occurred_start="2024-03-10T08:05:00Z", occurred_end="2024-03-10T08:05:00Z",
+               place_name="Plant", self_conf=0.5, meta="m", text="strike")
+    (src / "0.json").write_text(json.dumps(row))
+    grid = spark.createDataFrame([("37UDP0632",)], "cell_id string")
+    alias = spark.createDataFrame([(1, 7, "plant", True, "37UDP0632")], "alias_id long, place_id long, name string, is_preferred boolean, cell_id string")
+    q = ST.start_ingest(ST.raw_stream(spark, str(src), 1), grid, f"{tmp_path}/log", f"{tmp_path}/led", f"{tmp_path}/ck", alias)
+    q.awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/log").collect()
+    assert [(r.cell_id, r.place_id, r.resolution, r.self_conf, r.meta) for r in got] == [("37UDP0632", 7, "place_only", 0.5, "m")]
+
+
 def test_dims_tables(spark):
     d = dims.load_reference_dims(spark)
     assert d["types"].count() == 28 and d["type_compat"].count() == 784 and d["sources"].count() == 11
