@@ -223,7 +223,7 @@ def cluster_sql(mask: str) -> list[str]:
     return [f"mk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY fp, row, col) AS i, * FROM ({mask}))",
             "ed AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM mk a JOIN mk b ON a.fp = b.fp AND abs(a.row - b.row) + abs(a.col - b.col) = 1)",
             "cl(i, g) USING KEY (i) AS (SELECT i, i FROM mk UNION SELECT ed.b, min(cl.g) FROM cl JOIN ed ON ed.a = cl.i JOIN recurring.cl AS r ON r.i = ed.b WHERE cl.g < r.g GROUP BY ed.b)",
-            "st AS (SELECT fp, g, count(*) AS n_pixels, avg(abs(d)) AS mag, avg(d) AS md, avg(row) AS r, avg(col) AS c FROM mk JOIN cl USING (i) GROUP BY ALL)"]
+            "st AS (SELECT fp, g, count(*) AS n_pixels, avg(abs(d)) AS mag, avg(d) AS md, max(d) AS pk, avg(row) AS r, avg(col) AS c FROM mk JOIN cl USING (i) GROUP BY ALL)"]
 
 
 # decimal rounding, as Spark rounds doubles half up in decimal form
@@ -249,13 +249,20 @@ def _(spark, sf):
     return RS.exact_median(p.where("band = 'VV'"), "tile_id", "value").select("tile_id", F.round("median", 6).alias("median"))
 
 
-@query("vessel_cfar", "WITH RECURSIVE " + ",\n".join([PIX, "md AS (SELECT fp AS f, acq AS k, median(q * q / 60) AS m FROM px GROUP BY ALL)", "ma AS (SELECT f, k, m, median(abs(q * q / 60 - m)) AS mad FROM px JOIN md ON fp = f AND acq = k GROUP BY ALL)",
-       *cluster_sql("SELECT fp * 10 + acq AS fp, row, col, q * q / 60 - (m + greatest(4 * 1.4826 * mad, 8)) AS d FROM px JOIN ma ON fp = f AND acq = k WHERE q * q / 60 >= m + greatest(4 * 1.4826 * mad, 8)")]) +
-       " SELECT (fp // 10) || '-' || (fp % 10) AS footprint, n_pixels, count(*) AS n FROM st WHERE n_pixels BETWEEN 2 AND 300 GROUP BY ALL")
+# clutter of about one decibel, and bright pairs of pixels in open water (in sevenths, so that no confidence is a rounding tie);
+# constants of the rule as literals
+SEA = """sea AS (SELECT fp * 10 + acq AS f, row, col, q / 50 - 15 + CASE WHEN row % 6 = 2 AND col % 6 IN (2, 3) THEN 9 + q / 7 ELSE 0 END AS v FROM px),
+ md AS (SELECT f AS f0, median(v) AS m FROM sea GROUP BY f), ma AS (SELECT f0 AS f1, any_value(m) AS m, median(abs(v - m)) AS mad FROM sea JOIN md ON f0 = f GROUP BY f0)"""
+
+
+@query("vessel_cfar", "WITH RECURSIVE " + ",\n".join([PIX, SEA, *cluster_sql(
+    "SELECT f AS fp, row, col, v - (m + greatest(4 * 1.4826 * mad, 8)) AS d FROM sea JOIN ma ON f = f1 WHERE v >= m + greatest(4 * 1.4826 * mad, 8)")]) +
+       " SELECT (fp // 10) || '-' || (fp % 10) AS footprint, n_pixels, round((0.3 + 0.6 * least(1, pk / 10))::DECIMAL(18,10), 4)::DOUBLE AS self_conf FROM st WHERE n_pixels BETWEEN 2 AND 300")
 def _(spark, sf):
     p, t = pixel_fixture(spark, sf)
-    p = p.where("band = 'VV'").withColumn("value", F.col("value") * F.col("value") / 60)
-    return RS.vessel_cfar(p, t).groupBy("footprint", "n_pixels").agg(F.count(F.lit(1)).alias("n"))
+    bright = (F.col("row") % 6 == 2) & (F.col("col") % 6).isin(2, 3)
+    p = p.where("band = 'VV'").withColumn("value", F.col("value") / 50 - 15 + F.when(bright, 9 + F.col("value") / 7).otherwise(0))
+    return RS.vessel_cfar(p, t).select("footprint", "n_pixels", "self_conf")
 
 
 @query("tile_hash", "SELECT doc_id, sha256(doc_id || text) AS tile_hash FROM documents")
