@@ -1,22 +1,22 @@
 """Information-theoretic sanitising of personal data in observation texts.
 
-Personal data found by form (addresses, numbers) are the protected entities. A term near a mention
-of an entity may give the entity away; how much is estimated from the whole corpus: with document
-counts df over all texts and co-occurrence within a window of words, the share of an entity's
-information that a term reveals is PMI(term; entity) / IC(entity), where
-PMI = log2(N * df(term, entity) / (df(term) * df(entity))) and IC = log2(N / df(entity)). Terms at or
-above the first threshold are generalised near that entity, at or above the second removed.
+Personal data found by form (addresses, numbers) are the protected entities. A term of a text that
+mentions an entity may give the entity away; how much is estimated from the whole corpus: with counts
+of texts df, the share of an entity's information that a term reveals is PMI(term; entity) / IC(entity), where
+PMI = log2(p(term | entity) / p(term)), p(term) = df(term) / N, IC = log2(N / df(entity)) and
+p(term | entity) = (df(term, entity) + s * p(term)) / (df(entity) + s): as if s more texts with the
+entity held the term by chance, so few texts say less but still count. Terms at or above the first
+threshold are generalised in every text with the entity, at or above the second removed.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -83,55 +83,50 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
-def _mentions(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms within ``reach`` terms of a mention, not those inside a span."""
-    terms = [(m.start(), m.end()) for m in TERM.finditer(text)]
-    starts = [s for s, _ in terms]
+def _free_terms(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Each term of a text with its places, but for those inside a span."""
     taken = sorted((a, b) for _, a, b in spans)
-    free = []
+    out: dict[str, list[tuple[int, int]]] = {}
     k = 0
-    for a, b in terms:
+    for m in TERM.finditer(text):
+        a, b = m.span()
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        free.append(not (k < len(taken) and taken[k][0] < b))
-    out = []
-    for kind, a, b in spans:
-        entity = _entity(kind, text[a:b])
-        lo, hi = bisect_left(starts, a), bisect_left(starts, b)
-        for j in [*range(max(0, lo - reach), lo), *range(hi, min(len(terms), hi + reach))]:
-            if free[j]:
-                s, e = terms[j]
-                out.append((entity, text[s:e].lower(), s, e))
-    return sorted(set(out))
-
-
-def _scan(reach: int, id_kind: pa.DataType):
-    """Per text: its spans and mentions. Per task: in how many texts each term occurs."""
+        if not (k < len(taken) and taken[k][0] < b):
+            out.setdefault(m.group().lower(), []).append((a, b))
+    return out
+
+
+def _scan(id_kind: pa.DataType):
+    """Per text: its spans and, where it has any, its entities and terms. Per task: in how many texts each term occurs."""
+    place_t = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     spans_t = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near_t = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    names = ["id", "mark", "spans", "near", "term", "df"]
+    terms_t = pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(place_t))]))
+    names = ["id", "mark", "spans", "entities", "terms", "term", "df"]
 
     def run(batches):
         counts: Counter = Counter()
 
         def counted():
             k = len(counts)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, id_kind), pa.nulls(k, pa.int64()), pa.nulls(k, spans_t), pa.nulls(k, near_t),
+            return pa.RecordBatch.from_arrays([pa.nulls(k, id_kind), pa.nulls(k, pa.int64()), pa.nulls(k, spans_t), pa.nulls(k, pa.list_(pa.string())), pa.nulls(k, terms_t),
                                                pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=names)
         for batch in batches:
-            spans, near = [], []
+            spans, entities, terms = [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in (_mentions(text, found, reach) if found else ())])
-                counts.update(set(TERM.findall(text.lower())))
+                entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
+                free = _free_terms(text, found) if found else {}
+                terms.append([{"term": t, "places": [{"start": a, "end": b} for a, b in at]} for t, at in free.items()])
+                counts.update({t.lower() for t in set(TERM.findall(text))})
                 if len(counts) > FLUSH_TERMS:
                     yield counted()
                     counts.clear()
             k = len(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(spans, spans_t), pa.array(near, near_t), pa.nulls(k, pa.string()),
-                                              pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(spans, spans_t), pa.array(entities, pa.list_(pa.string())),
+                                              pa.array(terms, terms_t), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
         if counts:
             yield counted()
     return run
@@ -149,47 +144,65 @@ def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([one(t or "", found) for t, found in zip(text, spans, strict=True)])
 
 
-def reveal_table(near: DataFrame, df: DataFrame, texts: Column | int, low: float, high: float, least: int) -> DataFrame:
-    """(entity, term, action) of the pairs that reveal too much; ``least`` texts must hold the pair."""
-    pair = near.select("id", "mark", "entity", "term").distinct()
-    both = pair.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= least)
-    # the texts with the entity are those with a mention of it
-    entity = near.select("id", "mark", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    n = F.lit(texts).cast("double")
-    share = F.log2(n * F.col("df_both") / (F.col("df") * F.col("df_entity"))) / F.log2(n / F.col("df_entity"))
-    return (both.join(entity, "entity").join(df, "term").where(F.col("df_entity") < n).withColumn("share", share).where(F.col("share") >= low)
-            .select("entity", "term", F.when(F.col("share") >= high, "remove").otherwise("generalise").alias("action")))
+def revealing(texts: DataFrame, df: DataFrame, n_texts: int, low: float, high: float, pseudo: float) -> DataFrame:
+    """(mark, j, remove): the terms, by their place in the text's list, that reveal too much of an entity of the text.
 
-
-def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str = "text", reach: int = 8, generalise_at: float = 0.6,
-                   remove_at: float = 0.85, least_texts: int = 3) -> DataFrame:
+    ``texts`` has mark, entities and terms of each text with an entity, ``df`` the texts of each term.
+    """
+    n = F.lit(float(n_texts))
+    mention = texts.select("mark", F.explode("entities").alias("entity"))
+    # an entity that all texts mention has no information to reveal
+    entity = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") < n)
+    mention = mention.join(entity, "entity")
+    words = texts.select("mark", F.posexplode("terms").alias("j", "term")).join(df, "term")
+    # p(term | entity) is at most 1, so a term more frequent than this cannot reach the threshold: no pair is lost
+    near = F.col("df") <= n * F.pow(F.col("df_entity") / n, F.lit(low)) * 1.000001
+    pair = cut(mention.join(words, "mark").where(near).select("mark", "j", F.when(F.col("df_entity") > 1, F.col("entity")).alias("entity"), "term", "df", "df_entity"))
+    p = F.col("df") / n
+    share = F.log2((F.col("df_both") + pseudo * p) / (F.col("df_entity") + pseudo) / p) / F.log2(n / F.col("df_entity"))
+    told = lambda rows: rows.withColumn("share", share).where(F.col("share") >= low).withColumn("remove", F.col("share") >= high)
+    # an entity of one text is with each of its terms in that text: nothing to count
+    alone = told(pair.where("df_entity = 1").withColumn("df_both", F.lit(1))).select("mark", "j", "remove")
+    more = pair.where("df_entity > 1")
+    both = more.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"), F.max("df").alias("df"), F.max("df_entity").alias("df_entity"))
+    reveal = cut(told(both).select("entity", "term", "remove"))
+    return alone.unionByName(more.join(reveal, ["entity", "term"]).select("mark", "j", "remove")).groupBy("mark", "j").agg(F.max("remove").alias("remove"))
+
+
+def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str = "text", generalise_at: float = 0.6,
+                   remove_at: float = 0.85, pseudo_texts: float = 1.0) -> DataFrame:
     """Find what identifies somebody in observation texts.
 
     Returns one row per input row: obs_id, mark (hash of id and text) and spans: an array of kind,
     start, end (code points, end exclusive) and action. The kinds email, ip, card and phone go by
-    their form and are generalised; term is what the corpus shows to reveal one of them.
-
-    A pair of entity and term counts from ``least_texts`` texts on; fewer cannot be told from chance.
-    An entity that all texts mention has no information to reveal. Null and empty texts have no
-    spans. Repeated rows get equal results. Null obs_id: kept. Other columns are ignored. An empty
-    table gives an empty result. All counts cover all texts; of them the driver sees only their number.
+    their form and are generalised; term is what the corpus shows to reveal one of them, wherever it
+    stands in a text that mentions it.
+
+    Every pair of an entity and a term of one text counts, also of one text alone; ``pseudo_texts``
+    texts by chance make small counts say less. An entity that all texts mention has no information
+    to reveal. Null and empty texts have no spans. Repeated rows get equal results. Null obs_id: kept.
+    Other columns are ignored. An empty table gives an empty result. All counts cover all texts; of
+    them the driver sees only their number.
     """
     small_batches(observations.sparkSession)
     rows = fields(observations, id=obs_id, text=text).withColumn("mark", F.xxhash64("id", "text"))
     kind = rows.schema["id"].dataType
     span = "struct<kind:string,start:bigint,end:bigint"
     got = cut(rows.select("id", "mark", "text").mapInArrow(
-        _scan(reach, to_arrow_type(kind)), f"id {kind.simpleString()}, mark bigint, spans array<{span}>>, "
-        "near array<struct<entity:string,term:string,start:bigint,end:bigint>>, term string, df bigint"))
-    texts = got.where("term is null").select("id", "mark", "spans", "near")
-    near = cut(texts.where("size(near) > 0").dropDuplicates(["id", "mark"]).select("id", "mark", F.explode("near").alias("m")).select("id", "mark", "m.*"))
-    df = got.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).join(near.select("term").distinct(), "term", "left_semi")
-    reveal = cut(reveal_table(near, df, texts.count(), generalise_at, remove_at, least_texts))
-    extra = (near.join(reveal, ["entity", "term"]).groupBy("mark", "start", "end").agg(F.max("action").alias("action"))
-             .groupBy("mark").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "action"))).alias("extra")))
+        _scan(to_arrow_type(kind)), f"id {kind.simpleString()}, mark bigint, spans array<{span}>>, entities array<string>, "
+        "terms array<struct<term:string,places:array<struct<start:bigint,end:bigint>>>>, term string, df bigint"))
+    texts = got.where("term is null").select("id", "mark", "spans", F.col("terms.places").alias("places"))
+    some = cut(got.where("term is null and size(entities) > 0").select("mark", "entities", F.col("terms.term").alias("terms")).dropDuplicates(["mark"]))
+    df = got.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
+    df = df.join(some.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+    found = (revealing(some, df, texts.count(), generalise_at, remove_at, pseudo_texts)
+             .groupBy("mark").agg(F.collect_list(F.struct("j", "remove")).alias("hits")))
+    action = lambda h: F.when(h["remove"], "remove").otherwise("generalise")
+    term = lambda h: F.transform(F.get("places", h["j"]), lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), action(h).alias("action")))
+    extra = F.sort_array(F.flatten(F.transform("hits", term)))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("generalise").alias("action")))
     none = F.array().cast(f"array<{span},action:string>>")
-    return texts.join(extra, "mark", "left").select(F.col("id").alias(obs_id), "mark", F.concat(base, F.coalesce("extra", none)).alias("spans"))
+    return texts.join(found, "mark", "left").select(F.col("id").alias(obs_id), "mark", F.concat(base, F.coalesce(extra, none)).alias("spans"))
 
 
 def sanitise(observations: DataFrame, obs_id: str = "obs_id", text: str = "text", **how) -> DataFrame:

@@ -149,6 +149,15 @@ def test_terms_that_reveal_are_taken_out(spark):
     assert disclosure.personal_spans(obs(spark, [])).count() == 0
 
 
+def test_what_one_text_says_of_a_person_is_found_anywhere_in_it(spark):
+    far = "the end of the matter " * 10
+    rows = [(1, f"Zebulon wrote. {far} mail zeb@mail.example.org now. {far} Ask for Zebulon!")]
+    rows += [(100 + i, "the end of the matter is wrote mail now ask for nobody") for i in range(200)]
+    got = {r.obs_id: r for r in disclosure.sanitise(obs(spark, rows)).collect()}
+    assert "Zebulon" not in got[1].text_sanitised and [s.kind for s in got[1].spans] == ["email", "term", "term"]
+    assert got[1].text_sanitised.count("the end of the matter") == 20 and all(got[100 + i].text_sanitised == rows[1][1] for i in range(200))
+
+
 def test_myers_distance_and_places(spark):
     def brute(p, t):
         row = [0] * (len(t) + 1)
