@@ -11,11 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import fields
+from obsweave.llm.common import cut, fields
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Labels of a host, from the right, that are tried as a domain; path parts that are tried as a prefix.
-LABELS, PARTS = 6, 4
 
 
 def host_of(url: Column) -> Column:
@@ -28,16 +26,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """(scope, value) pairs under which an entry can mean this address: its host, its domains, its path prefixes."""
-    labels = F.split(host, r"\.")
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def depths(entries: DataFrame) -> dict[str, list[int]]:
+    """The numbers of labels of all domain entries and of path parts of all path entries."""
+    size = F.when(F.col("scope") == "domain", F.size(F.split("value", r"\."))).when(F.col("scope") == "path", F.size(_parts(F.col("value"))) - 1)
+    found = entries.select("scope", size.alias("n")).where("n > 0").distinct().collect()
+    return {scope: sorted(r["n"] for r in found if r["scope"] == scope) for scope in ("domain", "path")}
+
+
+def _keys(host: Column, path: Column, tried: dict[str, list[int]]) -> Column:
+    """(scope, value) pairs under which an entry can mean this address: its host, and its domains and path prefixes of the depths tried."""
+    labels, parts = F.split(host, r"\."), _parts(path)
     pair = lambda scope, value: F.struct(F.lit(scope).alias("scope"), value.alias("value"))
-    # numbers are bounded by the address, so a very long one costs at most LABELS + PARTS + 1 rows
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda n: pair("domain", F.array_join(F.slice(labels, -n, n), ".")))
-    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(parts), F.lit(PARTS)))),
-                                                  lambda n: pair("path", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))))
-    return F.when(host != "", F.concat(F.array(pair("host", host)), domains, F.coalesce(paths, F.array().cast("array<struct<scope:string,value:string>>"))))
+    upto = lambda scope, size: F.filter(F.array(*map(F.lit, tried[scope])).cast("array<int>"), lambda n: n <= size)
+    domains = F.transform(upto("domain", F.size(labels)), lambda n: pair("domain", F.array_join(F.slice(labels, -n, n), ".")))
+    paths = F.transform(upto("path", F.size(parts)), lambda n: pair("path", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))))
+    return F.when(host != "", F.concat(F.array(pair("host", host)), domains, paths))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -64,20 +71,21 @@ def filter_captures(captures: DataFrame, entries: DataFrame, capture_id: str = "
 
     Null addresses or ones without a host have an empty host and no decision; a null fetch time meets no
     interval. Repeated captures are decided alike, rows of one id that differ each for themselves. Other
-    columns are ignored. Empty tables give no rows or no decisions. Domains go up to LABELS labels from
-    the right and paths to PARTS parts from the left, so an entry beyond that never matches. A host with a third of all captures: the
-    addresses of a host and day are told apart before the join, and its partition is split by AQE.
+    columns are ignored. Empty tables give no rows or no decisions. An address is tried under the depths
+    (labels, path parts) that occur in the entries, whatever they are; the driver sees those numbers. A host with a third of all
+    captures: the addresses of a host and day are told apart before the join, and its partition is split by AQE.
     """
     rows = fields(captures, id=capture_id, url=url, at=fetched_at).select("id", "url", "at", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"))
-    # what decides is the address up to PARTS path parts and the time: equal ones meet the lists once
-    asked = rows.select(_keys(F.col("host"), F.col("path")).alias("keys"), "at").where("keys is not null and at is not null")
+    spans = cut(validity(entries))
+    keys = _keys(F.col("host"), F.col("path"), depths(spans))
+    # what decides is the address up to the deepest entry and the time: equal ones meet the lists once
+    asked = rows.select(keys.alias("keys"), "at").where("keys is not null and at is not null")
     asked = asked.select(F.explode("keys").alias("key"), "at").select("key.*", "at").distinct()
-    spans = validity(entries)
     met = asked.join(spans, ["scope", "value"]).where((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     width = F.when(F.col("scope") == "path", 0).when(F.col("scope") == "host", 1).otherwise(2)
     order = F.struct(width.alias("w"), (-F.length("value")).alias("l"), "action", "list_name", "scope", "value")
     key = met.groupBy("scope", "value", "at").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n"))
-    hit = (rows.select("id", "url", "at", F.explode(_keys(F.col("host"), F.col("path"))).alias("key")).select("id", "url", "at", "key.*")
+    hit = (rows.select("id", "url", "at", F.explode(keys).alias("key")).select("id", "url", "at", "key.*")
            .join(key, ["scope", "value", "at"]).groupBy("id", "url", "at").agg(F.min("top").alias("top"), F.countDistinct("scope", "value").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")))
     # repeated rows counted their entries as often as they come
     hit = hit.select(F.col("id").alias("i"), F.col("url").alias("u"), F.col("at").alias("t"), "top", (F.col("n") * F.col("k") / F.col("c")).cast("long").alias("n"))

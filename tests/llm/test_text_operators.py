@@ -252,6 +252,16 @@ def test_source_lists(spark):
     assert source_lists.filter_captures(cap.limit(0), ent).count() == 0 and source_lists.filter_captures(cap, ent.limit(0)).where("decision <> 'none'").count() == 0
 
 
+def test_list_entries_of_any_depth_match(spark):
+    host = "a.b.c.d.e.f.g.example.com"
+    cap = spark.createDataFrame([(1, f"https://{host}/1/2/3/4/5/6/7/x"), (2, f"https://{host}/1/2/3/4/5/6/8"), (3, "https://z.c.d.e.f.g.example.com/"), (4, "https://g.example.com/1/2")],
+                                "capture_id int, url string").withColumn("fetched_at", F.to_date(F.lit("2024-03-01")))
+    ent = spark.createDataFrame([("l", "path", f"{host}/1/2/3/4/5/6/7", "allow"), ("l", "domain", "b.c.d.e.f.g.example.com", "block"), ("l", "domain", "c.d.e.f.g.example.com", "block")],
+                                "list_name string, scope string, value string, action string").withColumn("listed_on", F.to_date(F.lit("2024-01-01")))
+    got = {r.capture_id: (r.decision, r.n_entries) for r in source_lists.filter_captures(cap, ent).collect()}
+    assert got == {1: ("allow", 3), 2: ("block", 2), 3: ("block", 1), 4: ("none", 0)}
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_a_query(n):
     from obsweave.llm.queries import Q
