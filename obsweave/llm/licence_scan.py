@@ -61,25 +61,42 @@ RULES = [
     (["BSDref"], "BSD"),
     (["PublicDomain"], "Public-Domain"),
 ]
+#: Sentences of the licences' own notices that go on where the short forms above stop, and their rules.
+NOTICES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITperm",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITwarr",
+    "licensed under the apache license version <v> the license": "Apacheref-<v>",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <v> of the license or at your option any later version": "GPLlater-<v>",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version <v> as published by the free software foundation": "GPLonly-<v>",
+}
+NOTICE_RULES = [(["FreeSoft", f"GPLlater-{V}"], "GPL-{v}-or-later"), (["FreeSoft", f"GPLonly-{V}"], "GPL-{v}-only")]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _rules() -> list[tuple[str, str]]:
+def _rules(rules: list = RULES) -> list[tuple[str, str]]:
     """Patterns over ``;id;;id;`` and what they put in place of it; identifiers taken are marked by ``#``."""
     out = []
-    for ids, name in RULES:
+    for ids, name in rules:
         groups = "".join(f";{i};" for i in ids)
         out.append((groups, ";#" + name.replace("{v}", "$1").replace("{cc}", "$1$2") + ";"))
     return out
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lower-case letters and digits with single blanks, versions set apart by ``=``."""
+def known_sentences(text: Column, known: list[str]) -> Column:
+    """The known sentences of a text in order, normalised: lower-case letters and digits with single blanks.
+
+    One begins and ends at a stop, a line end or an end of the text, and may run over any line ends
+    within; where several begin at one place, the longest stands.
+    """
     low = F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
-    # a dot within a number is kept; any other ends a sentence, as do line ends and other stops
-    kept = F.regexp_replace(F.regexp_replace(low, r"([0-9])\.([0-9])", "$1\u0001$2"), "[.!?;:\n\r]+", "\n")
-    bare = F.regexp_replace(kept, "[^a-z0-9\u0001\n]+", " ")
-    return F.transform(F.split(bare, "\n"), lambda s: F.replace(F.trim(s), F.lit("\u0001"), F.lit(".")))
+    # a dot within a number is kept, dots and colons within an address part nothing; any other ends a sentence, as do other stops
+    kept = F.regexp_replace(low, r"([0-9])\.([0-9])", "$1\u0001$2")
+    kept = F.regexp_replace(kept, r"://|[.:](?<=://[^\s]{0,200}[.:])(?=[^\s])", " ")
+    kept = F.regexp_replace(F.regexp_replace(kept, "[\n\r]+", "\u0003"), "[.!?;:]+", "\n")
+    bare = F.regexp_replace(kept, "[^a-z0-9\u0001\u0003\n]+", " ")
+    one = "|".join(s.replace(" ", "[ \u0003]++").replace("<v>", "[0-9]++(?:\u0001[0-9]++)*+") for s in sorted(known, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(bare, F.lit(f"(?<![^\n\u0003]) *({one}) *(?![^\n\u0003])"), F.lit(1))
+    return F.transform(found, lambda s: F.replace(F.regexp_replace(s, "[ \u0003]+", " "), F.lit("\u0001"), F.lit(".")))
 
 
 def scan_licences(observations: DataFrame, obs_id: str = "obs_id", text: str = "text") -> DataFrame:
@@ -91,21 +108,20 @@ def scan_licences(observations: DataFrame, obs_id: str = "obs_id", text: str = "
 
     Null and empty texts have none of them. Repeated rows get equal results, null obs_id is kept, other
     columns are ignored, an empty table gives an empty result. Nothing is shuffled; a very long text
-    costs the memory of its sentences.
+    costs the memory of its sentences. ``sql`` has the short forms on one line only.
     """
     rows = fields(observations, id=obs_id, text=text)
-    version = r"(^| )([0-9]+(?:\.[0-9]+)*)$"
-    mid = r"^(either version )([0-9]+(?:\.[0-9]+)*)( of the license .*)$"
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    version = r"(^| )([0-9]+(?:\.[0-9]+)*)(?= |$)"
+    table = SENTENCES | NOTICES
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     # a text without one of these words has no known sentence
     some = F.translate(F.col("text"), CAPITALS, SMALL).rlike("license|licensed under|permission|software|redistribution|copyright|public domain|all rights reserved")
-    found = rows.withColumn("s", F.when(some, F.filter(sentences(F.col("text")), lambda s: s.rlike("license|licensed under|permission|software|redistribution|copyright|public domain|all rights reserved"))))
-    plain = lambda s: F.regexp_replace(F.regexp_replace(s, version, "$1<v>"), mid, "$1<v>$3")
-    number = lambda s: F.concat(F.regexp_extract(s, version, 2), F.regexp_extract(s, mid, 2))
-    ids = F.filter(F.transform("s", lambda s: F.replace(F.element_at(known, plain(s)), F.lit("<v>"), number(s))), lambda x: x.isNotNull())
+    found = rows.withColumn("s", F.when(some, known_sentences(F.col("text"), list(table))))
+    name = lambda s: F.element_at(known, F.regexp_replace(s, version, "$1<v>"))
+    ids = F.filter(F.transform("s", lambda s: F.replace(name(s), F.lit("<v>"), F.regexp_extract(s, version, 2))), lambda x: x.isNotNull())
     out = found.withColumn("ids", F.coalesce(ids, F.array().cast("array<string>")))
     seq = F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))))
-    for pattern, name in _rules():
+    for pattern, name in _rules(NOTICE_RULES + RULES):
         seq = F.regexp_replace(seq, pattern, name)
     out = out.withColumn("seq", F.when(F.size("ids") > 0, seq).otherwise(""))
     taken = F.transform(F.filter(F.split("seq", ";"), lambda x: x.startswith("#")), lambda x: F.substring(x, 2, 100))

@@ -238,6 +238,24 @@ def test_licences(spark):
     assert licence_scan.scan_licences(obs(spark, [])).count() == 0
 
 
+def test_wrapped_notices_of_licences(spark):
+    import textwrap
+
+    wrap = lambda s, mark="": "\n".join(mark + x for x in textwrap.wrap(s, 70))
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+           "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+           "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
+    apache = [wrap("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "# "), "#", "#     http://www.apache.org/licenses/LICENSE-2.0", "#", "# Unless required by applicable law"]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+           "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    rows = [(1, "MIT License\n\n" + "\n\n".join(map(wrap, mit))), (2, "\n".join(apache)), (3, wrap(gpl, " * ")), (4, "\n".join(map(wrap, bsd))), (5, "A title\nReleased under the MIT License\nand more"),
+            (6, "\n".join(map(wrap, bsd[:3])).replace("\n", "\r\n"))]
+    got = {r.obs_id: (r.licences, r.n_unmatched) for r in licence_scan.scan_licences(obs(spark, rows)).collect()}
+    assert got == {1: ("MIT", 0), 2: ("Apache-2.0", 0), 3: ("GPL-3-or-later", 0), 4: ("BSD-3-Clause", 0), 5: ("MIT", 0), 6: ("BSD-2-Clause", 0)}
+
+
 def test_source_lists(spark):
     cap = spark.createDataFrame([(1, "https://u:p@WWW.Bad.example.com:80/a/b?q=1", "2024-03-01"), (2, "https://www.bad.example.com/a/b", "2024-06-01"), (3, "http://other.example.com/", "2024-03-01"),
                                  (4, None, "2024-03-01"), (5, "no address", "2024-03-01"), (6, "https://www.bad.example.com/ok/x", "2024-03-01"), (6, "https://www.bad.example.com/ok/x", "2024-03-01"),
