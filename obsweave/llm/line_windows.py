@@ -2,7 +2,7 @@
 
 Every three consecutive lines that are not blank are hashed to 128 bits. Hashes that occur more than
 once anywhere are found by a count that is combined in the map tasks, so a window in a third of all
-texts costs a row per task. The first occurrence, by obs_id and place, stays; the lines that later
+texts costs a row per task. The first occurrence, by obs_id, hash of the text and place, stays; the lines that later
 ones cover are merged and taken out.
 """
 
@@ -36,25 +36,25 @@ def drop_repeated_lines(observations: DataFrame, obs_id: str = "obs_id", text: s
     the first occurrence in its own text, only the lines behind that go.
 
     Null text: stays null, no lines. Texts with fewer full lines than ``window`` stay as they are. Rows
-    of one obs_id and one text are the same text and stay alike; rows of one obs_id with several texts
-    are ordered as one. A null obs_id comes first. Of the other columns those named in ``keep`` are
+    of one obs_id and one text are the same text and stay alike; rows of one obs_id, or of none, with
+    several texts are each a text of their own, ordered by a hash of it. A null obs_id comes first. Of the other columns those named in ``keep`` are
     carried along. An empty table gives an
     empty result. No group of windows or texts is gathered; only the covered places of one text are.
     """
-    rows = fields(observations, id=obs_id, text=text, **{f"keep_{i}": c for i, c in enumerate(keep)})
-    full = rows.where(F.col("text").contains("\n")).select("id", _full_lines(_lines(F.col("text"))).alias("l")).where(F.size("l") >= window)
+    rows = fields(observations, id=obs_id, text=text, **{f"keep_{i}": c for i, c in enumerate(keep)}).withColumn("mark", F.xxhash64("text"))
+    full = rows.where(F.col("text").contains("\n")).select("id", "mark", _full_lines(_lines(F.col("text"))).alias("l")).where(F.size("l") >= window)
     part = lambda k, seed: F.xxhash64(F.lit(seed), *[F.element_at("l", k + 1 + d)["t"] for d in range(window)])
     spots = F.transform(F.sequence(F.lit(0), F.size("l") - window), lambda k: F.struct(k.alias("k"), part(k, 1).alias("h1"), part(k, 2).alias("h2")))
-    windows = cut(full.select("id", F.explode(spots).alias("w")).select("id", "w.*"))
+    windows = cut(full.select("id", "mark", F.explode(spots).alias("w")).select("id", "mark", "w.*"))
     again = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     hits = cut(windows.join(again, ["h1", "h2"]))
-    first = cut(hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "k")).alias("first")))
-    own = F.col("id").eqNullSafe(F.col("first.id"))
+    first = cut(hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "k")).alias("first")))
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
     later = (hits.join(first, ["h1", "h2"]).where(~(own & (F.col("k") == F.col("first.k"))))
-             .select("id", F.when(own, F.greatest("k", F.col("first.k") + window)).otherwise(F.col("k")).alias("a"), (F.col("k") + window - 1).alias("b")).where("a <= b"))
-    covered = later.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("runs")).select(F.col("id").alias("at"), "runs")
+             .select("id", "mark", F.when(own, F.greatest("k", F.col("first.k") + window)).otherwise(F.col("k")).alias("a"), (F.col("k") + window - 1).alias("b")).where("a <= b"))
+    covered = later.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("runs")).select(F.col("id").alias("at"), F.col("mark").alias("at_mark"), "runs")
     places = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"]))))
-    joined = rows.join(covered, F.col("id").eqNullSafe(F.col("at")), "left").withColumn("lines", _lines(F.col("text")))
+    joined = rows.join(covered, F.col("id").eqNullSafe(F.col("at")) & (F.col("mark") == F.col("at_mark")), "left").withColumn("lines", _lines(F.col("text")))
     gone = joined.withColumn("l", F.when(F.col("runs").isNotNull(), _full_lines(F.col("lines"))))
     gone = gone.withColumn("gone", F.when(F.col("runs").isNotNull(), F.filter(F.transform(places, lambda k: F.get("l", k)["i"]), lambda i: i.isNotNull())))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))

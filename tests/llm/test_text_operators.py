@@ -123,6 +123,15 @@ BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip",
         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
+def test_line_windows_of_texts_without_an_id_stay_apart(spark):
+    for i in (None, 7):
+        rows = [(i, "a\nb\nc\nown one\nown two"), (i, "a\nb\nc\nother one\nother two\nmore"), (i, "clean 1\nclean 2\nclean 3\nclean 4")]
+        got = line_windows.drop_repeated_lines(obs(spark, rows)).collect()
+        assert sorted(r.n_removed for r in got) == [0, 0, 3]
+        left = {r.text for r in got}
+        assert rows[2][1] in left and len(left & {rows[0][1], rows[1][1]}) == 1 and len(left & {"own one\nown two", "other one\nother two\nmore"}) == 1
+
+
 def test_base_spans_are_those_of_the_expressions():
     rnd = random.Random(9)
 
