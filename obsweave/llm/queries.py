@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
-from obsweave.llm import licence_scan, line_windows, source_lists, toxicity
+from obsweave.llm import licence_scan, line_windows, manifest, source_lists, toxicity
 from obsweave.llm.contamination import contaminated
 from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
@@ -141,6 +141,18 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"obs_id": "doc_id", "incident_id": "item_id"})
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", manifest.CAPITALS, manifest.SMALL)
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.leaf_digest(*[docs[c] for c in names[:-1]], lowered))
+    log = manifest.observation_manifest(docs, "doc_id", "source", names, carry={"claimed": claimed})
+    proofs = manifest.membership_proofs(log, "doc_id", "source")
+    folded = manifest.fold(F.coalesce("claimed", "leaf"), F.col("proof"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 Q = {
     "op1_source_lists": (op1_source_lists, OP1_SQL),
     "op2_licence_scan": (op2_licence_scan, licence_scan.sql()),
@@ -152,4 +164,5 @@ Q = {
     "op7_vector_codes": (op7_vector_codes, None),
     "op8_language": (op8_language, None),
     "op6_near_copies": (op6_near_copies, None),
+    "op11_manifest": (op11_manifest, manifest.sql()),
 }
