@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import read
-from obsweave.llm import licence_scan, line_windows, manifest, source_lists, toxicity
+from obsweave.llm import licence_scan, line_windows, manifest, periodic_runs, source_lists, toxicity
 from obsweave.llm.contamination import contaminated
 from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
@@ -153,6 +153,27 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                          folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by crc32 of its id, repeats a passage of its own to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    docs = docs.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return docs.select(F.col("doc_id").alias("obs_id"), F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repetitions(read(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.strongest_run(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(F.col("obs_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 Q = {
     "op1_source_lists": (op1_source_lists, OP1_SQL),
     "op2_licence_scan": (op2_licence_scan, licence_scan.sql()),
@@ -164,5 +185,6 @@ Q = {
     "op7_vector_codes": (op7_vector_codes, None),
     "op8_language": (op8_language, None),
     "op6_near_copies": (op6_near_copies, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op11_manifest": (op11_manifest, manifest.sql()),
 }
