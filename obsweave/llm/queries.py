@@ -10,6 +10,7 @@ from obsweave.llm import licence_scan, line_windows, manifest, periodic_runs, so
 from obsweave.llm.contamination import contaminated
 from obsweave.llm.disclosure import KINDS, personal_spans
 from obsweave.llm.language import identify, train
+from obsweave.llm.language_model import model_scores
 from obsweave.llm.near_copies import near_copy_groups
 from obsweave.llm.packing import pack_windows
 from obsweave.llm.vector_codes import nearest_observations
@@ -174,6 +175,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_scores(observations(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
+
+
 Q = {
     "op1_source_lists": (op1_source_lists, OP1_SQL),
     "op2_licence_scan": (op2_licence_scan, licence_scan.sql()),
@@ -185,6 +190,7 @@ Q = {
     "op7_vector_codes": (op7_vector_codes, None),
     "op8_language": (op8_language, None),
     "op6_near_copies": (op6_near_copies, None),
+    "op13_language_model": (op13_language_model, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op11_manifest": (op11_manifest, manifest.sql()),
 }
