@@ -32,16 +32,21 @@ def log_probabilities(total: int) -> np.ndarray:
         return np.log10(mass) - np.log10(max(total, 1))
 
 
+#: Place of the one of each rank in each byte.
+_IN_BYTE = np.array([[next((k for k in range(8) if byte >> k & 1 and (byte & ((1 << k) - 1)).bit_count() == rank), 0) for rank in range(8)] for byte in range(256)], np.int64)
+
+
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the one that has ``rank`` ones before it in each word."""
-    word, rank, at = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
+    rank, at = rank.astype(np.int64), np.zeros(len(word), np.int64)
+    for width in (32, 16, 8):
         below = np.bitwise_count(word & U((1 << width) - 1)).astype(np.int64)
         on = rank >= below
-        rank -= np.where(on, below, 0)
-        word = np.where(on, word >> U(width), word)
-        at += on * width
-    return at
+        rank -= below * on
+        step = on * width
+        word = word >> step.view(np.uint64)
+        at += step
+    return at + _IN_BYTE[(word & U(255)).astype(np.int64), rank]
 
 
 class EliasFano:

@@ -39,7 +39,7 @@ from obsweave.llm.elias_fano import NgramTrie, log_probabilities
 from obsweave.llm.textbytes import U, mix, slices
 
 #: Words of a block; the answers of a shard and all steps of a task are arrays of about this length.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Bytes of text for each shard of the vocabulary and of the trie.
 WORD_SHARD_BYTES, TRIE_SHARD_BYTES = 1 << 26, 1 << 24
 #: Occurrences of the rarer word of a context for each slice of it.
@@ -98,7 +98,7 @@ def _blocks(shards: int, block_words: int):
             name[rank] = np.arange(len(words))
             edge = np.searchsorted(shard[place], np.arange(shards + 1))
             asks = [(s, place[edge[s]:edge[s + 1]]) for s in range(shards) if edge[s + 1] > edge[s]]
-            blobs = [_pack(words[p] >> U(32), words[p] & U(0xFFFFFFFF), count[p]) for _, p in asks]
+            blobs = [_pack(_fewer((words[p] >> U(32)).astype(np.int64)), words[p] & U(0xFFFFFFFF), count[p]) for _, p in asks]
             texts = _pack(size, out, name[back], name[place])
             k, ids = len(asks), [i for i, _, _, _ in held]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k + 1, block)), pa.array([*[s for s, _ in asks], None], pa.int32()), pa.array([*blobs, texts], pa.binary()),
@@ -132,7 +132,7 @@ def _vocabulary(shards: int):
     def run(asked: pa.Table) -> pa.Table:
         blocks, shard = asked["block"].to_pylist(), asked["shard"][0].as_py()
         parts = [_unpack(b) for b in asked["blob"].to_pylist()]
-        hashes = np.concatenate([(p[0].astype(np.uint64) << U(32)) | p[1].astype(np.uint64) for p in parts])
+        hashes = np.concatenate([(np.cumsum(p[0]).astype(np.uint64) << U(32)) | p[1].astype(np.uint64) for p in parts])
         words, back = np.unique(hashes, return_inverse=True)
         count = np.bincount(back, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
         known = int((count > 0).sum())
@@ -161,47 +161,54 @@ class _Block:
         number, count = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
         number[place] = np.concatenate([g[0] for g in got])
         count[place] = np.concatenate([g[1] | (g[2] << 32) for g in got])
-        self.count = count[name]
-        w, known = number[name], self.count > 0
-        first = np.zeros(len(w), bool)
+        self.count, w = count[name], number[name]
         ends = np.cumsum(self.size)
+        first = np.zeros(len(w), bool)
         first[np.concatenate([[0], ends[:-1]])] = True
-        # the end of a text comes once a text, as its start does
-        starts = int(self.count[ends[0] - 1])
-        before = lambda a, fill, at: np.where(at, fill, np.roll(a, 1))
-        self.v, self.v_count, v_known = before(w, 0, first), before(self.count, starts, first), before(known, True, first)
-        u, u_count, u_known = before(self.v, 0, first), before(self.v_count, starts, first), before(v_known, True, first)
-        self.has_pair, self.has_triple = v_known & known, u_known & v_known & known & ~first
+        # the end of a text comes once a text, as its start does, whose number is 0
+        self.v_count = self._before(self.count, first, self.count[ends[0] - 1])
+        v = self._before(w, first, 0)
+        known = self.count > 0
+        self.has_pair = known & (self._before(known, first, True))
         learn = np.repeat(out == 0, self.size)
-        pair = (self.v.astype(np.uint64) << U(32)) | w.astype(np.uint64)
-        context = (u.astype(np.uint64) << U(32)) | self.v.astype(np.uint64)
-        self.pairs, back = np.unique(np.concatenate([pair[self.has_pair], context[self.has_triple]]), return_inverse=True)
-        k = int(self.has_pair.sum())
-        self.pair_of, self.context_of = back[:k], back[k:]
+        self.pairs, self.pair_of = np.unique(((v << 32) | w)[self.has_pair].astype(np.uint64), return_inverse=True)
         self.pair_count = np.bincount(self.pair_of[learn[self.has_pair]], minlength=len(self.pairs))
-        triple = (self.context_of.astype(np.uint64) << U(32)) | w[self.has_triple].astype(np.uint64)
-        triples, self.triple_of = np.unique(triple, return_inverse=True)
+        # the context of a word is the pair that ends before it
+        place = np.full(len(w), -1, np.int64)
+        place[self.has_pair] = self.pair_of
+        context = self._before(place, first, -1)
+        self.has_triple = known & (context >= 0)
+        self.context_of = context[self.has_triple]
+        triples, self.triple_of = np.unique(((self.context_of << 32) | w[self.has_triple]).astype(np.uint64), return_inverse=True)
         self.triple_count = np.bincount(self.triple_of[learn[self.has_triple]], minlength=len(triples))
         self.context, self.word = (triples >> U(32)).astype(np.int64), (triples & U(0xFFFFFFFF)).astype(np.int64)
         # a context of two frequent words is cut by the words that follow it
         rarer = np.zeros(len(self.pairs), np.int64)
-        rarer[self.context_of] = np.minimum(u_count, self.v_count)[self.has_triple]
-        cuts = 1 + rarer[self.context] // slice_count
-        part = (mix(self.word.astype(np.uint64)) % cuts.astype(np.uint64)).astype(np.uint64)
+        rarer[self.pair_of] = np.minimum(self.v_count, self.count)[self.has_pair]
         home = mix(mix(self.pairs >> U(32)) + self.pairs)
-        self.pair_shard = (home % U(shards)).astype(np.int64)
-        self.triple_shard = (np.where(part > 0, mix(home[self.context] + part * U(0x9E3779B97F4A7C15)), home[self.context]) % U(shards)).astype(np.int64)
-
-    def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(shard, pairs asked there or needed as a context, whether asked, triples asked there, contexts among the pairs)."""
+        self.pair_shard = (home % U(shards)).astype(np.int32)
+        self.triple_shard = self.pair_shard[self.context]
+        cuts = 1 + rarer[self.context] // slice_count
+        many = np.flatnonzero(cuts > 1)
+        part = mix(self.word[many].astype(np.uint64)) % cuts[many].astype(np.uint64)
+        away = mix(home[self.context[many]] + part * U(0x9E3779B97F4A7C15)) % U(shards)
+        self.triple_shard[many[part > 0]] = away[part > 0]
+
+    @staticmethod
+    def _before(a: np.ndarray, first: np.ndarray, fill) -> np.ndarray:
+        """For each word what holds for the word before it in its text."""
+        out = np.empty_like(a)
+        out[1:] = a[:-1]
+        out[first] = fill
+        return out
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, pairs asked there, triples asked there), both ascending."""
         by_pair, by_triple = np.argsort(self.pair_shard, kind="stable"), np.argsort(self.triple_shard, kind="stable")
         p_edge, t_edge = self.pair_shard[by_pair], self.triple_shard[by_triple]
         for shard in np.union1d(p_edge, t_edge).tolist():
-            own = by_pair[np.searchsorted(p_edge, shard):np.searchsorted(p_edge, shard, "right")]
-            triples = by_triple[np.searchsorted(t_edge, shard):np.searchsorted(t_edge, shard, "right")]
-            pairs = np.union1d(own, self.context[triples])
-            asked = self.pair_shard[pairs] == shard
-            yield shard, pairs, asked, triples, np.searchsorted(pairs, self.context[triples])
+            yield (shard, by_pair[np.searchsorted(p_edge, shard):np.searchsorted(p_edge, shard, "right")],
+                   by_triple[np.searchsorted(t_edge, shard):np.searchsorted(t_edge, shard, "right")])
 
 
 def _answers_of(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -215,7 +222,12 @@ def _ask_trie(shards: int, slice_count: int):
             return pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         b = _Block(texts["blob"][0].as_py(), _answers_of(answers), shards, slice_count)
         rows = []
-        for shard, pairs, asked, triples, context in b.asked():
+        for shard, own, triples in b.asked():
+            # contexts of triples that a slice keeps away from their pair go along unasked
+            over = b.context[triples]
+            over = over[b.pair_shard[over] != shard]
+            pairs = np.union1d(own, over) if len(over) else own
+            asked, context = b.pair_shard[pairs] == shard, np.searchsorted(pairs, b.context[triples])
             key = b.pairs[pairs]
             rows.append((shard, _pack(_fewer((key >> U(32)).astype(np.int64)), key & U(0xFFFFFFFF), np.where(asked, b.pair_count[pairs], 0), asked,
                                       np.bincount(context, minlength=len(pairs)), b.word[triples], b.triple_count[triples])))
@@ -263,9 +275,8 @@ def _score(shards: int, slice_count: int, tokens: int, types: int, strength: tup
         gram = dict(_answers_of(answers.filter(answers["trie"])))
         b = _Block(texts["blob"][0].as_py(), _answers_of(word), shards, slice_count)
         pair_code, triple_code = np.zeros(len(b.pairs), np.uint8), np.zeros(len(b.word), np.uint8)
-        for shard, pairs, asked, triples, _ in b.asked():
-            got = _unpack(gram[shard])
-            pair_code[pairs[asked]], triple_code[triples] = got
+        for shard, pairs, triples in b.asked():
+            pair_code[pairs], triple_code[triples] = _unpack(gram[shard])
         mass = tokens * 10.0 ** log_probabilities(tokens)
         m2, m3 = strength
         p1 = (b.count + 1) / (tokens + types + 1)
