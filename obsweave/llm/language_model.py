@@ -41,7 +41,7 @@ from obsweave.llm.textbytes import U, mix, slices
 #: Words of a block; the answers of a shard and all steps of a task are arrays of about this length.
 BLOCK_WORDS = 1 << 19
 #: Bytes of text for each shard of the vocabulary and of the trie.
-WORD_SHARD_BYTES, TRIE_SHARD_BYTES = 1 << 26, 1 << 24
+WORD_SHARD_BYTES, TRIE_SHARD_BYTES = 1 << 25, 1 << 22
 #: Occurrences of the rarer word of a context for each slice of it.
 SLICE_COUNT = 1 << 20
 #: Prior weight of the next shorter context, for pairs and for triples.
