@@ -100,9 +100,10 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine clamped to [0, 1]; 0 for a zero vector. Pass norms kept per record where there are many pairs."""
+    """Cosine clamped to [0, 1]; 0 for a zero vector, null for a missing one. Pass norms kept per record where there are many pairs."""
     d = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(d == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(d, F.lit(0.0)))))
+    c = dot(a, b) / F.nullif(d, F.lit(0.0))
+    return F.when(d == 0, F.lit(0.0)).when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def shared_number(a: Column, b: Column) -> Column:

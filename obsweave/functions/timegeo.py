@@ -11,7 +11,8 @@ EARTH_M = 6371000.0
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_M) -> Column:
     a = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2))
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() passes over nulls: a missing position has no distance
+    return F.when(a.isNotNull(), 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

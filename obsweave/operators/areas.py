@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave.operators import assess as A
 from obsweave.operators.grid import terrain_profile
+from obsweave.operators.polygons import cells_of_shapes
 
 # Sensor names and band order of the summaries.
 SENSOR_NAMES = {"ucdp": "news/reports", "gdelt": "news/reports", "nasa_firms": "thermal", "nasa_modis": "thermal",
@@ -71,8 +72,12 @@ def aoi_detail(aoi_cells: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def create_aoi(aoi_id: str, context: DataFrame, cells: DataFrame | None = None, admin_id: str | None = None,
-               geometry_cells: DataFrame | None = None) -> DataFrame:
-    """Cells of a new area: listed cells, else an admin unit, else cells met by a geometry. None is an error."""
+               geometry: DataFrame | None = None) -> DataFrame:
+    """Cells of a new area: listed cells, else an admin unit, else the cells that a geometry meets. None is an error.
+
+    ``geometry`` holds polygons (``rings``) or lines (``vertices``); the area is all of them together. The
+    context then needs the cells' boxes (sw_lon, sw_lat, step_lon, step_lat).
+    """
     if cells is not None:
         c = cells.select("cell_id").join(context.select("cell_id"), "cell_id", "left_semi")
     elif admin_id is not None:
@@ -80,8 +85,9 @@ def create_aoi(aoi_id: str, context: DataFrame, cells: DataFrame | None = None,
         for col in ADMIN_COLUMN.values():
             hit = hit | F.coalesce(F.col(col) == admin_id, F.lit(False))
         c = context.where(hit).select("cell_id")
-    elif geometry_cells is not None:
-        c = geometry_cells.select("cell_id")
+    elif geometry is not None:
+        shapes = geometry.select(F.monotonically_increasing_id().alias("shape"), *[x for x in ("rings", "vertices") if x in geometry.columns])
+        c = cells_of_shapes(shapes, context, "shape").select("cell_id")
     else:
         raise ValueError("give cells, an admin unit or a geometry")
     c = c.distinct()
@@ -90,6 +96,11 @@ def create_aoi(aoi_id: str, context: DataFrame, cells: DataFrame | None = None,
     return c.select(F.lit(aoi_id).alias("aoi_id"), "cell_id")
 
 
+def geometry_aois(shapes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(aoi_id, cell_id) of many areas at once, each drawn as polygons or lines (`polygons.cells_of_shapes`)."""
+    return cells_of_shapes(shapes, cells, "aoi_id")
+
+
 def delete_aoi(aois: DataFrame, aoi_cells: DataFrame, aoi_id: str) -> tuple[DataFrame, DataFrame]:
     keep = F.col("aoi_id") != aoi_id
     return aois.where(keep), aoi_cells.where(keep)

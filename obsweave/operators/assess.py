@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave import dims
-from obsweave.functions.timegeo import haversine_km
-from obsweave.operators.nearby import SPACE_KEYS, space_keys
-from obsweave.session import cut
+from obsweave.operators.pyramid import nearest
 
 # Fixed values of the assessment.
 RECENCY_TAU_DAYS, RECENCY_FLOOR, SINGLE_SOURCE_FACTOR = 10.0, 0.3, 0.5
@@ -32,7 +30,7 @@ def age_days(start: Column, now: str) -> Column:
 
 
 def recency(start: Column, now: str) -> Column:
-    return F.exp(-F.greatest(F.lit(0.0), age_days(start, now)) / RECENCY_TAU_DAYS)
+    return F.when(start.isNotNull(), F.exp(-F.greatest(F.lit(0.0), age_days(start, now)) / RECENCY_TAU_DAYS))
 
 
 def recency_factor(start: Column, now: str) -> Column:
@@ -102,33 +100,11 @@ def cell_anomalies(events: DataFrame, now: str) -> DataFrame:
     return spike.unionByName(esc)
 
 
-def nearest_place(cells: DataFrame, places: DataFrame, reaches_m=(25e3, 200e3, 1600e3, 1e8)) -> DataFrame:
-    """Nearest place of each distinct cell (cell_id, lon, lat): name, label and distance.
-
-    Each pass meets places in lattice squares within its reach; a hit inside the reach is the nearest
-    one. Only cells without a hit go to the next, wider pass, so the search is exact and the whole
-    place table is read per cell only where nothing lies within 1600 km.
-    """
-    todo, found = cells.select("cell_id", "lon", "lat").distinct(), None
-    for i, reach in enumerate(reaches_m):
-        keyed = lambda df, wide: space_keys(df.withColumn("lvl", F.lit(0)), "lon", "lat", "lvl", [reach], wide, any_tier=False)  # noqa: E731,B023
-        a, b = keyed(todo, True).alias("a"), keyed(places.select("name", "lon", "lat"), False).alias("b")
-        cond = F.lit(True)
-        for k in SPACE_KEYS:
-            cond = (F.col(f"a.{k}") == F.col(f"b.{k}")) & cond
-        km = haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
-        hit = (a.join(b, cond).select("a.cell_id", "b.name", km.alias("km")).where(F.col("km") * 1000 <= reach)
-               .groupBy("cell_id").agg(F.min(F.struct("km", "name")).alias("m")).select("cell_id", "m.km", "m.name"))
-        hit = cut(hit)
-        found = hit if found is None else found.unionByName(hit)
-        if i + 1 < len(reaches_m):
-            todo = todo.join(hit.select("cell_id"), "cell_id", "left_anti")
-            if todo.isEmpty():
-                break
-            todo = cut(todo)
+def nearest_place(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """Nearest place of each distinct cell (cell_id, lon, lat): name, label and distance (`pyramid.nearest`)."""
     label = (F.when(F.col("km") <= IN_TOWN_KM, F.col("name")).when(F.col("km") <= NEAR_KM, F.concat(F.lit("near "), "name"))
              .otherwise(F.concat(F.lit("rural area near "), "name")))
-    return found.select("cell_id", "name", label.alias("label"), "km", F.round("km", 1).alias("distance_km"))
+    return nearest(cells, places).select("cell_id", "name", label.alias("label"), "km", F.round("km", 1).alias("distance_km"))
 
 
 def exposure(events: DataFrame, nearest: DataFrame, builtup: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave import dims
 from obsweave.functions.cells import with_cell, with_centroid
+from obsweave.operators.polygons import covered_share, edges_on_cells, inner_points, line_edges, points_in_polygons, ring_edges, segment_meets_box
 
 # Road ranks, surface words, river kinds.
 ROAD_RANK = {"motorway": 1, "trunk": 2, "primary": 3, "secondary": 4, "tertiary": 5, "residential": 6, "track": 7, "path": 8}
@@ -14,7 +15,6 @@ UNPAVED = ["unpaved", "dirt", "ground", "gravel", "compacted", "fine_gravel", "e
 PAVED = ["paved", "asphalt", "concrete", "paving_stones", "sett", "cobblestone"]
 WATERWAYS = ["river", "stream", "canal"]
 BUILT_UP_CLASS = 50
-LATTICE = 0.05  # degrees; square of the join key between cells and geometry
 
 
 def build_grid(spark: SparkSession, bbox: tuple[float, float, float, float], step: float = 0.01) -> DataFrame:
@@ -39,35 +39,6 @@ def build_label(name: Column, seq: Column) -> Column:
 
 
 # ------------------------------------------------------------------ polygons
-def edges_of(units: DataFrame) -> DataFrame:
-    """(admin_id, x1, y1, x2, y2) of every ring; ``rings`` is array<array<struct<x, y>>>."""
-    r = units.select("admin_id", F.explode("rings").alias("r")).where(F.size("r") >= 3)
-    nxt = lambda i: F.element_at("r", F.when(i == F.size("r"), 1).otherwise(i + 1))
-    e = r.select("admin_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("r")), lambda i: F.struct(
-        F.element_at("r", i).alias("a"), nxt(i).alias("b")))).alias("s"))
-    return e.select("admin_id", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
-
-
-def bounds_of(units: DataFrame) -> DataFrame:
-    e = edges_of(units)
-    return e.groupBy("admin_id").agg(F.min("x1").alias("w"), F.min("y1").alias("s"), F.max("x1").alias("e"), F.max("y1").alias("n"))
-
-
-def points_in_polygons(points: DataFrame, units: DataFrame, key: str = "cell_id") -> DataFrame:
-    """(key, admin_id) for points inside polygons, by the parity of edges to their right.
-
-    Edges are keyed by the latitude bands they span and points by their band, so a point meets only
-    edges that can cross its parallel; counts combine in the map tasks.
-    """
-    band = lambda c: F.floor(c / LATTICE)
-    e = edges_of(units).where("y1 <> y2").withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    p = points.select(key, F.col("lon").alias("px"), F.col("lat").alias("py")).withColumn("band", band(F.col("py")))
-    crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (
-        F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hit = p.join(e, "band").where(crosses).groupBy(key, "admin_id").agg(F.count(F.lit(1)).alias("n_cross"))
-    return hit.where("n_cross % 2 = 1").select(key, "admin_id")
-
-
 def stamp_admin(cells: DataFrame, units: DataFrame, levels=(1, 2, 3)) -> DataFrame:
     """Cells (cell_id, lon, lat) with id and name of the unit around their centre, per level.
 
@@ -89,54 +60,25 @@ def admin_link(stamped: DataFrame) -> DataFrame:
 def derive_parents(child: DataFrame, parent: DataFrame) -> DataFrame:
     """(admin_id, parent_id): the parent around the child's representative point; null outside all.
 
-    The point is the centre of the child's bounds.
+    The point lies inside the child whatever its form (`polygons.inner_points`); of several parents the lowest id is taken.
     """
-    b = bounds_of(child).select(F.col("admin_id").alias("child_id"), ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))
-    hit = points_in_polygons(b, parent, "child_id").groupBy("child_id").agg(F.min("admin_id").alias("parent_id"))
+    p = inner_points(child).withColumnRenamed("admin_id", "child_id")
+    hit = points_in_polygons(p, parent, "child_id").groupBy("child_id").agg(F.min("admin_id").alias("parent_id"))
     return child.select("admin_id").join(hit, F.col("admin_id") == F.col("child_id"), "left").select("admin_id", "parent_id")
 
 
-def segment_meets_box(x1, y1, x2, y2, w, s, e, n) -> Column:
-    """Whether a segment meets a closed box: an end inside, or the line separates box corners within its span."""
-    inside = x1.between(w, e) & y1.between(s, n) | x2.between(w, e) & y2.between(s, n)
-    overlap = (F.least(x1, x2) <= e) & (F.greatest(x1, x2) >= w) & (F.least(y1, y2) <= n) & (F.greatest(y1, y2) >= s)
-    side = lambda x, y: (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-    corners = [side(w, s), side(w, n), side(e, s), side(e, n)]
-    return inside | (overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
-
-
 def clip_to_aoi(units: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Units that meet a box: an edge in the box, or the box inside the unit."""
     w, s, e, n = (F.lit(float(v)) for v in bbox)
-    by_edge = edges_of(units).where(segment_meets_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), w, s, e, n)).select("admin_id")
+    by_edge = ring_edges(units, "admin_id").where(segment_meets_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), w, s, e, n)).select("admin_id")
     corner = units.sparkSession.range(1).select(F.lit("box").alias("k"), w.alias("lon"), s.alias("lat"))
     around = points_in_polygons(corner, units, "k").select("admin_id")
     return units.join(by_edge.unionByName(around).distinct(), "admin_id", "left_semi")
 
 
-def _squares(w: Column, s: Column, e: Column, n: Column) -> Column:
-    f = lambda c: F.floor(c / LATTICE)
-    return F.flatten(F.transform(F.sequence(f(w), f(e)), lambda i: F.transform(F.sequence(f(s), f(n)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-
-
-def cell_boxes(cells: DataFrame) -> DataFrame:
-    return cells.select("cell_id", F.col("sw_lon").alias("w"), F.col("sw_lat").alias("s"), (F.col("sw_lon") + F.col("step_lon")).alias("e"),
-                        (F.col("sw_lat") + F.col("step_lat")).alias("n"))
-
-
 def lines_on_cells(lines: DataFrame, cells: DataFrame, keep: list[str]) -> DataFrame:
-    """(cell_id, keep..) for each line that meets a cell box; ``vertices`` is array<struct<x, y>>.
-
-    Lines are cut into segments and both sides are keyed by lattice squares.
-    """
-    seg = lines.where(F.size("vertices") >= 2).select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.size("vertices") - 1), lambda i: F.struct(
-        F.element_at("vertices", i).alias("a"), F.element_at("vertices", i + 1).alias("b")))).alias("g"))
-    x1, y1, x2, y2 = F.col("g.a.x"), F.col("g.a.y"), F.col("g.b.x"), F.col("g.b.y")
-    seg = seg.select(*keep, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).withColumn(
-        "q", F.explode(_squares(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))))
-    box = cell_boxes(cells).withColumn("q", F.explode(_squares(F.col("w"), F.col("s"), F.col("e"), F.col("n"))))
-    hit = seg.join(box, "q").where(segment_meets_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "w", "s", "e", "n")]))
-    return hit.select("cell_id", *keep).distinct()
+    """(cell_id, keep..) for each line that meets a cell box; ``vertices`` is array<struct<x, y>>."""
+    return edges_on_cells(line_edges(lines, *keep), cells, keep)
 
 
 # ------------------------------------------------------------------ layers
@@ -159,27 +101,12 @@ def slope_zonal(dem: DataFrame, spacing_m: float) -> DataFrame:
     return d.groupBy("cell_id").agg(F.round(F.avg(F.degrees(F.atan(F.hypot("gx", "gy")))), 4).alias("slope_deg"))
 
 
-def building_zonal(buildings: DataFrame, cells: DataFrame, samples: int = 20) -> DataFrame:
-    """Count of buildings meeting each cell and the share of the cell they cover together.
+def building_zonal(buildings: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_id, building_count, building_share): footprints (building_id, rings) that meet each cell and the exact share they cover together.
 
-    Buildings are boxes (building_id, w, s, e, n). The union share is measured on a lattice of
-    samples x samples points per cell; its error falls with ``samples``.
+    Cells without buildings have zeros. Overlapping footprints count once in the share; a part beyond the cell does not count.
     """
-    b = buildings.select("building_id", *[F.col(c).alias(f"b{c}") for c in "wsen"]).withColumn(
-        "q", F.explode(_squares(F.col("bw"), F.col("bs"), F.col("be"), F.col("bn"))))
-    c = cell_boxes(cells).withColumn("q", F.explode(_squares(F.col("w"), F.col("s"), F.col("e"), F.col("n"))))
-    hit = c.join(b, "q").where("bw <= e and be >= w and bs <= n and bn >= s").dropDuplicates(["cell_id", "building_id"])
-    count = hit.groupBy("cell_id").agg(F.countDistinct("building_id").alias("building_count"))
-    k = F.lit(samples)
-    idx = lambda lo, hi, w0, w1: F.sequence(
-        F.greatest(F.lit(0), F.ceil((F.col(lo) - F.col(w0)) / (F.col(w1) - F.col(w0)) * k - 0.5)).cast("int"),
-        F.least(k - 1, F.floor((F.col(hi) - F.col(w0)) / (F.col(w1) - F.col(w0)) * k - 0.5)).cast("int"))
-    lo_hi = lambda lo, hi, w0, w1: F.ceil((F.col(lo) - F.col(w0)) / (F.col(w1) - F.col(w0)) * k - 0.5) <= F.floor((F.col(hi) - F.col(w0)) / (F.col(w1) - F.col(w0)) * k - 0.5)
-    on = lo_hi("bw", "be", "w", "e") & lo_hi("bs", "bn", "s", "n")
-    inside = hit.where(on).withColumn("i", F.explode(F.filter(idx("bw", "be", "w", "e"), lambda v: v.between(0, samples - 1)))).withColumn(
-        "j", F.explode(F.filter(idx("bs", "bn", "s", "n"), lambda v: v.between(0, samples - 1))))
-    share = inside.select("cell_id", "i", "j").distinct().groupBy("cell_id").agg((F.count(F.lit(1)) / (samples * samples)).alias("building_share"))
-    return count.join(share, "cell_id", "left").withColumn("building_share", F.round(F.coalesce("building_share", F.lit(0.0)), 4))
+    return covered_share(buildings, cells)
 
 
 def classify_surface(highway: Column, surface: Column) -> Column:

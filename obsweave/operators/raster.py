@@ -94,8 +94,9 @@ def label_clusters(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def magnitude_confidence(mag: Column, thr: Column | float, sat: Column | float) -> Column:
     thr, sat = (v if isinstance(v, Column) else F.lit(float(v)) for v in (thr, sat))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mag - thr) / F.nullif(sat - thr, F.lit(0.0))))
-    return F.when(sat <= thr, F.lit(0.6)).otherwise(F.round(0.3 + 0.6 * share, 4))
+    part = (mag - thr) / F.nullif(sat - thr, F.lit(0.0))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))
+    return F.when(sat <= thr, F.lit(0.6)).when(part.isNotNull(), F.round(0.3 + 0.6 * share, 4))
 
 
 def cluster_stats(labelled: DataFrame, footprints: DataFrame, min_px: int, max_px: int | None = None) -> DataFrame:
@@ -185,11 +186,11 @@ def vessel_cfar(pixels: DataFrame, tiles: DataFrame, band: str = "VV") -> DataFr
 
 # ------------------------------------------------------------------ caching and hand-over
 def quantize_confidence(c: Column) -> Column:
-    """Representative value of the confidence band."""
+    """Representative value of the confidence band; null stays null."""
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     out = None
     for _name, low, rep in CONFIDENCE_BANDS:
-        out = F.when(s >= low, rep) if out is None else out.when(s >= low, rep)
+        out = F.when(c.isNull(), F.lit(None)).when(s >= low, rep) if out is None else out.when(s >= low, rep)
     return out.otherwise(CONFIDENCE_BANDS[-1][2])
 
 

@@ -201,8 +201,11 @@ def parse_conflict_row(df: DataFrame, theater: str = "ua_donbas", text_limit: in
 
 
 def fire_confidence(c: Column) -> Column:
+    """Share from a word or a number of percent; null where there is neither."""
     s = F.lower(F.trim(c))
-    return F.coalesce(dims.choose(s, FIRE_WORDS, F.lit(None).cast("double")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.try_cast("double") / 100)))
+    # least() passes over nulls, so a value that is no number must be kept from it; nor is NaN a number here
+    n = F.when(s.rlike(r"^[+-]?[0-9.]"), s.try_cast("double")) / 100
+    return F.coalesce(dims.choose(s, FIRE_WORDS, F.lit(None).cast("double")), F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), n))))
 
 
 def _fire_fields(df: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from obsweave.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = build_session("local[8]", "obsweave-tests", **{
+    s = build_session(os.environ.get("OBSWEAVE_TEST_MASTER", "local[8]"), "obsweave-tests", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("wh")),
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("ckpt"))})

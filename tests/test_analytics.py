@@ -97,9 +97,10 @@ def test_zonal_lines_and_buildings(spark):
                                   "cell_id string, sw_lon double, sw_lat double, step_lon double, step_lat double")
     line = spark.createDataFrame([(1, "primary", [(-1.0, 0.005), (0.02, 0.005)])], "road_id int, highway string, vertices array<struct<x:double,y:double>>")
     assert sorted(r.cell_id for r in G.lines_on_cells(line, cells, ["road_id", "highway"]).collect()) == ["a", "b"]
-    b = spark.createDataFrame([(1, 0.0, 0.0, 0.005, 0.01), (2, 0.0025, 0.0, 0.005, 0.01), (3, 0.0101, 0.0, 0.0102, 0.0001)], "building_id int, w double, s double, e double, n double")
-    r = {x.cell_id: (x.building_count, x.building_share) for x in G.building_zonal(b, cells).collect()}
-    assert r["a"] == (2, 0.5) and r["b"][0] == 1 and "c" not in r
+    boxes = [(1, 0.0, 0.0, 0.005, 0.01), (2, 0.0025, 0.0, 0.005, 0.01), (3, 0.0101, 0.0, 0.0102, 0.0001)]
+    b = spark.createDataFrame([(k, [[(w, s), (e, s), (e, n), (w, n)]]) for k, w, s, e, n in boxes], "building_id int, rings array<array<struct<x:double,y:double>>>")
+    r = {x.cell_id: (x.building_count, round(x.building_share, 9)) for x in G.building_zonal(b, cells).collect()}
+    assert r["a"] == (2, 0.5) and r["b"][0] == 1 and r["c"] == (0, 0.0)
     tags = spark.createDataFrame([({"waterway": "river", "highway": "primary"},), ({"highway": "track"},), ({"landuse": "forest"},)], "tags map<string,string>")
     assert [r.k and (r.k.kind, r.k.subkind) for r in tags.select(G.classify_feature(F.col("tags")).alias("k")).collect()] == [("water", "river"), None, ("forest", "forest")]
 
