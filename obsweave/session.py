@@ -52,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/obsweave/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tune_local(spark: SparkSession) -> None:
     """UTC and a partition count that fits a local master; clusters keep their own settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
