@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.session import cut
+from obsweave import session
+
+__all__ = ["cut", "fields", "id_type", "learnt", "read", "small_batches", "stage"]
+
+
+#: Tables that the running stage has written, and those of the stage before it.
+_written: list[DataFrame] | None = None
+_before: list[DataFrame] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`session.cut`; a pipeline stage remembers the table, to delete it when the next stage begins."""
+    out = session.cut(df)
+    if _written is not None:
+        _written.append(out)
+    return out
+
+
+def stage(fn):
+    """A pipeline stage that owns the tables it writes on the way.
 
-__all__ = ["cut", "fields", "id_type", "learnt", "read", "small_batches"]
+    Its result is written before the next stage is called, so the next one deletes them.
+    """
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _written, _before
+        for table in _before:
+            session.discard(table)
+        _before, _written = [], []
+        try:
+            return fn(spark, docs, sf_dir)
+        finally:
+            _before, _written = _written, None
+    return run
 
 
 def fields(df: DataFrame, **columns: str) -> DataFrame:

@@ -8,6 +8,8 @@ comes from Myers' bit-parallel recurrence, one big integer per column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 
 import pyarrow as pa
@@ -142,6 +144,35 @@ def _search(items: list[tuple], rate: float, item_kind: pa.DataType):
     return run
 
 
+def _clean(items: list[tuple], rate: float):
+    """Rows in whose text no item comes back."""
+    def run(batches):
+        index = Index(items, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not (text and index.find(normalise(text))) for text in (v.as_py() for v in batch.column("text"))], pa.bool_()))
+    return run
+
+
+def _blocks_of(wanted: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
+    """The incidents (item, text) by blocks of about so many characters; one block at a time goes through the driver."""
+    blocks = max(-(-(wanted.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // block_chars), 1)
+    for b in range(blocks):
+        yield [(r["item"], r["text"]) for r in wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
+
+
+def uncontaminated(observations: DataFrame, incidents: DataFrame, text: str = "text", incident_id: str = "incident_id", incident_text: str = "text",
+                   rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The observation rows, whole and where they are, in whose text no incident comes back (`contaminated` says where).
+
+    Each row is judged by its own text; null and empty texts stay. Nothing is shuffled.
+    """
+    small_batches(observations.sparkSession)
+    out = observations.withColumnRenamed(text, "text")
+    for items in _blocks_of(fields(incidents, item=incident_id, text=incident_text), block_chars):
+        out = out.mapInArrow(_clean(items, rate), out.schema)
+    return out.withColumnRenamed("text", text)
+
+
 def contaminated(observations: DataFrame, incidents: DataFrame, obs_id: str = "obs_id", text: str = "text", incident_id: str = "incident_id",
                  incident_text: str = "text", rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Where evaluation incidents come back in observation texts.
@@ -162,10 +193,8 @@ def contaminated(observations: DataFrame, incidents: DataFrame, obs_id: str = "o
     rows, wanted = fields(observations, id=obs_id, text=text), fields(incidents, item=incident_id, text=incident_text)
     kind, item_kind = rows.schema["id"].dataType, wanted.schema["item"].dataType
     shape = f"id {kind.simpleString()}, item {item_kind.simpleString()}, start bigint, end bigint, distance bigint"
-    blocks = -(-(wanted.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // block_chars)
     out = None
-    for b in range(max(blocks, 1)):
-        items = [(r["item"], r["text"]) for r in wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1))) == b).collect()]
+    for items in _blocks_of(wanted, block_chars):
         part = rows.mapInArrow(_search(items, rate, to_arrow_type(item_kind)), shape)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("id").alias(obs_id), F.col("item").alias(incident_id), "start", "end", "distance")

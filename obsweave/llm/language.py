@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsweave.llm.common import fields, learnt, small_batches
 from obsweave.llm.textbytes import LOWER, Texts, slices
@@ -20,12 +21,19 @@ from obsweave.llm.textbytes import LOWER, Texts, slices
 GRAMS = (1, 2, 3)
 #: Lengths of texts are told apart by powers of two of their number of letters, up to 2**16.
 LENGTHS = 17
+#: Sampled texts from which a length class has a limit of its own.
+CLASS_TEXTS = 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FACTOR = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def only_letters(text) -> Column:
+    """A text with a blank for each run of anything but letters, by Unicode category."""
+    return F.regexp_replace(text, r"[^\p{L}]+", " ")
+
+
 def _letters(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case letters with one blank for each run of anything else, and the text of each byte."""
     data = LOWER[texts.data]
@@ -127,17 +135,20 @@ def fit(x: np.ndarray, letters: np.ndarray, langs: np.ndarray, idf: np.ndarray,
     floor = np.zeros(LENGTHS, np.float32)
     if len(c):
         best, size = (x @ c.T).max(axis=1), _length(letters)
-        for k in range(LENGTHS):
-            # short texts lie farther from every centroid: a class takes its limit from texts up to its length
-            some = best[(size <= k) & (letters > 0)]
-            floor[k] = np.quantile(some, 0.001) * slack if len(some) else 0.0
+        own = [np.quantile(best[(size == k) & (letters > 0)], 0.01) * slack if ((size == k) & (letters > 0)).sum() >= CLASS_TEXTS else np.inf for k in range(LENGTHS)]
+        # longer texts lie nearer: a class never asks for more than a longer one, and one with few texts goes with its neighbours
+        known = [k for k in range(LENGTHS) if np.isfinite(own[k])]
+        if known:
+            for k in range(LENGTHS):
+                floor[k] = min(own[k:known[-1] + 1]) if known[0] <= k <= known[-1] else own[known[-1]] if k > known[-1] else 0.0
     return {"langs": names, "centroids": c, "floor": floor, "idf": idf, "bits": bits}
 
 
-def _predict(model):
+def _predict(model, kept: int = 0):
     def run(batches):
         m = model.value
         c, langs = m["centroids"], np.array([*m["langs"], "und"], object)
+        extra = [f"keep_{i}" for i in range(kept)]
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 x, letters = _weighted(texts, m["bits"], m["idf"])
@@ -148,8 +159,8 @@ def _predict(model):
                     at, best = np.full(texts.n, -1), np.zeros(texts.n)
                 at, best = np.where(letters > 0, at, -1), np.where(letters > 0, best, 0.0)
                 out = (at < 0) | (best < m["floor"][_length(letters)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(langs[at], pa.string()), pa.array(best), pa.array(out)],
-                                                 names=["id", "held_out", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(langs[at], pa.string()), pa.array(best), pa.array(out),
+                                                  *[part.column(k) for k in extra]], names=["id", "held_out", "lang_pred", "score", "rejected", *extra])
     return run
 
 
@@ -162,32 +173,39 @@ def train(observations: DataFrame, obs_id: str = "obs_id", text: str = "text", l
     """
     small_batches(observations.sparkSession)
     rows = fields(observations, id=obs_id, text=text, lang=lang).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(learnt("id", folds, out), F.lit(True)))
+    rows = rows.select("id", "lang", only_letters(F.col("text")).alias("text"))
     got = rows.select("text").mapInArrow(_frequencies(bits), "dim bigint, df bigint").groupBy("dim").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(1 << bits)
     seen = got[got["dim"] >= 0]
     df[seen["dim"]] = seen["df"]
     n = float(got.loc[got["dim"] < 0, "df"].sum())
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count(F.lit(1))).alias("share"))
+    # one number a language, of which the model holds several centroids each; the dice fall before a text moves
+    share = {r["lang"]: min(1.0, fit_rows / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     dice = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(share, "lang").where(dice < F.col("share")).select("lang", F.xxhash64("id", "text").alias("mark"), "text")
+    taken = F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")) if share else F.lit(0.0)
+    chosen = rows.where(dice < taken).select("lang", F.xxhash64("id", "text").alias("mark"), "text")
     # the sample's vectors are of one size whatever the texts, so fit_rows bounds what the driver holds
     sample = chosen.mapInArrow(_vectors(bits, idf), "lang string, mark bigint, letters bigint, x binary").toPandas().sort_values(["lang", "mark"])
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), 1 << bits)
     return fit(x, sample["letters"].to_numpy(), sample["lang"].to_numpy(), idf, bits, per_lang, slack)
 
 
-def identify(observations: DataFrame, model: dict, obs_id: str = "obs_id", text: str = "text", folds: int = 4, out: int = 2) -> DataFrame:
-    """Language of each observation text: obs_id, held_out, lang_pred, score (cosine), rejected; one row per input row.
+def identify(observations: DataFrame, model: dict, obs_id: str = "obs_id", text: str = "text", folds: int = 4, out: int = 2,
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Language of each observation text: obs_id, held_out, lang_pred, score (cosine), rejected, kept columns; one row per input row.
 
-    Null texts and texts without letters get ``und``, score 0 and are rejected; so does everything
+    Letters are those of Unicode; everything else parts words. A text is rejected when its cosine is below
+    what nearly all texts of its length have, shorter ones being allowed less. Null texts and texts without letters get ``und``, score 0 and are rejected; so does everything
     when nothing could be learned. Repeated rows get equal results. Null obs_id: kept, not held out.
     Other columns are ignored. An empty table gives an empty result. Ties go to the first language by
     name. Long texts are read whole; memory is a slice of texts or one text.
     """
     spark = observations.sparkSession
     small_batches(spark)
-    rows = fields(observations, id=obs_id, text=text).select("id", F.coalesce(~learnt("id", folds, out), F.lit(False)).alias("held_out"), "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
-    return got.withColumnRenamed("id", obs_id)
+    rows = fields(observations, id=obs_id, text=text, **{f"keep_{i}": c for i, c in enumerate(keep)})
+    rows = rows.select("id", F.coalesce(~learnt("id", folds, out), F.lit(False)).alias("held_out"), only_letters(F.col("text")).alias("text"), *[f"keep_{i}" for i in range(len(keep))])
+    shape = T.StructType([rows.schema["id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                          T.StructField("rejected", T.BooleanType()), *[rows.schema[f"keep_{i}"] for i in range(len(keep))]])
+    got = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), len(keep)), shape)
+    return got.withColumnsRenamed({"id": obs_id} if not keep else {f"keep_{i}": c for i, c in enumerate(keep)}).drop(*(["id"] if keep else []))

@@ -154,17 +154,41 @@ def _in_order(met: DataFrame) -> DataFrame:
     return met.where("a <> b").select(*[one(f"{c}a", f"{c}b") for c in ("", "n_", "at_", "before_")], *[one(f"{c}b", f"{c}a") for c in ("", "n_", "at_", "before_")])
 
 
-def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts that some pair asks for.
+def marked(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with ``_maybe``: false where the row's key is surely none of ``ids`` (column ``id``).
+
+    A bitmap of hashed ids, of BITMAP / 64 rows whatever the data, which bounds the broadcast.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    bits = (ids.where("id is not null").select(place("id").alias("p")).groupBy((F.col("p") / 64).cast("int").alias("_word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits")))
+    d = rows.withColumn("_p", place(key)).withColumn("_word", (F.col("_p") / 64).cast("int")).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return d.withColumn("_maybe", hit).drop("_p", "_word", "_bits")
+
 
-    A bitmap of hashed ids goes ahead of the join, so that most other texts are not shuffled; it has
-    BITMAP / 64 rows whatever the data, which bounds the broadcast.
+def one_of_each(observations: DataFrame, groups: DataFrame, obs_id: str = "obs_id", text: str = "text") -> DataFrame:
+    """One observation of each group of near copies: the one of least id, and of rows of that id the one of least text.
+
+    Rows without an id are groups of their own. Only rows whose id is one of those that go, or that comes
+    more than once, are shuffled (and the few that share a bit of the bitmap with them).
     """
+    gone = groups.where(f"component_id <> `{obs_id}`").select(F.col(obs_id).alias("id"), F.lit(True).alias("_gone"))
+    again = groups.where(f"`{obs_id}` is not null").groupBy(F.col(obs_id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(False).alias("_gone"))
+    special = cut(gone.unionByName(again).groupBy("id").agg(F.max("_gone").alias("_gone")))
+    d = marked(observations, special, obs_id)
+    sure = d.where("not _maybe").drop("_maybe")
+    rest = d.where("_maybe").drop("_maybe").join(special, d[f"`{obs_id}`"] == special["id"], "left").drop("id")
+    first = W.partitionBy(obs_id).orderBy(F.xxhash64(text), text)
+    kept = rest.where("_gone is null").drop("_gone").unionByName(
+        rest.where("not _gone").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_gone"))
+    return sure.unionByName(kept)
+
+
+def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts that some pair asks for; `marked` keeps most other texts out of the shuffle."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    bits = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    maybe = (rows.withColumn("p", place).withColumn("word", (F.col("p") / 64).cast("int")).join(F.broadcast(bits), "word")
-             .where(F.getbit("bits", (F.col("p") % 64).cast("int")) == 1).select("id", "text"))
+    maybe = marked(rows, ids).where("_maybe").select("id", "text")
     return cut(cut(maybe).join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
 
 
@@ -241,10 +265,16 @@ def near_copy_groups(observations: DataFrame, obs_id: str = "obs_id", text: str
     named = shared.drop("degree").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     parts = named.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("c", "label")).alias("major")).where("k > 1").drop("k")
-    apart = cut(named.join(mixed, "gram"))
-    x = apart.where("label <> major").select("gram", *side("a"), F.col("label").alias("label_a"))
-    y = apart.select("gram", *side("b"), F.col("label").alias("label_b"), "major")
-    rest = x.join(y, (x["gram"] == y["gram"]) & (x["label_a"] != y["label_b"]) & ((y["label_b"] == y["major"]) | (x["a"] < y["b"])) & _within_reach(percent))
+    # the counts of the segments, which come as four bytes each, lowest first
+    byte = lambda k, b: F.substring("hex", 8 * k + 2 * b + 1, F.lit(2))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.conv(F.concat(*[byte(k, b) for b in (3, 2, 1, 0)]), 16, 10).cast("int"))
+    apart = cut(named.join(mixed, "gram").join(reps.withColumn("hex", F.hex("seg")).select("id", counts.alias("seg")), "id"))
+    x = apart.where("label <> major").select("gram", *side("a"), F.col("label").alias("label_a"), F.col("seg").alias("seg_a"))
+    y = apart.select("gram", *side("b"), F.col("label").alias("label_b"), "major", F.col("seg").alias("seg_b"))
+    # the suffix filter goes first here: texts that share a frequent passage and little else never make a row
+    differ = F.aggregate(F.zip_with("seg_a", "seg_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d)
+    near = differ <= F.col("n_a") + F.col("n_b") - 2 * _overlap(percent)
+    rest = x.join(y, (x["gram"] == y["gram"]) & (x["label_a"] != y["label_b"]) & ((y["label_b"] == y["major"]) | (x["a"] < y["b"])) & _within_reach(percent) & near)
     more = _candidates(_in_order(rest), percent)
     more = cut(_suffix_filter(more.join(tried, ["a", "b"], "left_anti"), reps, percent))
     if not more.isEmpty():

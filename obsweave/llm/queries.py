@@ -107,14 +107,19 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.drop_repeated_lines(observations(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(obs: DataFrame) -> DataFrame:
+    """Pieces of text observations with what each holds, in windows of the public byte-level vocabulary."""
     import public_tokenizers as P
 
-    pieces = pack_windows(observations(spark, sf_dir), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    pieces = pack_windows(obs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, tokenizer_file=P.path("byte_bpe_50k.json"))
     return pieces.select(F.col("obs_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("obs_tokens").alias("doc_tokens"),
                          "sequence_id", "offset")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(observations(spark, sf_dir))
+
+
 def op7_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), "embedding")
     found = nearest_observations(vectors, F.col("obs_id") % 100 == 0)
