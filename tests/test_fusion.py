@@ -14,7 +14,7 @@ from obsweave.operators import block as B
 from obsweave.operators import evaluate as E
 from obsweave.operators import fuse as FU
 from obsweave.operators import score as S
-from obsweave.operators.components import with_component
+from obsweave.operators.components import component_labels, with_component
 
 GOLD = json.loads((Path(__file__).parent / "golden.json").read_text())
 OBS_SCHEMA = ("obs_id string, theater_id string, source_id string, source_family_id string, modality string, obs_type string, "
@@ -156,3 +156,26 @@ def test_unknown_precision_is_a_cell(spark):
     for r, p in zip(rows, (None, 0.0, 300.0)):
         r["geom_precision_m"] = p
     assert {r.obs_id: r.geom_precision_m for r in FU.with_precision(frame(spark, rows)).collect()} == {"o000": 1000.0, "o001": 1000.0, "o002": 300.0}
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components_of_paths_rings_and_hubs(spark, small):
+    """Both ways to the end: one last contraction, and steps over the whole table."""
+    rnd = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    edges += [(3000 + rnd.randrange(400), 3000 + rnd.randrange(400)) for _ in range(250)] + [(5000, 5000), (5001, 5001)]
+    rnd.shuffle(edges)
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    assert {r.id: r.label for r in component_labels(df, small_edges=small).collect()} == {x: v for x, v in label.items() if v != x}
+    words = df.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).where("a < 1000")
+    assert component_labels(words, small_edges=small).select("label").distinct().collect()[0].label == "0"
+    assert component_labels(df.where("a = 5000"), small_edges=small).count() == 0
