@@ -182,6 +182,53 @@ def area_facts(cells: DataFrame, events: DataFrame, anomalies: DataFrame, member
             .withColumn("top_type", F.col("types")[0]["event_type"]).drop("types"))
 
 
+def area_labels(units: DataFrame, aois: DataFrame | None = None) -> DataFrame:
+    """(area, kind, label, level, area_id) of every admin unit and user area."""
+    d = units.select(F.concat(F.lit("admin:"), "admin_id").alias("area"), F.lit("admin").alias("kind"), F.col("name").alias("label"), F.col("level").cast("int").alias("level"))
+    if aois is not None:
+        d = d.unionByName(aois.select(F.concat(F.lit("aoi:"), F.col("aoi_id").cast("string")).alias("area"), F.lit("aoi").alias("kind"), F.col("name").alias("label"),
+                                      F.lit(None).cast("int").alias("level")))
+    return d
+
+
+def area_context(labels: DataFrame, cells: DataFrame, events: DataFrame, anomalies: DataFrame, member_families: DataFrame, context: DataFrame, now: str,
+                 places: DataFrame | None = None) -> DataFrame:
+    """What is known of each area in one row: label, facts, attention and terrain.
+
+    ``places`` (cell_id, label) names the surroundings of the top events. An area without cells, events or
+    terrain keeps its row, with nulls and zeros.
+    """
+    named = events if places is None else events.join(places.select("cell_id", F.col("label").alias("place_label")), "cell_id", "left")
+    facts = area_facts(cells, named, anomalies, member_families, now)
+    att = area_attention(cells, events, anomalies, now, labels.select("area"))
+    pack = lambda df, name: df.select("area", F.struct(*[c for c in df.columns if c != "area"]).alias(name))
+    d = labels.join(pack(att, "attention"), "area", "left").join(pack(facts, "facts"), "area", "left")
+    return d.join(pack(terrain_profile(cells, context), "terrain"), "area", "left")
+
+
+def area_view(labels: DataFrame, cells: DataFrame, units: DataFrame, events: DataFrame, anomalies: DataFrame, member_families: DataFrame, context: DataFrame,
+              significance: DataFrame, now: str, days: int = 30, n: int = 50, places: DataFrame | None = None) -> DataFrame:
+    """The whole view of every area at once: label, read, attention, terrain, recent events, significant events and children.
+
+    ``significance`` is the stored feed (event_id, cell_id, score, rationale). Lists are arrays of structs
+    in order, of at most ``n`` entries: each is ranked within its area, and ranks beyond ``n`` are dropped
+    in the tasks before areas meet. An area without something has an empty list.
+    """
+    ctx = area_context(labels, cells, events, anomalies, member_families, context, now, places)
+    att = ctx.select("area", "attention.*")
+    read = template_read(ctx.where("facts is not null").select("area", "facts.*"), att)
+    listed = lambda df, name, *cols: df.groupBy("area").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias(name))
+    recent = listed(recent_in_area(cells, events, now, days, n), "recent", "event_id", "cell_id", "event_type", "confidence_band", "occurred_start")
+    top = significance.join(events.select("event_id", "event_type", "confidence_band", "occurred_start"), "event_id")
+    top = listed(significant_in_area(cells, top, n), "significant", "event_id", "score", "rationale", "event_type", "confidence_band", "cell_id", "occurred_start")
+    kids = area_children(units, cells, events, now).select(F.concat(F.lit("admin:"), "parent_id").alias("area"), "rank", "admin_id", "name", "status", "n_events")
+    kids = listed(kids, "children", "admin_id", "name", "status", "n_events")
+    d = ctx.drop("facts").join(read.select("area", F.struct("summary", "indicators", "provenance", "generated_by", "input_hash").alias("read")), "area", "left")
+    for part in (recent, top, kids):
+        d = d.join(part, "area", "left")
+    return d.withColumns({c: F.coalesce(c, F.array()) for c in ("recent", "significant", "children")})
+
+
 def template_read(facts: DataFrame, attention: DataFrame) -> DataFrame:
     """Deterministic text per area."""
     d = facts.join(attention.select("area", "status"), "area")
@@ -206,7 +253,7 @@ def upsert_reads(cached: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def synthesize_areas(facts: DataFrame, attention: DataFrame, cached: DataFrame | None = None, generate=None) -> DataFrame:
-    """Reads of all areas; only areas whose facts changed are regenerated.
+    """Reads of all areas; only areas whose facts changed are regenerated (``generated_by`` then is ``llm``).
 
     ``generate`` maps the changed areas' frame to (area, summary); areas it leaves out or leaves blank
     keep the template text.
@@ -215,7 +262,7 @@ def synthesize_areas(facts: DataFrame, attention: DataFrame, cached: DataFrame |
     fresh = base if cached is None else base.join(cached.select("area", "input_hash"), ["area", "input_hash"], "left_anti")
     if generate is not None:
         g = generate(fresh).select("area", F.nullif(F.trim("summary"), F.lit("")).alias("_g"))
-        fresh = fresh.join(g, "area", "left").withColumn("generated_by", F.when(F.col("_g").isNotNull(), "model").otherwise(F.col("generated_by"))).withColumn(
+        fresh = fresh.join(g, "area", "left").withColumn("generated_by", F.when(F.col("_g").isNotNull(), "llm").otherwise(F.col("generated_by"))).withColumn(
             "summary", F.coalesce("_g", "summary")).drop("_g")
     return fresh if cached is None else upsert_reads(cached, fresh)
 

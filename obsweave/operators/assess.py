@@ -65,13 +65,20 @@ def significance(events: DataFrame, now: str) -> DataFrame:
         F.when(rec >= 0.7, "very recent").when(rec >= 0.3, "recent").otherwise("older"),
         F.when(nov >= 0.99, "first of its kind in this area").when(nov <= 0.34, "one of many similar here"))
     score = F.col("severity") * F.coalesce("confidence", F.lit(0.0)) * F.col("recency") * nov * F.col("corroboration")
-    return d.select("event_id", "cell_id", "event_type", F.lit("significance").alias("kind"), F.round(score, 4).alias("score"),
+    return d.select(*_theater(d), "event_id", "cell_id", "event_type", F.lit("significance").alias("kind"), F.round(score, 4).alias("score"),
                     F.struct(*[F.round(F.col(c), 3).alias(c) for c in ("severity", "confidence", "recency", "novelty", "corroboration")]).alias("components"),
                     F.concat(words, F.lit(".")).alias("rationale"))
 
 
+def _theater(df: DataFrame) -> list[str]:
+    return ["theater_id"] if "theater_id" in df.columns else []
+
+
 def top_significance(scored: DataFrame, n: int = TOP_SIGNIFICANCE) -> DataFrame:
-    return scored.where(F.col("score") >= MIN_SIGNIFICANCE).orderBy(F.desc("score"), "event_id").limit(n)
+    """Best rows of each theater (of all rows where they name none)."""
+    d = scored.where(F.col("score") >= MIN_SIGNIFICANCE)
+    w = Window.partitionBy(*(_theater(d) or [F.lit(1)])).orderBy(F.desc("score"), "event_id")
+    return d.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def cell_anomalies(events: DataFrame, now: str) -> DataFrame:
@@ -115,7 +122,7 @@ def exposure(events: DataFrame, nearest: DataFrame, builtup: DataFrame | None =
     score = F.round(dims.severity(F.col("event_type")) * F.greatest(near, F.coalesce("builtup_pct", near)), 4)
     where = F.when(F.col("km") < 2.0, "in").otherwise(F.concat(F.col("distance_km").cast("string"), F.lit(" km from")))
     return d.withColumn("score", score).where(F.col("score") >= EXPOSURE_MIN).select(
-        "event_id", "cell_id", F.lit("exposure").alias("kind"), "score", F.col("name").alias("settlement"), "distance_km",
+        *_theater(d), "event_id", "cell_id", F.lit("exposure").alias("kind"), "score", F.col("name").alias("settlement"), "distance_km",
         F.concat_ws(" ", spoken(F.col("event_type")), where, F.concat("name", F.lit(" — populated area exposed."))).alias("rationale"))
 
 
@@ -124,13 +131,13 @@ def collection_gap(events: DataFrame, now: str) -> DataFrame:
     score = F.round(sev * recency_factor(F.col("occurred_start"), now), 4)
     return events.where((F.coalesce("n_independent_families", F.lit(0)) < 2) & (sev >= GAP_MIN_SEVERITY) & F.col("occurred_start").isNotNull()
                         & (age_days(F.col("occurred_start"), now) <= GAP_DAYS)).withColumn("score", score).where(F.col("score") >= GAP_MIN).select(
-        "event_id", "cell_id", F.lit("gaps").alias("kind"), "score",
+        *_theater(events), "event_id", "cell_id", F.lit("gaps").alias("kind"), "score",
         F.concat(F.lit("recent "), spoken(F.col("event_type")), F.lit(" from a single source — needs a second independent source to confirm.")).alias("rationale"))
 
 
 def top_n_per_kind(assessments: DataFrame, n: int = TOP_PER_KIND) -> DataFrame:
-    """Best rows per kind; the rank filter lets Spark keep only n rows per kind and map task."""
-    w = Window.partitionBy("kind").orderBy(F.desc("score"), "event_id")
+    """Best rows per theater and kind; the rank filter lets Spark keep only n rows of each per map task."""
+    w = Window.partitionBy(*_theater(assessments), "kind").orderBy(F.desc("score"), "event_id")
     return assessments.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ["q_core", "q_assess", "q_eval", "q_geo"]
+MODULES = ["q_core", "q_assess", "q_eval", "q_geo", "q_feeds"]
 
 
 def all_queries() -> dict:

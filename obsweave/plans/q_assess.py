@@ -228,10 +228,15 @@ def _(spark, sf):
     return R.area_children(cut(Y.units(spark, sf)), cells, ev, NOW).select("parent_id", "admin_id", "status", "n_events", "rank")
 
 
-@query("significant_in_area", with_("units", *SIG, "SELECT area, event_id, score, rank FROM (SELECT area, event_id, score, row_number() OVER (PARTITION BY area ORDER BY score DESC, event_id) AS rank FROM acells JOIN sig USING (cell_id)) WHERE rank <= 50"))
+# the areas rank the stored feed, which holds the best 250 of the theater
+FEED = [*SIG, "feed AS (SELECT * FROM sig WHERE score >= 0.08 ORDER BY score DESC, event_id LIMIT 250)",
+        "inarea AS (SELECT area, event_id, score, rank FROM (SELECT area, event_id, score, row_number() OVER (PARTITION BY area ORDER BY score DESC, event_id) AS rank FROM acells JOIN feed USING (cell_id)) WHERE rank <= 50)"]
+
+
+@query("significant_in_area", with_("units", *FEED, "SELECT * FROM inarea"))
 def _(spark, sf):
     cells, ev, _an = area_inputs(spark, sf)
-    return R.significant_in_area(cells, A.significance(ev, NOW)).select("area", "event_id", "score", "rank")
+    return R.significant_in_area(cells, A.top_significance(A.significance(ev, NOW))).select("area", "event_id", "score", "rank")
 
 
 @query("recent_in_area", with_("units", f"SELECT area, event_id, rank FROM (SELECT area, event_id, row_number() OVER (PARTITION BY area ORDER BY occurred_end DESC, event_id) AS rank FROM acells JOIN evt USING (cell_id) WHERE occurred_start >= {T_NOW} - INTERVAL 30 DAY) WHERE rank <= 50"))
@@ -283,6 +288,30 @@ def _(spark, sf):
     return R.needs_attention(R.area_attention(*area_inputs(spark, sf), NOW))
 
 
+VIEW = [*FACTS, *[c for c in FEED if c not in FACTS], KIDS[-1],
+        "lab AS (SELECT 'admin:' || admin_id AS area, name AS label, level FROM units UNION ALL SELECT DISTINCT 'aoi:' || (u % 10), 'area ' || (u % 10), NULL FROM cu)",
+        f"rec AS (SELECT area, string_agg(event_id, ',' ORDER BY rank) AS recent FROM (SELECT area, event_id, row_number() OVER (PARTITION BY area ORDER BY occurred_end DESC, event_id) AS rank FROM acells JOIN evt USING (cell_id) WHERE occurred_start >= {T_NOW} - INTERVAL 30 DAY) WHERE rank <= 50 GROUP BY 1)",
+        "sga AS (SELECT area, string_agg(event_id, ',' ORDER BY rank) AS significant FROM inarea GROUP BY 1)",
+        "kid AS (SELECT 'admin:' || parent_id AS area, string_agg(admin_id, ',' ORDER BY CASE status WHEN 'escalating' THEN 0 WHEN 'quieting' THEN 2 ELSE 1 END, recent DESC, n_events DESC, area) AS children FROM kids GROUP BY 1)",
+        "ter AS (SELECT area, count(*) AS n_cells, round(sum(coalesce(builtup_pct, 0)) / count(*), 4) AS builtup_pct FROM acells JOIN ctx USING (cell_id) GROUP BY area)",
+        f"rd AS (SELECT area, {READ_SQL} AS summary FROM facts)"]
+
+
+@query("area_view", with_("units", *VIEW, """SELECT lab.area, label, coalesce(level, 0) AS level, coalesce(att.status, 'steady') AS status, coalesce(att.n_events, 0) AS n_events, coalesce(n_cells, 0) AS n_cells, ter.builtup_pct, summary, coalesce(recent, '') AS recent,
+ coalesce(significant, '') AS significant, coalesce(children, '') AS children FROM lab LEFT JOIN att USING (area) LEFT JOIN ter USING (area) LEFT JOIN rd USING (area)
+ LEFT JOIN (SELECT area, recent FROM rec) r USING (area) LEFT JOIN sga USING (area) LEFT JOIN kid USING (area)""".replace("coalesce(recent, '')", "coalesce(r.recent, '')")))
+def _(spark, sf):
+    cells, ev, an = area_inputs(spark, sf)
+    fam = X.stored_observations(spark, sf).select("cell_id", F.col("source_family_id").alias("family")).distinct()
+    units = cut(Y.units(spark, sf))
+    mine = Y.aoi_cells(spark, sf).select("aoi_id").distinct().withColumn("name", F.concat(F.lit("area "), "aoi_id"))
+    feed = A.top_significance(A.significance(ev, NOW)).select("event_id", "cell_id", "score", "rationale")
+    v = R.area_view(R.area_labels(units, mine), cells, units, ev, an, fam, Y.context(spark, sf), feed, NOW)
+    ids = lambda c, of: F.array_join(F.transform(c, lambda x: x[of]), ",").alias(c)
+    return v.select("area", "label", F.coalesce("level", F.lit(0)).alias("level"), "attention.status", "attention.n_events", F.coalesce("terrain.n_cells", F.lit(0)).alias("n_cells"), "terrain.builtup_pct", F.col("read.summary").alias("summary"),
+                    ids("recent", "event_id"), ids("significant", "event_id"), ids("children", "admin_id"))
+
+
 # ------------------------------------------------------------------ serving
 @query("list_events", with_("events", "SELECT event_id, occurred_end FROM evt WHERE confidence_band = 'Rumored' AND flags LIKE '%verification-needed%' AND occurred_end >= TIMESTAMP '2024-01-05' AND occurred_start <= TIMESTAMP '2024-01-25' ORDER BY occurred_end DESC, event_id LIMIT 200 OFFSET 100"))
 def _(spark, sf):

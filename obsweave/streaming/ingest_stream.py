@@ -14,30 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from obsweave.operators import ingest as I
-from obsweave.session import cut
 from obsweave.sources import sinks
 
 RAW_SCHEMA = ("seq long, theater_id string, source_id string, modality string, obs_type string, occurred_start timestamp, occurred_end timestamp, "
               "lon double, lat double, geom_precision_m double, place_id long, place_name string, self_conf double, meta string, text string")
 
-LOG_KEYS = "content_hash string, batch_id long"
-
-
 def raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
 
 
 def ingest_batch(grid: DataFrame, log_path: str, ledger_path: str, alias: DataFrame | None = None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        log = sinks.read_table(spark, log_path, LOG_KEYS, declared=True)
-        own = F.col("batch_id").eqNullSafe(F.lit(batch_id))
-        obs, rejected = I.normalize(batch, grid, "seq", alias, log.where(~own).select("content_hash"))
-        obs, rejected = cut(obs), cut(rejected)
-        missing = cut(obs.join(log.where(own).select("content_hash"), "content_hash", "left_anti"))
-        # the ledger names its batch, so a batch that is run again after a failure replaces its own rows
-        rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(ledger_path)
-        missing.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("start_date", F.to_date("occurred_start")).write.mode("append").partitionBy("theater_id", "start_date").parquet(log_path)
+        log = sinks.logged_hashes(batch, log_path).where(~F.col("batch_id").eqNullSafe(F.lit(batch_id))).select("content_hash")
+        obs, rejected = I.normalize(batch, grid, "seq", alias, log)
+        sinks.commit_batch(obs, rejected, log_path, ledger_path, batch_id)
     return run
 
 
