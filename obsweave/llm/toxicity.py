@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import cut, fields, learnt, small_batches
@@ -30,10 +30,12 @@ STEMS = (4, 5, 6)
 #: Lexicons go by words of up to so many bytes and by the stems of longer ones.
 VOTE_STEM = 5
 INDUCED = 24
-#: Texts of the sample that a dimension of the classifier must occur in.
-LEAST_SEEN = 4
-#: Standard deviations between the mean label of its texts and that of all.
-LEAST_DEVIATIONS = 5.0
+#: Stems that each toxic text of the sample puts forward for the induced lexicons.
+NOMINATED = 3
+#: Share of toxic texts that a stem must have with 95 % to be put forward.
+LEAST_SURE = 0.5
+#: Standard deviations between the mean label of a dimension's texts and that of all, for it to enter the classifier.
+LEAST_DEVIATIONS = 4.0
 #: Dimensions of the classifier, those farthest from chance.
 MOST_DIMENSIONS = 20_000
 PATTERNS = ("shouting", "exclaiming", "short", "silent")
@@ -68,7 +70,7 @@ def _word_dims(words: list[str], bits: int) -> np.ndarray:
 
 def fires(texts: Texts, voter_of: np.ndarray, voters: int, bits: int) -> np.ndarray:
     """Which voters speak up on each text (texts x voters)."""
-    rows, dims = stem_features(texts, bits, (VOTE_STEM,), False)
+    rows, dims = stem_features(texts, bits, (VOTE_STEM,))
     hit = np.zeros((texts.n, voters), bool)
     for table in voter_of:  # seed lexicons and induced ones may share a word
         v = table[dims].astype(np.int64)
@@ -91,7 +93,7 @@ def _stem_labels(bits: int):
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 y = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-                rows, dims = stem_features(texts, bits, (VOTE_STEM,), False)
+                rows, dims = stem_features(texts, bits, (VOTE_STEM,))
                 for k in (0, 1):
                     total[k].append(dims[y[rows] == k])
                     n[k] += int((y == k).sum())
@@ -103,6 +105,23 @@ def _stem_labels(bits: int):
     return run
 
 
+def _stems_of(bits: int):
+    """Rows (mark, dim): the stems of each text."""
+    def run(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                rows, dims = stem_features(texts, bits, (VOTE_STEM,))
+                yield pa.RecordBatch.from_arrays([part.column("mark").take(pa.array(rows)), pa.array(dims)], names=["mark", "dim"])
+    return run
+
+
+def surely_toxic() -> Column:
+    """Share of toxic texts among those with a stem (``pos`` and ``neg`` of them) that holds with 95 % (Wilson's bound): few texts say little."""
+    n, z = F.col("pos") + F.col("neg"), 1.64
+    p = F.col("pos") / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def _ballots(bits: int, voter_of, voters: int):
     """Per text its votes as the bits of one number."""
     def run(batches):
@@ -244,7 +263,7 @@ def fit_linear(sample: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     p = float(np.clip(whole["p"], 1e-3, 1 - 1e-3))
     sums = sample.mapInArrow(_label_sums(), "dim bigint, n bigint, y double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     far = F.abs(F.col("y") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    best = sums.where((F.col("n") >= LEAST_SEEN) & (far >= LEAST_DEVIATIONS)).orderBy(F.desc(far), "dim").limit(MOST_DIMENSIONS).select("dim").collect()
+    best = sums.where((F.col("n") > 1) & (far >= LEAST_DEVIATIONS)).orderBy(F.desc(far), "dim").limit(MOST_DIMENSIONS).select("dim").collect()
     dims = np.sort(np.array([r["dim"] for r in best], np.int32))
     rows = sample.mapInArrow(_only(dims), "mark bigint, y double, x binary").toPandas().sort_values("mark")
     w, b = logistic([np.frombuffer(v, np.int32) for v in rows["x"]], rows["y"].to_numpy(), len(dims))
@@ -253,17 +272,18 @@ def fit_linear(sample: DataFrame, bits: int) -> tuple[np.ndarray, float]:
 
 
 def train(observations: DataFrame, annotations: DataFrame, obs_id: str = "obs_id", text: str = "text", toxic: str = "toxic", folds: int = 5, out: int = 0,
-          bits: int = 22, fit_rows: int = 20000, least: int = 8) -> dict:
+          bits: int = 22, fit_rows: int = 20000) -> dict:
     """Learn from annotated texts whose crc32(obs_id) modulo ``folds`` is not ``out``.
 
-    Stems come from about ``fit_rows`` annotated texts and the classifier from about as many texts of
+    Where an id has several annotations, one toxic one makes it toxic; rows of one id and several texts all have
+    its label. Stems come from about ``fit_rows`` annotated texts and the classifier from about as many texts of
     the same folds, both chosen by hash; the label model takes the ballots of all texts.
     """
     spark = observations.sparkSession
     small_batches(spark)
     rows = fields(observations, id=obs_id, text=text)
     ours = rows.where("id is not null").where(learnt("id", folds, out))
-    marks = fields(annotations, id=obs_id, toxic=toxic).where("id is not null and toxic in (0, 1)").where(learnt("id", folds, out)).dropDuplicates(["id"])
+    marks = fields(annotations, id=obs_id, toxic=toxic).where("id is not null and toxic in (0, 1)").where(learnt("id", folds, out)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     dice = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = marks.where(dice(1) < fit_rows / max(marks.count(), 1)).select("id", F.col("toxic").cast("int").alias("toxic"))
     # about fit_rows rows of two numbers, whatever the tables hold
@@ -272,15 +292,19 @@ def train(observations: DataFrame, annotations: DataFrame, obs_id: str = "obs_id
     both = seen.where("dim < 0").first()
     pos, neg = (float(both["pos"]), float(both["neg"])) if both else (0.0, 0.0)
     prior = float(np.clip((pos + 1) / (pos + neg + 2), 0.01, 0.99))
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    best = (seen.where((F.col("dim") >= 0) & (F.col("pos") >= least)).withColumn("odds", odds).where("odds > 4")
-            .orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "dim").limit(40 * INDUCED).select("dim", "pos", "neg").collect())
+    # every toxic text puts its best stems forward, so a language with few annotated texts has its own
+    weighed = seen.where("dim >= 0 and pos > 0").withColumn("sure", surely_toxic()).where(F.col("sure") > LEAST_SURE)
+    own = rows.join(F.broadcast(some.where("toxic = 1")), "id").select("text", F.xxhash64("id", "text").alias("mark")).mapInArrow(_stems_of(bits), "mark bigint, dim bigint")
+    turn = Window.partitionBy("mark").orderBy(F.desc("sure"), "dim")
+    picked = own.join(weighed, "dim").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= NOMINATED)
+    # at most NOMINATED rows for each toxic text of the sample
+    best = picked.select("dim", "pos", "neg", "sure").distinct().orderBy(F.desc("sure"), "dim").collect()
 
     seeds = {int(d): k for k, words in enumerate(LEXICONS.values()) for d in _word_dims(words, bits)}
     voters = len(LEXICONS) + INDUCED + len(PATTERNS)
     voter_of, start = np.full((2, 1 << bits), -1, np.int8), np.zeros((2, voters))
     counted = [(seeds[r["dim"]], 0, r) for r in seen.where(F.col("dim").isin(list(seeds))).collect()]
-    counted += [(len(LEXICONS) + k % INDUCED, 1, r) for k, r in enumerate(best)]
+    counted += [(len(LEXICONS) + k * INDUCED // len(best), 1, r) for k, r in enumerate(best)]
     for dim, k in seeds.items():
         voter_of[0, dim] = k
     for k, table, r in counted:

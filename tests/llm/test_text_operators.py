@@ -271,6 +271,26 @@ def test_toxicity(spark):
     assert none.count() == 0
 
 
+def test_toxic_texts_are_found_in_every_language(spark):
+    """Held-out recall and false alarms by language; some languages have about fifty annotated toxic texts."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("doc_id", "obs_id")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "obs_id")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out")
+    per = got.join(labels, "obs_id").join(docs.select("obs_id", F.col("lang").alias("l")), "obs_id").groupBy("l").agg(
+        F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("found"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("alarms")).collect()
+    assert len(per) == 4 and all(r.found >= 0.85 and r.alarms <= 0.05 for r in per), per
+
+
+def test_annotations_that_clash_and_repeat(spark):
+    rows = [(i, ("you idiot moron " if i % 3 == 0 else "a calm word ") + f"w{i % 7}") for i in range(120)] * 2
+    marks = [(i, int(i % 3 == 0)) for i in range(120)] + [(i, 0) for i in range(0, 120, 3)] + [(None, 1), (5, None)]
+    df = obs(spark, [*rows, (None, "you idiot"), (900, None), (901, "")]).withColumn("votes", F.lit(1)).withColumn("toxic", F.lit("x"))
+    got = toxicity.score(df, toxicity.train(df, spark.createDataFrame(marks, "obs_id bigint, toxic int"))).collect()
+    assert len(got) == 243 and all(r.predicted == int(r.obs_id % 3 == 0) for r in got if r.obs_id is not None and r.obs_id < 120)
+    assert len({r.score for r in got if r.obs_id == 3}) == 1
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."
     rows = [(1, "Intro.\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, ""), (5, "nothing here"),
