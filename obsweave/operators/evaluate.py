@@ -152,13 +152,16 @@ def recall_by(truth_rows: DataFrame, matched: DataFrame, by: str) -> DataFrame:
 
 
 def parameter_sweep(clusters: DataFrame, truth: DataFrame, thresholds: list[float], min_px: list[int]) -> DataFrame:
-    """Score of every (threshold, min size) setting in one job. ``clusters`` is (threshold, cell_id, n_pixels)."""
+    """Score of every (threshold, min size) setting in one job; a setting without a detection has zeros. ``clusters`` is (threshold, cell_id, n_pixels)."""
     c = clusters.where(F.col("threshold").isin(thresholds)).groupBy("threshold", "cell_id").agg(F.max("n_pixels").alias("px"))
     c = c.select("threshold", "cell_id", F.explode(F.filter(F.lit([int(m) for m in min_px]), lambda m: m <= F.col("px"))).alias("min_px"))
     hit = truth.select("cell_id").distinct().withColumn("hit", F.lit(1))
-    d = c.join(hit, "cell_id", "left").groupBy("threshold", "min_px").agg(F.count(F.lit(1)).alias("n_detected"), F.count("hit").alias("true_positives"))
+    found = c.join(hit, "cell_id", "left").groupBy("threshold", "min_px").agg(F.count(F.lit(1)).alias("n_detected"), F.count("hit").alias("true_positives"))
+    settings = clusters.sparkSession.createDataFrame([(float(t), int(m)) for t in thresholds for m in min_px], "threshold double, min_px int")
+    d = settings.join(found, ["threshold", "min_px"], "left").na.fill(0, ["n_detected", "true_positives"])
     n = truth.select(F.countDistinct("cell_id").alias("n")).scalar()
-    return d.withColumn("precision", F.round(F.col("true_positives") / F.col("n_detected"), 4)).withColumn("recall", F.round(F.when(n > 0, F.col("true_positives") / F.nullif(n, F.lit(0))).otherwise(0.0), 4))
+    share = lambda of: F.round(F.when(of > 0, F.col("true_positives") / F.nullif(of, F.lit(0))).otherwise(0.0), 4)
+    return d.withColumn("precision", share(F.col("n_detected"))).withColumn("recall", share(n))
 
 
 # ------------------------------------------------------------------ thresholds and fixtures
@@ -201,6 +204,3 @@ def incident_labels_to_spec(labels: DataFrame) -> DataFrame:
     """Latest label per incident."""
     return labels.groupBy("incident_id").agg(F.max_by(F.struct("band", "flags"), F.struct("created_at", "label_id")).alias("v")).select("incident_id", "v.*")
 
-
-def empty_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "incident_a string, incident_b string")

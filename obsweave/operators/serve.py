@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave import dims
@@ -98,10 +98,36 @@ def event_assessments(events: DataFrame, assessed: DataFrame, kind: str, limit:
     return assessed.where(F.col("kind") == kind).join(events.select(*cols), "event_id").orderBy(F.desc("score"), "event_id").limit(limit)
 
 
-def insights(assessed: DataFrame, nearest: DataFrame, limit: int = 25) -> DataFrame:
-    """Best rows of every kind with the nearest place; the cell is the only position."""
-    top = A.top_n_per_kind(assessed.withColumn("event_id", F.coalesce("event_id", "cell_id")), limit)
-    return top.join(nearest.select("cell_id", F.col("label").alias("place_label")), "cell_id", "left")
+def top_anomalies(assessed: DataFrame, limit: int = 25) -> DataFrame:
+    """The strongest anomalies of each theater (of all where none is named), with their rank."""
+    w = Window.partitionBy(*(["theater_id"] if "theater_id" in assessed.columns else [F.lit(1)])).orderBy(F.desc("score"), "cell_id", "subkind")
+    return assessed.where("kind = 'anomaly'").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+INSIGHT_FEEDS = ("significance", "anomaly", "exposure", "gaps")
+
+
+def insights(assessed: DataFrame, nearest: DataFrame, limit: int = 25) -> dict[str, DataFrame]:
+    """The four feeds, each with its best rows, their rank and the nearest place; the cell is the only position."""
+    top = A.top_n_per_kind(assessed.withColumn("event_id", F.coalesce("event_id", F.concat_ws(" ", "cell_id", "subkind"))), limit)
+    d = top.join(nearest.select("cell_id", F.col("label").alias("place_label")), "cell_id", "left")
+    return {kind: d.where(F.col("kind") == kind) for kind in INSIGHT_FEEDS}
+
+
+def list_rejections(ledger: DataFrame, reason: str | None = None, source: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of ledger rows with their payload, by source, reason and payload."""
+    d = ledger
+    if reason is not None:
+        d = d.where(F.col("reason") == reason)
+    if source is not None:
+        d = d.where(F.col("source_id") == source)
+    return d.orderBy("source_id", "reason", "raw_payload").offset(offset).limit(limit)
+
+
+def list_layer(features: DataFrame, layer: str, bbox: tuple[float, float, float, float], limit: int | None = None) -> DataFrame:
+    """A map layer: features of one kind in a box as (feature_id, subkind, name, cell_id), by id; no geometry finer than a cell."""
+    d = list_features(features, layer, bbox).select("feature_id", "subkind", "name", "cell_id").orderBy("feature_id")
+    return d if limit is None else d.limit(limit)
 
 
 def display_band(band: Column, flags: Column) -> Column:

@@ -367,3 +367,32 @@ def _(spark, sf):
 @query("ranked_feed", with_("events", "SELECT event_id FROM evt ORDER BY CASE WHEN flags LIKE '%single-source%' OR flags LIKE '%echo-only%' OR flags LIKE '%verification%' THEN 3 ELSE list_position(['High', 'Medium', 'Low', 'Rumored'], confidence_band) - 1 END, occurred_start DESC, event_id LIMIT 100"))
 def _(spark, sf):
     return V.ranked_feed(events(spark, sf), 100).select("event_id")
+
+
+@query("top_anomalies", with_("events", *ANOM, "SELECT cell_id, subkind, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cell_id, subkind) AS rank FROM anom) WHERE rank <= 25"))
+def _(spark, sf):
+    return V.top_anomalies(A.cell_anomalies(events(spark, sf), NOW)).select("cell_id", "subkind", "score", "rank")
+
+
+@query("list_rejections", with_("norm", "SELECT event_id, source_id, reason FROM ranked WHERE reason = 'exact_dup' AND source_id = 'gdelt_v2'"))
+def _(spark, sf):
+    _obs, ledger = X.normalized(spark, sf)
+    return V.list_rejections(ledger, "exact_dup", "gdelt_v2", limit=10**9).select("event_id", "source_id", "reason")
+
+
+@query("insights", with_("units", *ANOM, *SIG, *SETTLE, f"""SELECT kind, event_id, score, rank, CASE WHEN km <= 4 THEN name WHEN km <= 18 THEN 'near ' || name ELSE 'rural area near ' || name END AS place_label
+ FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, event_id) AS rank FROM (SELECT 'significance' AS kind, event_id, cell_id, score FROM sig WHERE score >= 0.08
+ UNION ALL SELECT 'anomaly', cell_id || ' ' || subkind, cell_id, score FROM anom
+ UNION ALL SELECT 'gaps', event_id, cell_id, round({SEV} * (0.3{D} + 0.7{D} * {REC}), 4) FROM evt WHERE n_independent_families < 2 AND {SEV} >= 0.75 AND {AGE} <= 120 AND round({SEV} * (0.3{D} + 0.7{D} * {REC}), 4) >= 0.2
+ UNION ALL SELECT 'exposure', event_id, cell_id, score FROM (SELECT event_id, cell_id, round({SEV} * greatest(1 - km / 15.0{D}, coalesce(builtup_pct, 1 - km / 15.0{D})), 4) AS score FROM evt JOIN nearest USING (cell_id) LEFT JOIN layers USING (cell_id) WHERE km <= 15) WHERE score >= 0.12))
+ LEFT JOIN nearest USING (cell_id) WHERE rank <= 25"""))
+def _(spark, sf):
+    """All four feeds of an assessment that looks at exposure too."""
+    from obsweave.functions.cells import with_centroid
+    near = cut(A.nearest_place(with_centroid(X.grid_of(spark, sf)), Y.settlements(spark, sf)))
+    feeds = V.insights(A.assess(events(spark, sf), NOW, near, Y.layers(spark, sf).select("cell_id", "builtup_pct")), near)
+    out = None
+    for kind in V.INSIGHT_FEEDS:
+        part = feeds[kind].select("kind", "event_id", "score", "rank", "place_label")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -66,12 +66,13 @@ def _(spark, sf):
     return E.band_correctness(m, t, ev, exp).drop("ok")
 
 
-DET = ["det AS (SELECT DISTINCT cell_id FROM obs WHERE modality = 'imagery' AND k % 3 = 0)", "tru AS (SELECT DISTINCT cell_id FROM obs WHERE source_id = 'unosat' AND k % 5 = 2 AND user_id % 2 = 0)"]
+# radar and optical detections against the damage points, all of them
+DET = ["det AS (SELECT DISTINCT cell_id FROM obs WHERE modality = 'imagery' AND source_id <> 'unosat')", "tru AS (SELECT DISTINCT cell_id FROM obs WHERE source_id = 'unosat')"]
 
 
 def detection_fixture(spark, sf):
     o = X.stored_observations(spark, sf)
-    return o.where("modality = 'imagery' and k % 3 = 0").select("cell_id").distinct(), o.where("source_id = 'unosat' and k % 5 = 2 and user_id % 2 = 0").select("cell_id").distinct()
+    return o.where("modality = 'imagery' and source_id <> 'unosat'").select("cell_id").distinct(), o.where("source_id = 'unosat'").select("cell_id").distinct()
 
 
 for _b in (0, 1500):
@@ -287,13 +288,17 @@ def _(spark, sf):
     return G.latest_control(e.select(F.col("user_id").cast("string").alias("cell_id"), F.col("ts").cast("timestamp").alias("as_of"), F.col("event_type").alias("side")))
 
 
-@query("parameter_sweep", """WITH c AS (SELECT event_type AS t, user_id AS cell, max(CAST(json_extract_string(props, '$.k') AS INT)) AS px FROM events WHERE event_type IN ('view', 'error') GROUP BY ALL),
- tr AS (SELECT DISTINCT user_id AS cell FROM events WHERE event_type = 'purchase' AND value > 100), p AS (SELECT t, cell, m FROM c, (VALUES (90), (97), (99)) x(m) WHERE m <= px)
- SELECT CASE t WHEN 'view' THEN 3.0 ELSE 4.0 END::DOUBLE AS threshold, m AS min_px, count(*) AS n_detected, count(tr.cell) AS true_positives, round(count(tr.cell) / count(*), 4) AS precision, round(count(tr.cell) / (SELECT count(*) FROM tr), 4) AS recall
- FROM p LEFT JOIN tr USING (cell) GROUP BY t, m""")
+# every event is a cluster, at the threshold of its type; nothing is as large as the last size
+STEPS = {"view": 3.0, "error": 4.0, "click": 5.0, "purchase": 6.0, "signup": 8.0}
+
+
+@query("parameter_sweep", f"""WITH c AS (SELECT CASE event_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in STEPS.items())} END::DOUBLE AS threshold, user_id AS cell, max(CAST(json_extract_string(props, '$.k') AS INT)) AS px FROM events GROUP BY ALL),
+ tr AS (SELECT DISTINCT user_id AS cell FROM events WHERE event_type = 'purchase' AND value > 100), st AS (SELECT t::DOUBLE AS threshold, m AS min_px FROM (VALUES {", ".join(f"({v})" for v in STEPS.values())}) a(t), (VALUES (90), (97), (99), (1000)) b(m))
+ SELECT threshold, min_px, count(c.cell) AS n_detected, count(tr.cell) AS true_positives, round(coalesce(count(tr.cell) / nullif(count(c.cell), 0), 0), 4) AS precision, round(count(tr.cell) / (SELECT count(*) FROM tr), 4) AS recall
+ FROM st LEFT JOIN c ON c.threshold = st.threshold AND min_px <= px LEFT JOIN tr ON tr.cell = c.cell GROUP BY ALL""".replace("SELECT threshold, min_px, count", "SELECT st.threshold, min_px, count"))
 def _(spark, sf):
     e = X.table(spark, sf, "events")
     cell = F.col("user_id").cast("string").alias("cell_id")
-    thr = F.when(F.col("event_type") == "view", 3.0).when(F.col("event_type") == "error", 4.0).otherwise(9.0).alias("threshold")
+    thr = F.element_at(F.create_map(*[F.lit(x) for pair in STEPS.items() for x in pair]), F.col("event_type")).alias("threshold")
     clusters = e.select(thr, cell, F.get_json_object("props", "$.k").cast("int").alias("n_pixels"))
-    return E.parameter_sweep(clusters, e.where("event_type = 'purchase' and value > 100").select(cell), [3.0, 4.0], [90, 97, 99])
+    return E.parameter_sweep(clusters, e.where("event_type = 'purchase' and value > 100").select(cell), list(STEPS.values()), [90, 97, 99, 1000])
