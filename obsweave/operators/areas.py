@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsweave.functions.model_calls import ask_rows
 from obsweave.operators import assess as A
 from obsweave.operators.grid import terrain_profile
 from obsweave.operators.polygons import cells_of_shapes
@@ -267,6 +270,13 @@ def synthesize_areas(facts: DataFrame, attention: DataFrame, cached: DataFrame |
     return fresh if cached is None else upsert_reads(cached, fresh)
 
 
+def generate_by_model(model: Callable[[list[dict]], list]) -> Callable[[DataFrame], DataFrame]:
+    """The hook of `synthesize_areas` for a model that gives one text per area row; an area whose call fails keeps its template."""
+    def generate(changed: DataFrame) -> DataFrame:
+        return ask_rows(changed, model, "area").select("area", F.col("answer").alias("summary"))
+    return generate
+
+
 def watch_list(attention: DataFrame, reads: DataFrame) -> DataFrame:
     """All areas with attention and read, ranked; an area without a read has a null summary."""
     return attention.join(reads.select("area", "summary", "generated_by"), "area", "left").orderBy(*A.attention_order())

@@ -13,6 +13,7 @@ from obsweave.functions import text as T
 from obsweave.functions.cells import is_valid_cell
 from obsweave.operators import score
 from obsweave.operators.block import block
+from obsweave.functions.model_calls import ask_rows
 from obsweave.operators.components import component_labels
 from obsweave.session import cut
 
@@ -57,6 +58,9 @@ def parse_verdicts(raw: DataFrame, payload: str = "verdict") -> tuple[DataFrame,
     return d.where(ok).select(*keep, "v.*"), d.where(~ok).select(*raw.columns)
 
 
+TIERS = ("gate", "adjudicator", "escalation")
+
+
 def route_tiers(pairs: DataFrame, gate: DataFrame, adjudicator: DataFrame, escalation: DataFrame) -> DataFrame:
     """Verdict of the cheapest tier that is sure enough; salient types always go on.
 
@@ -103,6 +107,18 @@ def adjudicate(gray: DataFrame, verdicts: DataFrame | None,
             .withColumn("needs_check", (F.col("source") == "degraded_keep_separate") | (F.col("confidence") < 0.5)))
 
 
+def decide_by_model(model: Callable[[list[dict]], list], batch: int = 32) -> Callable[[DataFrame], DataFrame]:
+    """The hook of `adjudicate` for a model that gives one verdict as JSON per pair.
+
+    Answers go through `parse_verdicts`; a pair whose call fails, or whose answer is malformed, has no
+    verdict and so stays apart and marked, while the others of its batch keep theirs.
+    """
+    def decide(missed: DataFrame) -> DataFrame:
+        good, _bad = parse_verdicts(ask_rows(missed, model, "pair_key", batch), "answer")
+        return good.select("pair_key", "same", "confidence")
+    return decide
+
+
 def flagged_obs(decisions: DataFrame) -> DataFrame:
     return (decisions.where("needs_check").select(F.explode(F.array("obs_a", "obs_b")).alias("obs_id")).distinct())
 
@@ -300,15 +316,22 @@ def digest_sha256(events: DataFrame) -> str:
 
 
 def run_counters(grouped: DataFrame, decisions: DataFrame) -> DataFrame:
-    d = decisions.agg(F.count_if(F.col("source") == "cache").alias("cache_hits"),
+    """One row: pairs seen, cache hits, model calls, pairs kept apart; with a ``tier`` also the verdicts of each tier."""
+    tiers = [F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in TIERS] if "tier" in decisions.columns else []
+    d = decisions.agg(*tiers, F.count_if(F.col("source") == "cache").alias("cache_hits"),
                       F.count_if(F.col("source") == "verdict").alias("model_calls"),
                       F.count_if(F.col("source") == "degraded_keep_separate").alias("degraded_keep_separate"))
     one = score.pair_totals(grouped).withColumn("_k", F.lit(1)).join(d.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return one.withColumn("cache_hit_rate", F.round(F.when(F.col("pairs_seen") > 0, F.col("cache_hits") / F.col("pairs_seen")).otherwise(0.0), 4))
 
 
-def fusion_summary(events: DataFrame) -> DataFrame:
-    return events.groupBy("confidence_band").agg(F.count(F.lit(1)).alias("n_events"), F.sum("n_sources").alias("n_obs"))
+def fusion_summary(events: DataFrame, rejections: DataFrame | None = None) -> DataFrame:
+    """(confidence_band, n_events, n_obs) per band, a line ``all`` and, with a ledger, the records ``dropped``."""
+    d = events.groupBy("confidence_band").agg(F.count(F.lit(1)).alias("n_events"), F.sum("n_sources").alias("n_obs"))
+    out = d.unionByName(d.agg(F.lit("all").alias("confidence_band"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs")))
+    if rejections is None:
+        return out
+    return out.unionByName(rejections.agg(F.lit("dropped").alias("confidence_band"), F.lit(0).cast("long").alias("n_events"), F.count(F.lit(1)).alias("n_obs")))
 
 
 def replay_check(first: DataFrame, second: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -41,7 +41,8 @@ def fetch_window(tiles: DataFrame, start: str, end: str, equals: dict | None = N
 def group_footprint(tiles: DataFrame) -> DataFrame:
     """Tiles with their footprint, before/after half and the stack's dates; stacks of one tile drop out.
 
-    Tiles whose shape differs from the first tile's are left out of the composite.
+    Tiles whose shape differs from the first tile of their half are left out of its composite, and a
+    stack whose halves differ in shape drops out.
     """
     fp = F.concat_ws(",", *[F.round(F.col(c), 6).cast("string") for c in ("w", "s", "e", "n")])
     d = tiles.withColumn("footprint", fp)
@@ -50,10 +51,12 @@ def group_footprint(tiles: DataFrame) -> DataFrame:
     d = d.withColumn("mid", F.greatest(F.lit(1), F.floor(F.col("k") / 2)))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = (d.withColumn("half", F.when(F.col("i") <= F.col("mid"), "before").otherwise("after"))
-         .withColumn("same_shape", (F.first("height").over(whole) == F.col("height")) & (F.first("width").over(whole) == F.col("width")))
+         .withColumn("shape", F.struct("height", "width")))
+    own = Window.partitionBy("footprint", "half").orderBy("acq_start", "tile_id")
+    d = (d.withColumn("of_half", F.first("shape").over(own)).withColumn("of_stack", F.first("shape").over(whole)).withColumn("of_last", F.last("of_half").over(whole))
          .withColumn("stack_start", F.last("acq_start").over(whole)).withColumn("stack_end", F.last("acq_end").over(whole))
          .withColumn("change_from", F.max(F.when(F.col("i") == F.col("mid"), F.col("acq_start"))).over(Window.partitionBy("footprint"))))
-    return d.where("same_shape").drop("same_shape", "mid", "k", "i")
+    return d.where("shape = of_half and of_stack = of_last").drop("shape", "of_half", "of_stack", "of_last", "mid", "k", "i")
 
 
 def composite(pixels: DataFrame, stacks: DataFrame) -> DataFrame:
@@ -146,22 +149,29 @@ def optical_index(pixels: DataFrame, tiles: DataFrame, green: str = "B3", nir: s
     return out
 
 
-def exact_median(df: DataFrame, key: str, value: str, width: float = 0.5) -> DataFrame:
-    """(key, median): exact, without collecting a key's values.
+def exact_median(df: DataFrame, key: str, value: str, bins: int = 1024) -> DataFrame:
+    """(key, median): exact, by refining histograms, without ordering a key's values.
 
-    Counts per value bin (combined in the map tasks) tell which bin holds the middle; only distinct
-    values of those bins are then ordered.
+    Each round counts the values of every key in ``bins`` equal parts of the range that still holds its
+    middle (combined in the map tasks), with the least and greatest value of each part; the part that
+    holds the middle is the next range. It ends when that part holds one value. Nulls do not count.
     """
-    b = df.withColumn("bin", F.floor(F.col(value) / width))
-    bins = b.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(key).orderBy("bin")
-    cum = bins.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(key)))
-    cum = cum.withColumn("before", F.col("upto") - F.col("n")).withColumn("lo", F.floor((F.col("total") + 1) / 2)).withColumn("hi", F.floor((F.col("total") + 2) / 2))
-    mid = cum.where("(lo > before and lo <= upto) or (hi > before and hi <= upto)").select(key, "bin", "before", "lo", "hi")
-    vals = b.groupBy(key, "bin", value).agg(F.count(F.lit(1)).alias("n")).join(mid, [key, "bin"])
-    v = vals.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(key, "bin").orderBy(value)))
-    hit = lambda k: F.min(F.when(F.col("upto") >= F.col(k), F.col(value)))
-    return v.groupBy(key).agg(((hit("lo") + hit("hi")) / 2).alias("median"))
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
+    whole = d.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+    held = cut(whole.select("_key", F.posexplode(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))).alias("side", "rank"), "a", "b"))
+    found = held.where("a = b")
+    order = Window.partitionBy("_key", "side").orderBy("bin")   # at most ``bins`` rows
+    while True:
+        held = held.where("a < b")
+        if held.isEmpty():
+            break
+        part = F.least(F.floor((F.col("_v") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1))
+        counts = (d.join(held, "_key").where("_v between a and b").groupBy("_key", "side", "rank", part.alias("bin"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b")))
+        upto = counts.withColumn("upto", F.sum("n").over(order)).where("rank <= upto and rank > upto - n")
+        held = cut(upto.select("_key", "side", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "a", "b"))
+        found = found.unionByName(held.where("a = b"))
+    return found.groupBy("_key").agg(F.avg("a").alias("median")).withColumnRenamed("_key", key)
 
 
 def vessel_cfar(pixels: DataFrame, tiles: DataFrame, band: str = "VV") -> DataFrame:

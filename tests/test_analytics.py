@@ -1,4 +1,6 @@
 """Pixel tables, boundary, areas, grid and evaluation on small inputs."""
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,32 @@ def test_areas_without_events_stay(spark):
     full = R.area_attention(cells, events, None, now)
     assert [(r.area, r.summary) for r in R.watch_list(full, reads).collect()] == [("admin:a", "text"), ("admin:b", None)]
     assert R.needs_attention(full).first() == (2, 1)
+
+
+def test_median_by_refined_histograms(spark):
+    rng = np.random.default_rng(5)
+    rows = [("even", 1.0), ("even", 4.0), ("one", 7.0), ("same", 2.0), ("same", 2.0), ("null", None)] + [("big", float(x)) for x in np.round(rng.normal(0, 50, 3001), 3)]
+    rows += [("wide", float(x)) for x in [*(10.0 ** rng.uniform(-9, 9, 500)), -1e12, float("nan")]]
+    got = {r.k: r.median for r in RS.exact_median(spark.createDataFrame(rows, "k string, value double"), "k", "value", bins=16).collect()}
+    for k in {k for k, _ in rows} - {"null"}:
+        assert got.pop(k) == np.median([v for n, v in rows if n == k and v == v])
+    assert got == {}
+
+
+def test_shapes_within_halves(spark):
+    rows = [(f"{fp}{i}", fp, i, h) for fp, hs in (("a", [4, 4, 4, 5]), ("b", [4, 5, 5, 5]), ("c", [4, 4, 6, 6])) for i, h in enumerate(hs)]
+    fps = {"a": 1.0, "b": 2.0, "c": 3.0}
+    tiles = spark.createDataFrame([(t, datetime(2024, 1, 1 + i), datetime(2024, 1, 1 + i, 1), h, 4, fps[fp], 0.0, fps[fp] + 1, 1.0) for t, fp, i, h in rows],
+                                  "tile_id string, acq_start timestamp, acq_end timestamp, height int, width int, w double, s double, e double, n double")
+    # a: the last tile of the second half differs from its first; b: the halves' first tiles differ; c too
+    assert sorted(r.tile_id for r in RS.group_footprint(tiles).collect()) == ["a0", "a1", "a2"]
+
+
+def test_a_failing_area_keeps_its_template(spark):
+    def model(rows):
+        if any(r["area"] == "x" for r in rows):
+            raise RuntimeError("no answer")
+        return [f"text of {r['area']}" for r in rows]
+
+    changed = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "area string, n int").coalesce(1)
+    assert {r.area: r.summary for r in R.generate_by_model(model)(changed).collect()} == {"x": None, "y": "text of y", "z": "text of z"}

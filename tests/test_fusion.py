@@ -179,3 +179,21 @@ def test_components_of_paths_rings_and_hubs(spark, small):
     words = df.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).where("a < 1000")
     assert component_labels(words, small_edges=small).select("label").distinct().collect()[0].label == "0"
     assert component_labels(df.where("a = 5000"), small_edges=small).count() == 0
+
+
+def test_a_failing_pair_stays_apart_and_the_rest_is_kept(spark):
+    def model(rows):
+        if any(r["pair_key"] == "bad" for r in rows):
+            raise RuntimeError("no answer")
+        return ['{"same": true, "confidence": 0.9}' if r["pair_key"] != "odd" else '{"same": "maybe"}' for r in rows]
+
+    gray = spark.createDataFrame([("a", "b", "good"), ("c", "d", "bad"), ("e", "f", "odd"), ("g", "h", "fine")], "obs_a string, obs_b string, pair_key string").coalesce(1)
+    got = {r.pair_key: (r.same, r.source, r.needs_check) for r in FU.adjudicate(gray, None, FU.decide_by_model(model)).collect()}
+    apart = (False, "degraded_keep_separate", True)
+    assert got == {"good": (True, "verdict", False), "fine": (True, "verdict", False), "bad": apart, "odd": apart}
+
+
+def test_summary_has_totals_and_dropped_records(spark):
+    ev = spark.createDataFrame([("High", 3), ("High", 1), ("Low", 2)], "confidence_band string, n_sources int")
+    got = {r.confidence_band: (r.n_events, r.n_obs) for r in FU.fusion_summary(ev, spark.createDataFrame([("x",)], "reason string")).collect()}
+    assert got == {"High": (2, 4), "Low": (1, 2), "all": (3, 6), "dropped": (0, 1)}
