@@ -9,6 +9,7 @@ from obsweave import dims
 from obsweave.functions.cells import with_cell
 from obsweave.functions.timegeo import in_bbox, parse_acq_time, parse_date_multi
 from obsweave.operators.ingest import period_key
+from obsweave.sources.quoted_csv import read_quoted_csv
 
 # Fixed values of the feeds.
 VIOLENCE_LABEL = {1: "Armed Conflict (Government)", 2: "Armed Conflict (Non-State)", 3: "One-sided violence"}
@@ -40,7 +41,7 @@ def number(c: Column) -> Column:
 def read_conflict_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """CSV with header, or JSON whose rows may sit under ``Result``."""
     if fmt == "csv":
-        return _strings(spark.read.csv(path, header=True, multiLine=True, escape='"'), CONFLICT_COLUMNS)
+        return _strings(read_quoted_csv(spark, path), CONFLICT_COLUMNS)
     d = spark.read.json(path, multiLine=True, primitivesAsString=True)
     if "Result" in d.columns:
         d = d.select(F.explode("Result").alias("r")).select("r.*")
@@ -50,18 +51,17 @@ def read_conflict_events(spark: SparkSession, path: str, fmt: str = "csv") -> Da
 def combine_event_files(spark: SparkSession, main: str, monthly: str, country: str, since: str, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Main files, then monthly ones, in path order; the first row of an id wins.
 
-    The order of rows is file rank, then position in the file as read.
+    The order of rows is file rank, then path, then position in the file. Large files are read by many tasks (`quoted_csv`).
     """
     def read(path: str, rank: int) -> DataFrame:
-        d = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        keep = [c for c in CONFLICT_COLUMNS if c in d.columns]
-        return _strings(d.select(*keep, "_metadata.file_path"), [*CONFLICT_COLUMNS, "file_path"]).withColumn("rank", F.lit(rank)).withColumn(
-            "line", F.monotonically_increasing_id())
+        d = read_quoted_csv(spark, path, positions=True)
+        columns = [(F.col(c) if c in d.columns else F.lit(None).cast("string")).alias(c) for c in CONFLICT_COLUMNS]
+        return d.select(*columns, "file_path", "start", "line").withColumn("rank", F.lit(rank))
 
     d = read(main, 0).unionByName(read(monthly, 1))
     day = F.substring("date_start", 1, 10)
     d = d.where((F.col("country") == country) & (F.length(day) == 10) & (day >= since) & in_bbox(number(F.col("longitude")), number(F.col("latitude")), bbox))
-    first = d.groupBy("id").agg(F.min_by(F.struct(*CONFLICT_COLUMNS), F.struct("rank", "file_path", "line")).alias("r"))
+    first = d.groupBy("id").agg(F.min_by(F.struct(*CONFLICT_COLUMNS), F.struct("rank", "file_path", "start", "line")).alias("r"))
     return first.select("r.*").orderBy("date_start", "id")
 
 

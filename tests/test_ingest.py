@@ -1,14 +1,17 @@
 """Feeds, normalisation, sinks and the streaming form."""
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from obsweave import dims
+from obsweave.functions.cells import with_cell
 from obsweave.functions.timegeo import parse_acq_time, parse_date_multi
 from obsweave.operators import ingest as I
 from obsweave.sources import feeds, sinks
+from obsweave.sources.quoted_csv import read_quoted_csv
 from obsweave.streaming import ingest_stream as ST
 
 UTC = timezone.utc
@@ -187,7 +190,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     log, led = f"{tmp_path}/log", f"{tmp_path}/led"
     run = ST.ingest_batch(grid, log, led)
     state = lambda: (sorted(r.content_hash for r in spark.read.parquet(log).collect()),
-                     sorted((r.batch_id, r.seq, r.reason) for r in spark.read.parquet(led).collect()))
+                     sorted((r.batch_id, json.loads(r.raw_payload)["seq"], r.reason) for r in spark.read.parquet(led).collect()))
     batch = spark.createDataFrame(raw_rows(), RAW)
     # the log holds a row of another writer, without a batch
     obs, _rej = I.normalize(batch.where("seq = 6"), grid, "seq")
@@ -218,3 +221,83 @@ def test_stream_keeps_place_names(spark, tmp_path):
 def test_dims_tables(spark):
     d = dims.load_reference_dims(spark)
     assert d["types"].count() == 28 and d["type_compat"].count() == 784 and d["sources"].count() == 11
+
+
+def test_quoted_csv_over_many_blocks(spark, tmp_path):
+    """Every cut of the files gives the records that a whole reading gives."""
+    import csv
+    import random
+
+    rnd = random.Random(2)
+    value = lambda: "".join(rnd.choice(["a", "b", ",", '"', "\n", "é", " "]) for _ in range(rnd.choice([0, 3, 30, 400])))
+    want = []
+    for name, columns in (("one", ["id", "text", "best"]), ("two", ["best", "id", "text"])):
+        with open(f"{tmp_path}/{name}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_ALL)
+            w.writerow(columns)
+            for i in range(60):
+                row = {"id": f"{name}{i}", "text": value(), "best": str(i)}
+                w.writerow([row[c] for c in columns])
+                want.append((row["id"], row["text"] or None, row["best"]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2000", "97"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_quoted_csv(spark, str(tmp_path), positions=True)
+            assert sorted((r.id, r.text or None, r.best) for r in got.collect()) == sorted(want), size
+            order = [r.id for r in got.where("file_path like '%one.csv'").orderBy("start", "line").collect()]
+            assert order == [f"one{i}" for i in range(60)], size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_append_opens_no_other_dates(spark, tmp_path):
+    def rows(day, n):
+        d = spark.createDataFrame([(i, "t", "gdelt_v2", "37UDP0632", datetime(2024, 3, day, 5), datetime(2024, 3, day, 6), f"report {i}") for i in range(n)],
+                                  "seq long, theater_id string, source_id string, cell_id string, occurred_start timestamp, occurred_end timestamp, text string")
+        return I.with_identity(d)
+
+    log, ledger = f"{tmp_path}/log", f"{tmp_path}/ledger"
+    assert sinks.append_observations(rows(1, 5), log, ledger, "seq") == {"ingested": 5, "exact_dup": 0}
+    for f in Path(log).rglob("*.parquet"):
+        f.write_bytes(b"not a table")
+    # the files of another date cannot be read, and nobody tries
+    assert sinks.append_observations(rows(2, 4), log, ledger, "seq") == {"ingested": 4, "exact_dup": 0}
+    assert sinks.append_observations(rows(2, 6), log, ledger, "seq") == {"ingested": 2, "exact_dup": 4}
+    assert spark.read.schema(sinks.LEDGER).parquet(ledger).groupBy("reason").count().collect()[0][:] == ("exact_dup", 4)
+
+
+def test_detections_are_made_once_and_a_broken_run_is_done_again(spark, tmp_path, monkeypatch):
+    from obsweave.operators import detect
+
+    grid = with_cell(spark.createDataFrame([(37.749, 48.1394)], "lon double, lat double"), "lon", "lat").select("cell_id")
+    seen = []
+
+    def run(stacks):
+        seen.append(sorted(r.cache_key for r in stacks.collect()))
+        d = stacks.where("cache_key <> 'empty'")
+        day = F.to_timestamp(F.lit("2024-03-01"))
+        return d.select("cache_key", F.lit("fire").alias("obs_type"), F.lit("x").alias("label"), F.concat(F.lit("seen at "), "cache_key").alias("text"), F.lit(0.9).alias("self_conf"), F.lit(3).alias("n_pixels"),
+                        F.lit(37.749).alias("lon"), F.when(F.col("cache_key") == "far", 10.0).otherwise(48.1394).alias("lat"), F.lit(20).alias("scale_m"), day.alias("stack_start"), day.alias("stack_end"))
+
+    stacks = spark.createDataFrame([("a",), ("b",), ("empty",), ("far",), (None,)], "cache_key string")
+    once = lambda s: detect.detect_and_persist(s, run, grid, str(tmp_path), "sentinel1_sar_logratio", "t")
+    state = lambda: tuple(spark.read.parquet(f"{tmp_path}/{n}").count() for n in ("log", "ledger", "cache"))
+
+    def dies(*a):
+        sinks_commit(*a)
+        raise RuntimeError("lost")
+
+    # log, ledger and cache are written, and then the run dies before its keys are
+    sinks_commit = sinks.commit_batch
+    monkeypatch.setattr(sinks, "commit_batch", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        once(stacks)
+    assert state() == (2, 1, 2)
+    monkeypatch.setattr(sinks, "commit_batch", sinks_commit)
+    assert once(stacks) == {"stacks": 4, "detections": 3, "placed": 2, "unplaced": 1}
+    assert state() == (2, 1, 2)
+    n = len(seen)
+    assert once(stacks)["stacks"] == 0 and state() == (2, 1, 2) and len(seen) == n
+    assert once(stacks.union(spark.createDataFrame([("new",)], "cache_key string")))["stacks"] == 1 and seen[-1] == ["new"] and state() == (3, 1, 3)
+    assert {r.cache_key: r.n_detections for r in spark.read.parquet(f"{tmp_path}/keys").collect()} == {"a": 1, "b": 1, "far": 1, "empty": 0, "new": 1}
