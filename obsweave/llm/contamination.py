@@ -8,6 +8,7 @@ comes from Myers' bit-parallel recurrence, one big integer per column.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import re
@@ -116,11 +117,19 @@ class Index:
                     regions[-1][1:] = [b, s]
                 else:
                     regions.append([a, b, s])
+            hits = []
             for a, b, _ in regions:
                 d, end = nearest(pattern, text[a:b])
                 if d <= budget:
                     back = nearest(pattern[::-1], text[a:a + end][::-1])[1]
-                    out.append((item, a + end - back, a + end, d))
+                    hits.append((d, a + end - back, a + end))
+            # hits of one item that overlap are one place, that of the least distance (of equal ones the first)
+            taken: list[tuple[int, int]] = []
+            for d, a, b in sorted(hits):
+                k = bisect.bisect(taken, (a, b))
+                if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b))
+                    out.append((item, a, b, d))
         return out
 
 
@@ -182,6 +191,7 @@ def contaminated(observations: DataFrame, incidents: DataFrame, obs_id: str = "o
     normalised texts, at most ``rate`` of the incident's characters). Letters' case, punctuation and
     white space do not count.
 
+    Overlapping hits of one incident are one place: the nearest, of equally near ones the first.
     Null and empty texts on either side match nothing. Incidents too short for an edit must come as
     whole words. A repeated row gives its rows again; a repeated incident gives a row each. Null ids
     are carried along. Other columns are ignored. An empty table gives an empty result. Each

@@ -47,14 +47,22 @@ def _keys(host: Column, path: Column, tried: dict[str, list[int]]) -> Column:
     return F.when(host != "", F.concat(F.array(pair("host", host)), domains, paths))
 
 
+def entry_value(scope: Column, value: Column) -> Column:
+    """An entry's value as the addresses it is compared with: host in lower case without dots at its ends, path parts without empty ones."""
+    host = F.regexp_replace(F.translate(F.regexp_extract(value, r"^([^/]*)", 1), CAPITALS, SMALL), r"^\.+|\.+$", "")
+    path = _parts(F.regexp_extract(value, r"^[^/]*(/.*)$", 1))
+    return F.when(scope == "path", F.array_join(F.concat(F.array(host), path), "/")).otherwise(host)
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """Dated changes of an entry as intervals [valid_from, valid_to) with one action each; ``remove`` ends one.
 
+    Values that mean the same (``EX.com`` and ``.ex.com``, ``ex.com/a`` and ``ex.com//a/``) are one entry.
     Changes of one entry on one day: the last action by name stands.
     """
     e = (fields(entries, list_name="list_name", scope="scope", value="value", action="action", listed_on="listed_on")
          .where("list_name is not null and scope is not null and value is not null and action is not null and listed_on is not null")
-         .groupBy("list_name", "scope", "value", "listed_on").agg(F.max("action").alias("action")))
+         .withColumn("value", entry_value(F.col("scope"), F.col("value"))).groupBy("list_name", "scope", "value", "listed_on").agg(F.max("action").alias("action")))
     own = W.partitionBy("list_name", "scope", "value").orderBy("listed_on")
     return (e.withColumn("valid_to", F.lead("listed_on").over(own)).where("action <> 'remove'")
             .select("list_name", "scope", "value", "action", F.col("listed_on").alias("valid_from"), "valid_to"))

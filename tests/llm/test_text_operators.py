@@ -200,6 +200,50 @@ def test_myers_distance_and_places(spark):
     assert contamination.contaminated(obs(spark, rows), inc.limit(0)).count() == 0
 
 
+def test_overlapping_places_of_an_item_are_one():
+    index = contamination.Index([("x", "ab cd " * 8)], 0.05)
+    text = contamination.normalise("start " + "ab cd " * 40 + "end")
+    got = sorted((a, b) for _, a, b, _ in index.find(text))
+    assert 1 <= len(got) <= 5 and all(b <= c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+
+
+def test_the_search_finds_what_edits_allow(spark):
+    """Brute force: an item is in a text when some part of the text is within the budget of edits, by a plain table."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7)))
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(8, 20)))) for k in range(8)]
+    texts = []
+    for i in range(60):
+        base = " ".join(word() for _ in range(30))
+        if i % 2:
+            planted = list(items[i % 8][1])
+            for _ in range(rnd.randrange(0, 9)):
+                planted[rnd.randrange(len(planted))] = rnd.choice("abcxyz")
+            base = base[:40] + " " + "".join(planted) + " " + base[40:]
+        texts.append((i, base))
+    texts += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1]), (None, items[1][1])]
+
+    def least(pattern, text):
+        row = [0] * (len(text) + 1)
+        for c in pattern:
+            old, row = row, [row[0] + 1]
+            for k, t in enumerate(text, 1):
+                row.append(min(old[k] + 1, row[-1] + 1, old[k - 1] + (c != t)))
+        return min(row)
+
+    want = set()
+    for i, t in texts:
+        for k, item in items:
+            a, b = contamination.normalise(item).strip(), contamination.normalise(t or "")
+            if b and least(a, b) <= int(0.05 * len(a)):
+                want.add((i, k))
+    df = obs(spark, texts).withColumn("item", F.lit("x")).withColumn("start", F.lit(1))
+    inc = spark.createDataFrame([(k, t, "x") for k, t in items], "incident_id bigint, text string, obs_id string")
+    got = contamination.contaminated(df, inc).collect()
+    assert {(r.obs_id, r.incident_id) for r in got} == want and (102, 0) in want and len([r for r in got if r.obs_id == 102 and r.incident_id == 0]) == 2
+    assert sorted(r.obs_id for r in contamination.uncontaminated(df, inc).where("obs_id is not null").collect()) == sorted(i for i, _ in texts if i is not None and not any(w[0] == i for w in want))
+
+
 def test_nearest_observations_against_all(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 24))
@@ -334,6 +378,15 @@ def test_source_lists(spark):
     assert source_lists.filter_captures(cap.limit(0), ent).count() == 0 and source_lists.filter_captures(cap, ent.limit(0)).where("decision <> 'none'").count() == 0
 
 
+def test_entries_are_read_like_addresses(spark):
+    day = __import__("datetime").date(2024, 1, 1)
+    rows = [("l", "host", "EX.com", "block", day), ("l", "path", "a.org//x/y/", "block", day), ("l", "domain", ".Deep.net.", "block", day), ("l", "host", None, "block", day)]
+    entries = spark.createDataFrame(rows, "list_name string, scope string, value string, action string, listed_on date").withColumn("url", F.lit("x"))
+    caps = spark.createDataFrame([(1, "http://ex.com/"), (2, "https://A.org/x/y/z"), (3, "http://very.deep.net:80/"), (4, "http://a.org/x"), (5, None)], "capture_id int, url string").withColumn("fetched_at", F.lit(day))
+    got = {r.capture_id: r.decision for r in source_lists.filter_captures(caps, entries).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "none", 5: "none"}
+
+
 def test_list_entries_of_any_depth_match(spark):
     host = "a.b.c.d.e.f.g.example.com"
     cap = spark.createDataFrame([(1, f"https://{host}/1/2/3/4/5/6/7/x"), (2, f"https://{host}/1/2/3/4/5/6/8"), (3, "https://z.c.d.e.f.g.example.com/"), (4, "https://g.example.com/1/2")],
