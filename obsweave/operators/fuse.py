@@ -326,11 +326,11 @@ def run_counters(grouped: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def fusion_summary(events: DataFrame, rejections: DataFrame | None = None) -> DataFrame:
-    """(confidence_band, n_events, n_obs) per band, a line ``all`` and, with a ledger, the records ``dropped``."""
+    """(confidence_band, n_events, n_obs) per band; with a ledger also a line ``all`` and the records ``dropped``."""
     d = events.groupBy("confidence_band").agg(F.count(F.lit(1)).alias("n_events"), F.sum("n_sources").alias("n_obs"))
-    out = d.unionByName(d.agg(F.lit("all").alias("confidence_band"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs")))
     if rejections is None:
-        return out
+        return d
+    out = d.unionByName(d.agg(F.lit("all").alias("confidence_band"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs")))
     return out.unionByName(rejections.agg(F.lit("dropped").alias("confidence_band"), F.lit(0).cast("long").alias("n_events"), F.count(F.lit(1)).alias("n_obs")))
 
 
