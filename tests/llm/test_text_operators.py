@@ -397,7 +397,7 @@ def test_list_entries_of_any_depth_match(spark):
     assert got == {1: ("allow", 3), 2: ("block", 2), 3: ("block", 1), 4: ("none", 0)}
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_a_query(n):
     from obsweave.llm.queries import Q
 
