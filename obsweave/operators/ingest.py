@@ -49,68 +49,89 @@ def with_point_cell(df: DataFrame, grid: DataFrame, lon: str = "lon", lat: str =
                 F.col("geom_precision_m") <= PRECISE_MAX_M, "PRECISE").otherwise("COARSE")))).drop("_known")
 
 
-def best_alias(alias: DataFrame) -> DataFrame:
-    """One alias per case-folded name: preferred first, then the lowest alias id."""
-    return (alias.where("cell_id is not null").groupBy(F.lower(F.trim("name")).alias("name_key"))
-            .agg(F.min_by(F.struct("place_id", "cell_id"), F.struct(~F.col("is_preferred"), "alias_id")).alias("p")))
+def _theater(names: DataFrame, alias: DataFrame) -> list[str]:
+    """Names are looked up within their theater where both sides tell one."""
+    return ["theater_id"] if "theater_id" in names.columns and "theater_id" in alias.columns else []
+
+
+def snapped(alias: DataFrame, grid: DataFrame) -> DataFrame:
+    """Aliases without a cell get that of their point, if they have one and the grid knows its cell."""
+    if "lon" not in alias.columns or "lat" not in alias.columns:
+        return alias
+    known = grid.select(F.col("cell_id").alias("_snap")).distinct().withColumn("_known", F.lit(True))
+    d = with_cell(alias, "lon", "lat", "_snap").join(known, "_snap", "left")
+    return d.withColumn("cell_id", F.coalesce("cell_id", F.when(F.col("_known"), F.col("_snap")))).drop("_snap", "_known")
+
+
+def best_alias(alias: DataFrame, theater: list[str] | None = None) -> DataFrame:
+    """One alias per case-folded name: preferred first, then the lowest alias id; it may have no cell."""
+    other = ~F.coalesce("is_preferred", F.lit(False))
+    return (alias.groupBy(*(theater or []), F.lower(F.trim("name")).alias("name_key"))
+            .agg(F.min_by(F.struct("place_id", "cell_id"), F.struct(other, "alias_id")).alias("p")))
 
 
 def resolve_place_exact(names: DataFrame, alias: DataFrame, name: str = "place_name") -> DataFrame:
-    """Distinct names with the place and cell of an equal alias."""
-    d = names.select(name).distinct().withColumn("name_key", F.lower(F.trim(name)))
-    return d.join(best_alias(alias), "name_key").select(name, F.col("p.place_id").alias("place_id"), F.col("p.cell_id").alias("cell_id"))
+    """Distinct names of a theater with the place and cell of an equal alias; the cell is null where the alias has none."""
+    on = _theater(names, alias)
+    d = names.select(*on, name).distinct().withColumn("name_key", F.lower(F.trim(name)))
+    return d.join(best_alias(alias, on), [*on, "name_key"]).select(*on, name, F.col("p.place_id").alias("place_id"), F.col("p.cell_id").alias("cell_id"))
 
 
 def resolve_place_fuzzy(names: DataFrame, alias: DataFrame, name: str = "place_name", threshold: float = FUZZY_MIN) -> DataFrame:
-    """Distinct names with their most similar alias by trigram sets, above the threshold.
+    """Distinct names of a theater with their most similar alias by trigram sets, above the threshold; equal ones: the lowest alias id.
 
     A trigram inverted index drives the join. A pair above the threshold t shares more than t of the
     larger set, so it must share one of the first ``n - ceil(t*n) + 1`` grams in a common order; only
-    those are indexed, rare grams first, which keeps frequent grams out of the join.
+    those are indexed, rare grams first, which keeps frequent grams out of the join. Sets are compared
+    once for all aliases of equal spelling.
     """
-    def grams(df: DataFrame, key: str, text: str) -> DataFrame:
-        return df.select(key, T.pg_trigrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
+    on = _theater(names, alias)
+    known = alias.where("name is not null").groupBy(*on, F.col("name").alias("_spelt")).agg(F.min_by(F.struct("place_id", "cell_id", "alias_id"), "alias_id").alias("p"))
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn("grams", T.pg_trigrams(F.col(key))).where(F.size("grams") > 0)
 
-    q = grams(names.where(f"{name} is not null").select(name).distinct(), name, name)
-    al = alias.where("cell_id is not null")
-    a = grams(al, "alias_id", "name")
+    q = grams(names.where(F.col(name).isNotNull()).select(*on, name).distinct(), name)
+    a = grams(known, "_spelt")
     freq = a.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
 
     def prefix(df: DataFrame, key: str) -> DataFrame:
-        g = df.select(key, F.size("grams").alias("n"), F.explode("grams").alias("g")).join(freq, "g", "left")
-        s = g.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("o"))
+        g = df.select(*on, key, F.size("grams").alias("n"), F.explode("grams").alias("g")).join(freq, "g", "left")
+        s = g.groupBy(*on, key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("o"))
         keep = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-        return s.select(key, F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).select(key, F.col("x.g").alias("g"))
+        return s.select(*on, key, F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).select(*on, key, F.col("x.g").alias("g"))
 
-    cand = prefix(q, name).join(prefix(a, "alias_id"), "g").select(name, "alias_id").distinct()
-    d = cand.join(q.withColumnRenamed("grams", "qg"), name).join(a.withColumnRenamed("grams", "ag"), "alias_id")
+    cand = prefix(q, name).join(prefix(a, "_spelt"), [*on, "g"]).select(*on, name, "_spelt").distinct()
+    d = cand.join(q.withColumnRenamed("grams", "qg"), [*on, name]).join(a.withColumnRenamed("grams", "ag"), [*on, "_spelt"])
     inter = F.size(F.array_intersect("qg", "ag"))
     d = d.withColumn("similarity", inter / (F.size("qg") + F.size("ag") - inter)).where(F.col("similarity") > threshold)
-    best = d.groupBy(name).agg(F.max_by(F.struct("alias_id", "similarity"), F.struct("similarity", -F.col("alias_id"))).alias("b"))
-    best = best.select(name, F.col("b.alias_id").alias("alias_id"), F.round("b.similarity", 6).alias("similarity"))
-    return best.join(al.select("alias_id", "place_id", "cell_id"), "alias_id").select(name, "place_id", "cell_id", "similarity")
+    best = d.groupBy(*on, name).agg(F.max_by(F.struct("p", "similarity"), F.struct("similarity", -F.col("p.alias_id"))).alias("b"))
+    return best.select(*on, name, F.col("b.p.place_id").alias("place_id"), F.col("b.p.cell_id").alias("cell_id"), F.round("b.similarity", 6).alias("similarity"))
 
 
 def resolve_to_cell(df: DataFrame, grid: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     """Add ``cell_id`` from the point, else an equal place name, else a similar one; and how it was found.
 
+    Names are looked up in the record's theater if the aliases have one. An alias without a cell is placed by its
+    own point; one that cannot be placed leaves the record without a cell, no second alias is tried.
     Place-only records carry the flag ``place_name_only`` and the place id.
     """
     d = with_point_cell(df, grid)
     if alias is None or "place_name" not in df.columns:
         return (d.withColumn("cell_id", F.col("point_cell")).withColumn("resolved_by", F.when(F.col("cell_id").isNotNull(), "point"))
                 .withColumn("place_name_only", F.lit(False)).drop("point_cell"))
-    need = d.where("point_cell is null and place_name is not null").select("place_name").distinct()
+    alias, on = snapped(alias, grid), _theater(df, alias)
+    need = d.where("point_cell is null and place_name <> ''").select(*on, "place_name").distinct()
     exact = resolve_place_exact(need, alias)
-    rest = need.join(exact.select("place_name"), "place_name", "left_anti")
+    rest = need.join(exact.select(*on, "place_name"), [*on, "place_name"], "left_anti")
     fuzzy = resolve_place_fuzzy(rest, alias)
     hit = (exact.withColumn("how", F.lit("exact")).withColumn("similarity", F.lit(1.0))
            .unionByName(fuzzy.withColumn("how", F.lit("fuzzy")))
-           .select("place_name", F.col("place_id").alias("alias_place"), F.col("cell_id").alias("alias_cell"), "how"))
-    d = d.join(hit, "place_name", "left")
+           .select(*on, "place_name", F.col("place_id").alias("alias_place"), F.col("cell_id").alias("alias_cell"), "how"))
+    d = d.join(hit, [*on, "place_name"], "left")
     by_name = F.col("point_cell").isNull() & F.col("alias_cell").isNotNull()
     own = F.col("place_id") if "place_id" in df.columns else F.lit(None)
-    return (d.withColumn("cell_id", F.coalesce("point_cell", "alias_cell"))
+    return (d.withColumn("cell_id", F.coalesce("point_cell", F.when(by_name, F.col("alias_cell"))))
             .withColumn("resolved_by", F.when(F.col("point_cell").isNotNull(), "point").when(by_name, F.col("how")))
             .withColumn("place_name_only", by_name).withColumn("place_id", F.when(by_name, F.col("alias_place")).otherwise(own))
             .withColumn("resolution", F.when(by_name, "place_only").otherwise(F.col("resolution")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from obsweave.operators import detect as DT
 from obsweave.operators import ingest as I
 from obsweave.plans import fixture as X
 from obsweave.plans.fixture import frac, table
-from obsweave.plans.oracle import D, with_
+from obsweave.plans.oracle import D, LAT, LON, codec_ctes, with_
 from obsweave.session import checkpoint_dir
 from obsweave.sources import feeds, sinks
 
@@ -36,6 +37,21 @@ def _as_csv(df: DataFrame, name: str) -> str:
     return path
 
 
+def _as_json(features: DataFrame, name: str, array: str, order: str) -> str:
+    """Objects (``text``) as files of one document each, in the order of a column over all files."""
+    def document(batches):
+        first = True
+        for batch in batches:
+            for value in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([(f'{{"type": "FeatureCollection", "{array}": [' if first else ", ") + value])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([f'{{"{array}": []}}' if first else "]}"])], names=["value"])
+
+    path = _folder(features.sparkSession, name)
+    features.repartitionByRange(order).sortWithinPartitions(order).select("text").mapInArrow(document, "value string").write.text(path)
+    return path
+
+
 def _site(user):
     s = F.floor(user / 3)
     return F.round(36.0 + 3.5 * frac(s * 0.61803398875) + 0.012 * (user % 3), 6), F.round(46.8 + 2.7 * frac(s * 0.75487766625), 6)
@@ -97,7 +113,72 @@ def _(spark, sf):
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+# ------------------------------------------------------------------ damage points and boundaries
+@query("damage_feed", with_("points", f"""p AS (SELECT event_id, event_id % 7 AS damage, CASE WHEN event_id % 3 > 0 THEN 'city ' || event_id % 5 ELSE '' END AS city, strftime(ts, '%Y-%m-%d') AS date, cell_id
+ FROM events JOIN u_cells USING (user_id) WHERE event_id % 7 BETWEEN 2 AND 4 AND lon BETWEEN 36.0 AND 39.5 AND lat BETWEEN 46.8 AND 49.5)""",
+"""g AS (SELECT cell_id, date, count(*) AS n, max(damage)::INT AS worst, arg_max(city, event_id) FILTER (city <> '') AS city FROM p GROUP BY ALL)""",
+f"""SELECT *, CASE worst WHEN 2 THEN 0.6 WHEN 3 THEN 0.8 ELSE 0.9 END{D} AS self_conf, 'UNOSAT satellite assessment: ' || n || ' damaged structure(s) (' || CASE worst WHEN 2 THEN 'moderate damage' WHEN 3 THEN 'severe damage'
+ ELSE 'destroyed' END || ') in ' || coalesce(city, 'the area') || ' as of ' || date AS text FROM g"""))
+def _(spark, sf):
+    """One damage point per event, written as GeoJSON; the last named city of a cell and day stands."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    lon, lat = _site(F.col("user_id"))
+    props = F.struct((k % 7).alias("damage"), F.when(k % 3 > 0, F.concat(F.lit("city "), (k % 5).cast("string"))).otherwise("").alias("city"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("date"),
+                     F.lit('brace } and "quote" {').alias("note"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry")))
+    points = feeds.read_damage_points(spark, _as_json(e.select("event_id", feature.alias("text")), "damage", "features", "event_id"))
+    return feeds.aggregate_damage(points, BOX).select("cell_id", "date", "n", "worst", "city", "self_conf", "text")
+
+
+@query("boundary_feed", f"""SELECT doc_id::VARCHAR AS admin_id, sha256(coalesce(text, '-')) AS name_sha256, CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 1 END AS n_rings,
+ (doc_id % 100 * 4 + 2){D} + CASE WHEN doc_id % 4 = 1 THEN (doc_id % 100 * 4 + 6){D} ELSE 0 END AS sum_x FROM documents WHERE doc_id % 4 < 3""")
+def _(spark, sf):
+    """One unit per document with its whole text as the name; some of two polygons, some points, which are no units."""
+    k = F.col("doc_id")
+    x = k % 100
+    box = lambda at: F.array(*[F.array((x + at + dx).cast("double"), F.lit(float(dy))) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    kind = F.when(k % 4 == 1, "MultiPolygon").when(k % 4 == 3, "Point").otherwise("Polygon")
+    xy = F.when(k % 4 == 1, F.to_json(F.array(F.array(box(0)), F.array(box(1))))).when(k % 4 == 3, "[1, 2]").otherwise(F.to_json(F.array(box(0))))
+    props = F.to_json(F.struct(k.cast("string").alias("shapeID"), F.col("text").alias("shapeName")))
+    feature = F.concat(F.lit('{"type": "Feature", "properties": '), props, F.lit(', "geometry": {"type": "'), kind, F.lit('", "coordinates": '), xy, F.lit("}}"))
+    units = feeds.read_admin_boundaries(spark, _as_json(table(spark, sf, "documents").select("doc_id", feature.alias("text")), "units", "features", "doc_id"), 1)
+    total = F.aggregate(F.flatten("rings"), F.lit(0.0), lambda s, p: s + p["x"])
+    return units.select("admin_id", F.sha2(F.coalesce("name", F.lit("-")), 256).alias("name_sha256"), F.size("rings").alias("n_rings"), total.alias("sum_x"))
+
+
 # ------------------------------------------------------------------ places
+GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_extract_all(lower({n}), '[a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("place_names", with_("points", "part_ AS (SELECT p_partkey AS k, p_partkey AS user_id, floor(p_partkey / 3)::DOUBLE AS s, p_name || ' ' || p_size AS n, p_name, p_size FROM part)",
+ f"apts AS (SELECT k, {LON} AS lon, {LAT} AS lat FROM part_)", *codec_ctes("apts", "k", "p"),
+ """al AS (SELECT k AS alias_id, k + 1000 AS place_id, CASE WHEN k % 2 = 0 THEN n ELSE upper(n) END AS name, CASE WHEN k % 3 = 1 THEN 'east' ELSE 'west' END AS theater_id, k % 5 = 0 AS is_preferred,
+ CASE WHEN k % 4 > 0 THEN 'c' || k WHEN k % 8 = 0 AND cell_id IN (SELECT cell_id FROM grid) THEN cell_id END AS cell_id FROM part_ JOIN p_cells USING (k))""",
+ """rec AS (SELECT k AS seq, CASE WHEN k % 7 = 1 THEN 'east' ELSE 'west' END AS theater_id, CASE k % 5 WHEN 0 THEN upper(n) || ' ' WHEN 1 THEN p_name || 's ' || p_size WHEN 2 THEN 'xyzzy ' || k WHEN 4 THEN '' ELSE n END AS place_name,
+ CASE WHEN k % 5 = 4 THEN cell_id END AS pc FROM part_ JOIN p_cells USING (k))""",
+ "pt AS (SELECT seq, pc FROM rec WHERE pc IN (SELECT cell_id FROM grid))",
+ "need AS (SELECT DISTINCT theater_id, place_name FROM rec ANTI JOIN pt USING (seq) WHERE place_name <> '')",
+ "ex AS (SELECT theater_id, place_name, arg_min((place_id, cell_id), (NOT is_preferred, alias_id)) AS p FROM need JOIN al USING (theater_id) WHERE lower(trim(place_name)) = lower(trim(name)) GROUP BY ALL)",
+ f"q AS MATERIALIZED (SELECT theater_id, place_name, {GRAMS.format(n='place_name')} AS g FROM need ANTI JOIN ex USING (theater_id, place_name))",
+ f"a AS MATERIALIZED (SELECT theater_id, name, {GRAMS.format(n='name')} AS h, arg_min((place_id, cell_id, alias_id), alias_id) AS p FROM al GROUP BY theater_id, name)",
+ "s AS (SELECT theater_id, place_name, p, len(list_intersect(g, h)) AS i, len(g) + len(h) AS u FROM q JOIN a USING (theater_id))",
+ "fz AS (SELECT theater_id, place_name, arg_max((p[1], p[2]), (i / (u - i), -p[3])) AS p FROM s WHERE i / (u - i) > 0.4 GROUP BY ALL)",
+ "hit AS (SELECT *, 'exact' AS how FROM ex UNION ALL SELECT *, 'fuzzy' FROM fz)",
+ """SELECT seq, coalesce(pc_, p[2]) AS cell_id, CASE WHEN pc_ IS NOT NULL THEN 'point' WHEN p[2] IS NOT NULL THEN how END AS resolved_by, CASE WHEN pc_ IS NULL AND p[2] IS NOT NULL THEN p[1] END AS place_id
+ FROM rec LEFT JOIN (SELECT seq, pc AS pc_ FROM pt) USING (seq) LEFT JOIN hit USING (theater_id, place_name)"""))
+def _(spark, sf):
+    """Records by point or by name, in two theaters; aliases of equal names, without a cell, with a point and without."""
+    k, n = F.col("p_partkey"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    part = table(spark, sf, "part")
+    lon, lat = _site(k)
+    alias = part.select(k.alias("alias_id"), (k + 1000).alias("place_id"), F.when(k % 2 == 0, n).otherwise(F.upper(n)).alias("name"), F.when(k % 3 == 1, "east").otherwise("west").alias("theater_id"),
+                        (k % 5 == 0).alias("is_preferred"), F.when(k % 4 > 0, F.concat(F.lit("c"), k.cast("string"))).alias("cell_id"), F.when(k % 8 == 0, lon).alias("lon"), F.when(k % 8 == 0, lat).alias("lat"))
+    name = F.when(k % 5 == 0, F.concat(F.upper(n), F.lit(" "))).when(k % 5 == 1, F.concat("p_name", F.lit("s "), F.col("p_size").cast("string"))).when(k % 5 == 2, F.concat(F.lit("xyzzy "), k.cast("string"))).when(k % 5 == 4, "").otherwise(n)
+    rec = part.select(k.alias("seq"), F.when(k % 7 == 1, "east").otherwise("west").alias("theater_id"), name.alias("place_name"), F.when(k % 5 == 4, lon).alias("lon"), F.when(k % 5 == 4, lat).alias("lat"),
+                      F.lit(300.0).alias("geom_precision_m"))
+    return I.resolve_to_cell(rec, X.grid_of(spark, sf), alias).select("seq", "cell_id", "resolved_by", "place_id")
+
+
 def gazetteer(spark, sf):
     """One place per supplier as tab-separated lines of 19 fields, with short and unfit lines among them."""
     k = F.col("s_suppkey")

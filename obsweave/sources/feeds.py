@@ -9,6 +9,7 @@ from obsweave import dims
 from obsweave.functions.cells import with_cell
 from obsweave.functions.timegeo import in_bbox, parse_acq_time, parse_date_multi
 from obsweave.operators.ingest import period_key
+from obsweave.sources.json_elements import read_json_elements
 from obsweave.sources.quoted_csv import read_quoted_csv
 
 # Fixed values of the feeds.
@@ -39,13 +40,10 @@ def number(c: Column) -> Column:
 
 # ------------------------------------------------------------------ readers
 def read_conflict_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """CSV with header, or JSON whose rows may sit under ``Result``."""
+    """CSV with header, or JSON: an array of rows, alone or under ``Result``. One file is read by many tasks."""
     if fmt == "csv":
         return _strings(read_quoted_csv(spark, path), CONFLICT_COLUMNS)
-    d = spark.read.json(path, multiLine=True, primitivesAsString=True)
-    if "Result" in d.columns:
-        d = d.select(F.explode("Result").alias("r")).select("r.*")
-    return _strings(d, CONFLICT_COLUMNS)
+    return read_json_elements(spark, path, "Result", ", ".join(f"{c} string" for c in CONFLICT_COLUMNS))
 
 
 def combine_event_files(spark: SparkSession, main: str, monthly: str, country: str, since: str, bbox: tuple[float, float, float, float]) -> DataFrame:
@@ -76,14 +74,15 @@ def read_fire_detections(spark: SparkSession, paths: dict[str, str]) -> DataFram
     return out
 
 
-POINT_SCHEMA = "features array<struct<properties:struct<damage:int,city:string,date:string>,geometry:struct<coordinates:array<double>>>>"
+POINT_SCHEMA = "properties struct<damage:int,city:string,date:string>, geometry struct<coordinates:array<double>>"
 
 
 def read_damage_points(spark: SparkSession, path: str) -> DataFrame:
-    """FeatureCollection -> (damage, city, date, lon, lat)."""
-    d = spark.read.schema(POINT_SCHEMA).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    xy = F.col("f.geometry.coordinates")
-    return d.select("f.properties.damage", "f.properties.city", F.substring("f.properties.date", 1, 10).alias("date"), F.get(xy, F.lit(0)).alias("lon"), F.get(xy, F.lit(1)).alias("lat"))
+    """FeatureCollection -> (damage, city, date, lon, lat, seq); ``seq`` orders the points as in the files."""
+    d = read_json_elements(spark, path, "features", POINT_SCHEMA, order=True)
+    xy = F.col("geometry.coordinates")
+    return d.select("properties.damage", "properties.city", F.substring("properties.date", 1, 10).alias("date"), F.get(xy, F.lit(0)).alias("lon"), F.get(xy, F.lit(1)).alias("lat"),
+                    F.struct("file_path", "start", "line").alias("seq"))
 
 
 def read_gazetteer(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -106,23 +105,21 @@ def read_alternate_names(spark: SparkSession, path: str, places: DataFrame) -> D
 
 def read_admin_boundaries(spark: SparkSession, path: str, level: int) -> DataFrame:
     """Polygon and MultiPolygon features -> (admin_id, name, level, rings). A unit's rings are kept together."""
-    schema = "features array<struct<properties:struct<shapeID:string,shapeName:string>,geometry:struct<type:string,coordinates:string>>>"
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    many = F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
-    rings = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    f = read_json_elements(spark, path, "features", "properties struct<shapeID:string,shapeName:string>, geometry struct<type:string,coordinates:string>")
+    one = F.from_json("geometry.coordinates", "array<array<array<double>>>")
+    many = F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"))
+    rings = F.when(F.col("geometry.type") == "Polygon", one).when(F.col("geometry.type") == "MultiPolygon", many)
     pts = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
-    return f.where(rings.isNotNull()).select(F.col("f.properties.shapeID").alias("admin_id"), F.col("f.properties.shapeName").alias("name"), F.lit(level).alias("level"), pts.alias("rings"))
+    return f.where(rings.isNotNull()).select(F.col("properties.shapeID").alias("admin_id"), F.col("properties.shapeName").alias("name"), F.lit(level).alias("level"), pts.alias("rings"))
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("places array<struct<name:string,lon:double,lat:double>>").json(path, multiLine=True).select(F.explode("places").alias("p")).select("p.*")
+    return read_json_elements(spark, path, "places", "name string, lon double, lat double")
 
 
 def read_control_timeline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(settlements with default side, dated changes)."""
-    schema = "settlements array<struct<name:string,lon:double,lat:double,default:string,changes:array<struct<date:string,side:string>>>>"
-    d = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("settlements").alias("s"))
+    d = read_json_elements(spark, path, "settlements", "name string, lon double, lat double, default string, changes array<struct<date:string,side:string>>").select(F.struct("*").alias("s"))
     base = d.select(F.col("s.name").alias("settlement"), F.col("s.lon").alias("lon"), F.col("s.lat").alias("lat"), F.col("s.default").alias("default_side"))
     ch = d.select(F.col("s.name").alias("settlement"), F.explode("s.changes").alias("c")).select("settlement", F.to_date("c.date").alias("date"), F.col("c.side").alias("side"))
     return base, ch
@@ -260,7 +257,7 @@ def aggregate_periods(df: DataFrame, bbox: tuple[float, float, float, float], gr
                     "place", text.alias("text"), conf.alias("self_conf"))
 
 
-def aggregate_damage(points: DataFrame, bbox: tuple[float, float, float, float], order: str | None = None) -> DataFrame:
+def aggregate_damage(points: DataFrame, bbox: tuple[float, float, float, float], order: str | None = "seq") -> DataFrame:
     """Damage points -> one raw observation per cell and date, with the worst grade and the last named city."""
     p = points.where(F.col("damage").isin(list(DAMAGE_GRADE)) & in_bbox(F.col("lon"), F.col("lat"), bbox) & (F.col("date") != ""))
     city = F.nullif(F.col("city"), F.lit(""))

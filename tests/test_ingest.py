@@ -1,5 +1,6 @@
 """Feeds, normalisation, sinks and the streaming form."""
 import json
+import random
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -86,6 +87,31 @@ def test_geo_feeds(spark, tmp_path):
     assert sorted(x.cell_id for x in points_in_polygons(pts, u).collect()) == ["a", "c"]
 
 
+def test_json_elements_are_cut_at_any_block(spark, tmp_path):
+    """Every size of block gives the objects that a JSON parser finds; braces, quotes and escapes in strings do not count."""
+    from obsweave.sources.json_elements import json_elements
+    made = random.Random(5)
+    odd = ["}", "{", '"', "\\", "a}b{", '\\"}', "é}", "", '"features": [{'] + ["x" * 90]
+    feature = lambda i: {"type": "Feature", "id": i, "properties": {"t": "".join(made.choices(odd, k=made.randrange(6))), "more": [{"k": i}, {}]}, "geometry": {"c": [[i, 1.5]] * made.randrange(9)}}
+    docs = {"a": {"crs": {"name": "}{"}, "note": 'a "}" b', "other": [{"id": -1}], "features": [feature(i) for i in range(60)], "tail": [{"id": -2}], "last": {"features": [{"id": -3}]}},
+            "b": [feature(i) for i in range(20)], "c": {"features": []}, "d": {"none": [{"id": 1}]}, "e": {"features": [feature(0)]}}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, (name, doc) in enumerate(docs.items()):
+        (folder / f"{name}.json").write_text(json.dumps(doc, indent=1 if k % 2 else None, ensure_ascii=False))
+    want = {"a": docs["a"]["features"], "b": docs["b"], "e": docs["e"]["features"]}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for n in (64, 333, 1000, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+            got = {}
+            for r in sorted(json_elements(spark, str(folder), "features").collect()):
+                got.setdefault(r.file_path[-6], []).append(json.loads(r.text))
+            assert got == want, n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_period_aggregation(spark):
     cols = "seq long, longitude string, latitude string, date_start string, best string, type_of_violence string, adm_1 string, adm_2 string, where_coordinates string, conflict_name string"
     rows = [(1, "37.749", "48.1394", "2024-03-01", "2", "3", "D", "", "", "War"), (2, "37.749", "48.1394", "2024-03-05", "4", "1", "", "Bakhmut", "", ""),
@@ -139,6 +165,18 @@ def test_place_resolution(spark):
     assert r[1].cell_id == "c2" and r[1].place_name_only and r[1].resolution == "place_only" and r[2].cell_id is None
 
 
+def test_places_are_looked_up_in_their_theater(spark):
+    """An alias of another theater does not count; one without a cell is placed by its point or not at all."""
+    cols = "alias_id long, place_id long, name string, is_preferred boolean, cell_id string, theater_id string, lon double, lat double"
+    alias = spark.createDataFrame([(1, 10, "Bakhmut", True, "c1", "b", None, None), (2, 11, "Bakhmut", None, None, "a", 37.749, 48.1394), (3, 12, "Kramatorsk", True, None, "a", None, None),
+                                   (4, 13, "Kramatorsky", True, "c4", "a", None, None), (5, 14, "Toretsk", True, "c5", "b", None, None), (6, 15, "Far", True, None, "a", 10.0, 10.0)], cols)
+    rec = [(1, "a", "bakhmut "), (2, "b", "BAKHMUT"), (3, "a", "Kramatorsk"), (4, "a", "Toretsk"), (5, "a", "Kramatorskyi"), (6, None, "Bakhmut"), (7, "a", ""), (8, "a", None), (9, "a", "far")]
+    raw = spark.createDataFrame([(i, t, n, None, None, 0.0) for i, t, n in rec], "seq long, theater_id string, place_name string, lon double, lat double, geom_precision_m double")
+    r = {x.seq: (x.cell_id, x.place_id, x.resolved_by) for x in I.resolve_to_cell(raw, spark.createDataFrame([("37UDP0632",)], "cell_id string"), alias).collect()}
+    assert r[1] == ("37UDP0632", 11, "exact") and r[2] == ("c1", 10, "exact") and r[5] == ("c4", 13, "fuzzy")
+    assert all(r[i] == (None, None, None) for i in (3, 4, 6, 7, 8, 9)) and len(r) == 9
+
+
 def test_sinks_and_guards(spark, tmp_path):
     raw = spark.createDataFrame(raw_rows(), RAW)
     grid = spark.createDataFrame([("37UDP0632",)], "cell_id string")
@@ -226,7 +264,6 @@ def test_dims_tables(spark):
 def test_quoted_csv_over_many_blocks(spark, tmp_path):
     """Every cut of the files gives the records that a whole reading gives."""
     import csv
-    import random
 
     rnd = random.Random(2)
     value = lambda: "".join(rnd.choice(["a", "b", ",", '"', "\n", "é", " "]) for _ in range(rnd.choice([0, 3, 30, 400])))
