@@ -364,6 +364,32 @@ def test_wrapped_notices_of_licences(spark):
     assert got == {1: ("MIT", 0), 2: ("Apache-2.0", 0), 3: ("GPL-3-or-later", 0), 4: ("BSD-3-Clause", 0), 5: ("MIT", 0), 6: ("BSD-2-Clause", 0)}
 
 
+def test_more_licences_and_long_addresses(spark):
+    import duckdb
+
+    host = "a." * 400 + "org"
+    rows = [(1, "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+            (2, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+            (3, "// SPDX-License-Identifier: Apache-2.0\n# SPDX-License-Identifier: GPL-2.0+\n/* SPDX-License-Identifier: BSD-3-Clause */"),
+            (4, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), (5, "Creative Commons Attribution 4.0 International"),
+            (6, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+            (7, "Licensed under the GNU Affero General Public License v3.0"), (8, "This is free and unencumbered software released into the public domain."),
+            (9, f"See http://{host}/all\nAll rights reserved."), (10, f"See http://{host}.all rights reserved"), (11, "Distributed under the Boost Software License, Version 1.0."),
+            (12, "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"), (12, "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
+            (None, "SPDX-License-Identifier: CC-BY-SA-4.0")]
+    found = licence_scan.scan_licences(obs(spark, rows)).collect()
+    got = {r.obs_id: (r.licences, r.n_unmatched) for r in found}
+    assert got == {1: ("LGPL-2.1-or-later", 0), 2: ("MPL-2.0", 0), 3: ("Apache-2.0,GPL-2.0-or-later,BSD-3-Clause", 0), 4: ("CC-BY-NC-4.0", 0), 5: ("CC-BY-4.0", 0), 6: ("ISC", 0), 7: ("AGPL-3.0-only", 0),
+                   8: ("Unlicense", 0), 9: ("", 1), 10: ("", 0), 11: ("BSL-1.0", 0), 12: ("EPL-2.0", 0), None: ("CC-BY-SA-4.0", 0)} and len(found) == len(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    own = con.sql(f"SELECT doc_id, licences, n_unmatched FROM ({licence_scan.sql()})").fetchall()
+    assert sorted(map(str, own)) == sorted(str((r.obs_id, r.licences, r.n_unmatched)) for r in found)
+    import re
+    assert all(re.search(licence_scan.WORDS, s) for s in licence_scan.KNOWN)
+
+
 def test_source_lists(spark):
     cap = spark.createDataFrame([(1, "https://u:p@WWW.Bad.example.com:80/a/b?q=1", "2024-03-01"), (2, "https://www.bad.example.com/a/b", "2024-06-01"), (3, "http://other.example.com/", "2024-03-01"),
                                  (4, None, "2024-03-01"), (5, "no address", "2024-03-01"), (6, "https://www.bad.example.com/ok/x", "2024-03-01"), (6, "https://www.bad.example.com/ok/x", "2024-03-01"),
