@@ -1,12 +1,14 @@
 """Information-theoretic sanitising of personal data in observation texts.
 
 Personal data found by form (addresses, numbers) are the protected entities. A term of a text that
-mentions an entity may give the entity away; how much is estimated from the whole corpus: with counts
-of texts df, the share of an entity's information that a term reveals is PMI(term; entity) / IC(entity), where
-PMI = log2(p(term | entity) / p(term)), p(term) = df(term) / N, IC = log2(N / df(entity)) and
-p(term | entity) = (df(term, entity) + s * p(term)) / (df(entity) + s): as if s more texts with the
-entity held the term by chance, so few texts say less but still count. Terms at or above the first
-threshold are generalised in every text with the entity, at or above the second removed.
+mentions an entity may give the entity away; how much is estimated from the whole corpus. Of an entity's
+information IC = -log2 p(entity) a term reveals PMI(term; entity) = log2(p(entity | term) / p(entity)); what is
+left to guess is IC - PMI = -log2 p(entity | term) bits, with counts of texts df, p(entity) = df(entity) / N and
+p(entity | term) = (df(term, entity) + s * p(entity)) / (df(term) + s): as if s more texts with the term
+mentioned the entity by chance, so few texts say less but still count. Terms that leave no more bits than
+the first threshold, and reveal a least share of IC, are generalised in every text with the entity; those
+that leave no more than the second are removed. The bits left do not hang on N, so the same texts are
+treated alike in a small and a large corpus.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -109,7 +111,7 @@ def _scan(id_kind: pa.DataType):
 
         def counted():
             k = len(counts)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, id_kind), pa.nulls(k, pa.int64()), pa.nulls(k, spans_t), pa.nulls(k, pa.list_(pa.string())), pa.nulls(k, terms_t),
+            return pa.RecordBatch.from_arrays([pa.nulls(k, id_kind), pa.nulls(k, pa.string()), pa.nulls(k, spans_t), pa.nulls(k, pa.list_(pa.string())), pa.nulls(k, terms_t),
                                                pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=names)
         for batch in batches:
             spans, entities, terms = [], [], []
@@ -144,7 +146,7 @@ def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([one(t or "", found) for t, found in zip(text, spans, strict=True)])
 
 
-def revealing(texts: DataFrame, df: DataFrame, n_texts: int, low: float, high: float, pseudo: float) -> DataFrame:
+def revealing(texts: DataFrame, df: DataFrame, n_texts: int, least_share: float, generalise_bits: float, remove_bits: float, pseudo: float) -> DataFrame:
     """(mark, j, remove): the terms, by their place in the text's list, that reveal too much of an entity of the text.
 
     ``texts`` has mark, entities and terms of each text with an entity, ``df`` the texts of each term.
@@ -153,24 +155,31 @@ def revealing(texts: DataFrame, df: DataFrame, n_texts: int, low: float, high: f
     mention = texts.select("mark", F.explode("entities").alias("entity"))
     # an entity that all texts mention has no information to reveal
     entity = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") < n)
-    mention = mention.join(entity, "entity")
+    # entities of one text are all with each of its terms: one row stands for those of a text
+    mention = (mention.join(entity, "entity").groupBy("mark", F.when(F.col("df_entity") > 1, F.col("entity")).alias("entity"))
+               .agg(F.max("df_entity").alias("df_entity")))
     words = texts.select("mark", F.posexplode("terms").alias("j", "term")).join(df, "term")
-    # p(term | entity) is at most 1, so a term more frequent than this cannot reach the threshold: no pair is lost
-    near = F.col("df") <= n * F.pow(F.col("df_entity") / n, F.lit(low)) * 1.000001
-    pair = cut(mention.join(words, "mark").where(near).select("mark", "j", F.when(F.col("df_entity") > 1, F.col("entity")).alias("entity"), "term", "df", "df_entity"))
-    p = F.col("df") / n
-    share = F.log2((F.col("df_both") + pseudo * p) / (F.col("df_entity") + pseudo) / p) / F.log2(n / F.col("df_entity"))
-    told = lambda rows: rows.withColumn("share", share).where(F.col("share") >= low).withColumn("remove", F.col("share") >= high)
-    # an entity of one text is with each of its terms in that text: nothing to count
-    alone = told(pair.where("df_entity = 1").withColumn("df_both", F.lit(1))).select("mark", "j", "remove")
-    more = pair.where("df_entity > 1")
+    chance = pseudo * F.col("df_entity") / n
+    # the two are together in at most df_entity texts, so a term more frequent than this leaves more bits: no pair is lost
+    near = F.col("df") <= (F.col("df_entity") + chance) * 2.0 ** generalise_bits - pseudo + 1e-6
+    pair = cut(mention.join(words, "mark").where(near).select("mark", "j", "entity", "term", "df", "df_entity"))
+    left = -F.log2((F.col("df_both") + chance) / (F.col("df") + pseudo))
+    most = F.least(F.lit(generalise_bits), (1 - least_share) * F.log2(n / F.col("df_entity")))
+    told = lambda rows: rows.withColumn("left", left).where(F.col("left") <= most).withColumn("remove", F.col("left") <= remove_bits)
+    alone = told(pair.where("entity is null").withColumn("df_both", F.lit(1))).select("mark", "j", "remove")
+    more = pair.where("entity is not null")
     both = more.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"), F.max("df").alias("df"), F.max("df_entity").alias("df_entity"))
     reveal = cut(told(both).select("entity", "term", "remove"))
     return alone.unionByName(more.join(reveal, ["entity", "term"]).select("mark", "j", "remove")).groupBy("mark", "j").agg(F.max("remove").alias("remove"))
 
 
-def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str = "text", generalise_at: float = 0.6,
-                   remove_at: float = 0.85, pseudo_texts: float = 1.0) -> DataFrame:
+def _mark() -> Column:
+    """A hash of id and text that is wide enough for any number of rows; null and empty differ."""
+    return F.md5(F.to_json(F.struct("id", "text")))
+
+
+def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str = "text", least_share: float = 0.6,
+                   generalise_bits: float = 1.25, remove_bits: float = 0.5, pseudo_texts: float = 1.0) -> DataFrame:
     """Find what identifies somebody in observation texts.
 
     Returns one row per input row: obs_id, mark (hash of id and text) and spans: an array of kind,
@@ -178,24 +187,25 @@ def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str =
     their form and are generalised; term is what the corpus shows to reveal one of them, wherever it
     stands in a text that mentions it.
 
-    Every pair of an entity and a term of one text counts, also of one text alone; ``pseudo_texts``
-    texts by chance make small counts say less. An entity that all texts mention has no information
+    Every pair of an entity and a term of one text counts, also of one text alone: with one pseudo text a term
+    that occurs beside an entity and nowhere else leaves one bit and is generalised; seen so in three texts it
+    leaves 0.42 bits and is removed. A term that leaves half of its texts without the entity stays. An entity that all texts mention has no information
     to reveal. Null and empty texts have no spans. Repeated rows get equal results. Null obs_id: kept.
     Other columns are ignored. An empty table gives an empty result. All counts cover all texts; of
     them the driver sees only their number.
     """
     small_batches(observations.sparkSession)
-    rows = fields(observations, id=obs_id, text=text).withColumn("mark", F.xxhash64("id", "text"))
+    rows = fields(observations, id=obs_id, text=text).withColumn("mark", _mark())
     kind = rows.schema["id"].dataType
     span = "struct<kind:string,start:bigint,end:bigint"
     got = cut(rows.select("id", "mark", "text").mapInArrow(
-        _scan(to_arrow_type(kind)), f"id {kind.simpleString()}, mark bigint, spans array<{span}>>, entities array<string>, "
+        _scan(to_arrow_type(kind)), f"id {kind.simpleString()}, mark string, spans array<{span}>>, entities array<string>, "
         "terms array<struct<term:string,places:array<struct<start:bigint,end:bigint>>>>, term string, df bigint"))
     texts = got.where("term is null").select("id", "mark", "spans", F.col("terms.places").alias("places"))
     some = cut(got.where("term is null and size(entities) > 0").select("mark", "entities", F.col("terms.term").alias("terms")).dropDuplicates(["mark"]))
     df = got.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
     df = df.join(some.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
-    found = (revealing(some, df, texts.count(), generalise_at, remove_at, pseudo_texts)
+    found = (revealing(some, df, texts.count(), least_share, generalise_bits, remove_bits, pseudo_texts)
              .groupBy("mark").agg(F.collect_list(F.struct("j", "remove")).alias("hits")))
     action = lambda h: F.when(h["remove"], "remove").otherwise("generalise")
     term = lambda h: F.transform(F.get("places", h["j"]), lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), action(h).alias("action")))
@@ -212,6 +222,6 @@ def sanitise(observations: DataFrame, obs_id: str = "obs_id", text: str = "text"
     stands for them. A null text becomes an empty one. For the rest see ``personal_spans``.
     """
     found = personal_spans(observations, obs_id, text, **how).select("mark", "spans").dropDuplicates(["mark"])
-    rows = fields(observations, id=obs_id, text=text).withColumn("mark", F.xxhash64("id", "text"))
+    rows = fields(observations, id=obs_id, text=text).withColumn("mark", _mark())
     redact = F.pandas_udf(_redact, T.StringType())
     return rows.join(found, "mark").select(F.col("id").alias(obs_id), "spans", redact("text", "spans").alias("text_sanitised"))

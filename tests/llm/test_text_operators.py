@@ -178,6 +178,50 @@ def test_what_one_text_says_of_a_person_is_found_anywhere_in_it(spark):
     assert got[1].text_sanitised.count("the end of the matter") == 20 and all(got[100 + i].text_sanitised == rows[1][1] for i in range(200))
 
 
+def test_disclosure_does_not_hang_on_the_size_of_the_corpus(spark):
+    text = "Zebulon and Quill wrote about mail@zeb.example.org and the end"
+    seen = []
+    for n in (60, 300, 3000):
+        rows = [(1, text)] + [(2 + i, f"Ygor and Quill wrote from ygor@mail.example.org at the end {i % 7}") for i in range(4)] + [(100 + i, f"the end of {i % 9} and about a wrote thing") for i in range(n)]
+        got = {r.obs_id: r for r in disclosure.sanitise(obs(spark, rows)).collect() if r.obs_id < 100}
+        seen.append([(r.text_sanitised, [(s.start, s.end, s.action) for s in r.spans]) for _, r in sorted(got.items())])
+    assert seen[0] == seen[1] == seen[2]
+    actions = {text[a:b]: act for a, b, act in seen[0][0][1]}
+    assert actions == {"mail@zeb.example.org": "generalise", "Zebulon": "generalise"} and "Ygor" not in seen[0][1][0]
+
+
+def test_revealing_terms_against_brute_force(spark):
+    from math import log2
+
+    made = random.Random(11)
+    words, people = [f"w{i}" for i in range(40)], [f"p{i}@mail.example.org" for i in range(8)]
+    rows = [(i, " ".join(made.choices(words, k=made.randrange(1, 6)) + made.sample(people, made.choice([0, 0, 1, 1, 2, 5])) + [f"own{i // 3}"])) for i in range(150)]
+    rows += [(200, None), (201, ""), (None, rows[5][1]), rows[7], rows[7]]
+    texts = [t or "" for _, t in rows]
+    of = [({w for w in t.split() if "@" not in w}, {w for w in t.split() if "@" in w}) for t in texts]
+    all_terms = [{w for part in t.split() for w in (part.replace("@", " ").replace(".", " ").split())} for t in texts]
+    # repeated rows count once for the mentions of an entity and as often as they come for the texts of a term
+    once = [of[i] for i in range(len(rows)) if rows[i] not in rows[:i]]
+    n, want = len(rows), []
+    for terms, entities in of:
+        hits = {}
+        for w in terms:
+            for e in entities:
+                dfe, dft = sum(e in b for _, b in once), sum(w in a for a in all_terms)
+                both = sum(w in a and e in b for a, b in once)
+                left = -log2((both + dfe / n) / (dft + 1))
+                if left <= min(1.25, 0.4 * log2(n / dfe)):
+                    hits[w] = "remove" if left <= 0.5 or hits.get(w) == "remove" else "generalise"
+        want.append(hits)
+    got = {}
+    for r in disclosure.personal_spans(obs(spark, rows)).collect():
+        got.setdefault(r.obs_id, []).append(r.spans)
+    for (i, t), hits in zip(rows, want, strict=True):
+        for spans in got[i]:
+            assert {t[s.start:s.end]: s.action for s in spans if s.kind == "term"} == hits, (i, t)
+    assert sum(map(len, want)) > 20 and len(got[7]) == 3
+
+
 def test_myers_distance_and_places(spark):
     def brute(p, t):
         row = [0] * (len(t) + 1)
