@@ -158,7 +158,9 @@ def revealing(texts: DataFrame, df: DataFrame, n_texts: int, least_share: float,
     # entities of one text are all with each of its terms: one row stands for those of a text
     mention = (mention.join(entity, "entity").groupBy("mark", F.when(F.col("df_entity") > 1, F.col("entity")).alias("entity"))
                .agg(F.max("df_entity").alias("df_entity")))
-    words = texts.select("mark", F.posexplode("terms").alias("j", "term")).join(df, "term")
+    # what is more frequent than the most mentioned entity allows is left out before the texts meet it
+    top = entity.agg(F.max("df_entity")).first()[0] or 0
+    words = texts.select("mark", F.posexplode("terms").alias("j", "term")).join(df.where(F.col("df") <= (top + pseudo) * 2.0 ** generalise_bits), "term")
     chance = pseudo * F.col("df_entity") / n
     # the two are together in at most df_entity texts, so a term more frequent than this leaves more bits: no pair is lost
     near = F.col("df") <= (F.col("df_entity") + chance) * 2.0 ** generalise_bits - pseudo + 1e-6
@@ -192,7 +194,7 @@ def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str =
     leaves 0.42 bits and is removed. A term that leaves half of its texts without the entity stays. An entity that all texts mention has no information
     to reveal. Null and empty texts have no spans. Repeated rows get equal results. Null obs_id: kept.
     Other columns are ignored. An empty table gives an empty result. All counts cover all texts; of
-    them the driver sees only their number.
+    them the driver sees only their number and the most mentions of one entity.
     """
     small_batches(observations.sparkSession)
     rows = fields(observations, id=obs_id, text=text).withColumn("mark", _mark())
@@ -202,11 +204,14 @@ def personal_spans(observations: DataFrame, obs_id: str = "obs_id", text: str =
         _scan(to_arrow_type(kind)), f"id {kind.simpleString()}, mark string, spans array<{span}>>, entities array<string>, "
         "terms array<struct<term:string,places:array<struct<start:bigint,end:bigint>>>>, term string, df bigint"))
     texts = got.where("term is null").select("id", "mark", "spans", F.col("terms.places").alias("places"))
-    some = cut(got.where("term is null and size(entities) > 0").select("mark", "entities", F.col("terms.term").alias("terms")).dropDuplicates(["mark"]))
+    some = cut(got.where("term is null and size(entities) > 0").select("mark", "entities", F.col("terms.term").alias("terms")).dropDuplicates(["mark"])
+               .withColumn("row", F.monotonically_increasing_id()))
     df = got.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
     df = df.join(some.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
-    found = (revealing(some, df, texts.count(), least_share, generalise_bits, remove_bits, pseudo_texts)
-             .groupBy("mark").agg(F.collect_list(F.struct("j", "remove")).alias("hits")))
+    # numbers of the written rows stand for their marks while terms travel
+    found = (revealing(some.select(F.col("row").alias("mark"), "entities", "terms"), df, texts.count(), least_share, generalise_bits, remove_bits, pseudo_texts)
+             .groupBy(F.col("mark").alias("row")).agg(F.collect_list(F.struct("j", "remove")).alias("hits"))
+             .join(some.select("row", "mark"), "row").drop("row"))
     action = lambda h: F.when(h["remove"], "remove").otherwise("generalise")
     term = lambda h: F.transform(F.get("places", h["j"]), lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), action(h).alias("action")))
     extra = F.sort_array(F.flatten(F.transform("hits", term)))
