@@ -58,9 +58,12 @@ def snapped(alias: DataFrame, grid: DataFrame) -> DataFrame:
     """Aliases without a cell get that of their point, if they have one and the grid knows its cell."""
     if "lon" not in alias.columns or "lat" not in alias.columns:
         return alias
-    known = grid.select(F.col("cell_id").alias("_snap")).distinct().withColumn("_known", F.lit(True))
-    d = with_cell(alias, "lon", "lat", "_snap").join(known, "_snap", "left")
-    return d.withColumn("cell_id", F.coalesce("cell_id", F.when(F.col("_known"), F.col("_snap")))).drop("_snap", "_known")
+    # only these rows meet the grid, so no null key gathers the others
+    need = F.col("cell_id").isNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    known = grid.select("cell_id").distinct().withColumn("_known", F.lit(True))
+    d = with_cell(alias.where(need).drop("cell_id"), "lon", "lat").join(known, "cell_id", "left")
+    d = d.withColumn("cell_id", F.when(F.col("_known"), F.col("cell_id"))).select(*alias.columns)
+    return alias.where(~need).unionByName(d)
 
 
 def best_alias(alias: DataFrame, theater: list[str] | None = None) -> DataFrame:
